@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.chat import op2_chat
 from quire.llm.mixing import op1_mixing
 from quire.llm.quality import op4_quality
 from quire.llm.sharding import op6_sharding
+from quire.llm.topk import OP9_SQL, op9_topk
+from quire.llm.url_rules import OP8_SQL, op8_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op4_quality": op4_quality, "op6_sharding": op6_sharding}
+    return {
+        "op1_mixing": op1_mixing,
+        "op2_chat": op2_chat,
+        "op4_quality": op4_quality,
+        "op6_sharding": op6_sharding,
+        "op8_urls": op8_urls,
+        "op9_topk": op9_topk,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_urls": OP8_SQL, "op9_topk": OP9_SQL}
