@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.chat import op2_chat
+from quire.llm.langid import op10_langid
 from quire.llm.mixing import op1_mixing
 from quire.llm.quality import op4_quality
 from quire.llm.sharding import op6_sharding
 from quire.llm.topk import OP9_SQL, op9_topk
+from quire.llm.toxicity import op7_toxicity
 from quire.llm.url_rules import OP8_SQL, op8_urls
 
 
@@ -20,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat": op2_chat,
         "op4_quality": op4_quality,
         "op6_sharding": op6_sharding,
+        "op7_toxicity": op7_toxicity,
         "op8_urls": op8_urls,
         "op9_topk": op9_topk,
+        "op10_langid": op10_langid,
     }
 
 
