@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.chat import op2_chat
 from quire.llm.langid import op10_langid
 from quire.llm.mixing import op1_mixing
+from quire.llm.packing import op5_packing
 from quire.llm.quality import op4_quality
 from quire.llm.sharding import op6_sharding
 from quire.llm.topk import OP9_SQL, op9_topk
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_chat": op2_chat,
         "op4_quality": op4_quality,
+        "op5_packing": op5_packing,
         "op6_sharding": op6_sharding,
         "op7_toxicity": op7_toxicity,
         "op8_urls": op8_urls,

@@ -35,7 +35,7 @@ PATTERNS = (
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Word beginnings of these lengths are features beside whole words; they stand for word families.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 
 
 def features(word: str) -> list[str]:
