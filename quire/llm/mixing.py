@@ -173,3 +173,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed order of all documents: sources weigh their row count to the power 0.7."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
     return pfair_mix(docs).select("doc_id", "source", "quota", "block", "window", "slot", "position")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the same documents in mixed order, first file to last, first row to last."""
+    mixed = pfair_mix(docs)
+    parts = shuffle_partitions(spark)
+    rows = max(1, docs.count())
+    placed = mixed.withColumn("_to", F.expr(f"cast(position * {parts} div {rows} as int)"))
+    return placed.repartitionById(parts, F.col("_to")).sortWithinPartitions("position").select(*docs.columns)

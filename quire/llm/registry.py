@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.chat import op2_chat
+from quire.llm.jaccard import op3_jaccard
 from quire.llm.langid import op10_langid
 from quire.llm.mixing import op1_mixing
 from quire.llm.packing import op5_packing
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_chat": op2_chat,
+        "op3_jaccard": op3_jaccard,
         "op4_quality": op4_quality,
         "op5_packing": op5_packing,
         "op6_sharding": op6_sharding,
