@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,28 +32,38 @@ DIMS, HILBERT_BITS, BUCKETS = 3, 13, 256
 class WordIds(dict):
     """Word -> its token ids as bytes. It remembers two generations of a bounded number of words.
 
-    Words are parted at ASCII spaces and line ends. The tokenizer lower-cases each character by
-    itself and never joins a letter with a full stop or comma, so words that differ from a known
-    one by an ASCII capital in front or such a mark behind are put together from it.
+    The tokenizer lower-cases each character by itself, drops white space and never joins a full
+    stop or comma with a letter or digit before it. So a text can be parted at ASCII spaces, line
+    ends and before such marks, and in Latin-1 texts be lower-cased first: far fewer words are new.
+    Texts in which a mark follows another mark are only parted at spaces and line ends.
     """
 
-    def __init__(self, path: str, kind: str, most: int = 250_000):
+    def __init__(self, path: str, kind: str, most: int = 300_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-        self.kind, self.most, self.old = kind, most, {}
+        whole = Tokenizer.from_file(path)
+        self.encode, self.model = whole.encode, whole.model
+        self.code = {"<u2": "H", "<u4": "I"}[kind]
+        self.most, self.old = most, {}
+        # Single words take a short cut past the tokenizer's text steps only if it is known to agree.
+        probe = [w for w in ("a", "word", "straße", "être", "niño") if self.short(w) != self.encode(w, add_special_tokens=False).ids]
+        self.shortcut = not probe
+
+    def short(self, word: str) -> list[int]:
+        """Ids of a lower-case word of Latin-1 letters, straight from the merges."""
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return [t.id for t in self.model.tokenize(written)]
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
-                found = self[word[:-1]] + self[word[-1]]
-            elif "A" <= word[:1] <= "Z":
-                found = self[word[0].lower() + word[1:]]
+            if self.shortcut and word.isalpha() and word.islower() and _latin(word):
+                ids = self.short(word)
             else:
-                found = np.array(self.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+                ids = self.encode(word, add_special_tokens=False).ids
+            found = array(self.code, ids).tobytes()
         if len(word) <= 64:
             if len(self) >= self.most:
                 self.old = dict(self)
@@ -61,9 +72,47 @@ class WordIds(dict):
         return found
 
     def of(self, text: str) -> bytes:
+        if _plain(text):
+            text = text.lower().replace(".", " .").replace(",", " ,")
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _kinds() -> bytes:
+    """Latin-1 bytes by kind: m for a full stop or comma, p for other marks, a for the rest."""
+    rest = lambda c: c.isalpha() or c.isnumeric() or c in " \t\n\v\f\r\x85\xa0"
+    return bytes(ord("m" if c in ".," else "a" if rest(c) else "p") for c in map(chr, range(256)))
+
+
+_KINDS = _kinds()
+
+
+def _plain(text: str) -> bool:
+    """Is it Latin-1, with no full stop or comma right after a character that is no letter, digit or space?"""
+    try:
+        kinds = text.encode("latin-1").translate(_KINDS)
+    except UnicodeEncodeError:
+        return False
+    return b"pm" not in kinds and b"mm" not in kinds
+
+
+def _byte_chars() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the rest from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(other)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A fixed 32-bit hash of whole numbers."""
     x = x.astype(np.uint64)
