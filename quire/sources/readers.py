@@ -29,8 +29,8 @@ def read_json_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", "true").json(path)
 
 
-RECORD = T.StructType.fromDDL(
-    "title string, abstract string, doi string, DOI string, article_number string, publication_title string, publication_year string, "
+RECORD = (
+    "title string, abstract string, doi string, article_number string, publication_title string, publication_year string, "
     "publication_date string, content_type string, volume string, issue string, start_page string, end_page string, html_url string, "
     "pdf_url string, abstract_url string, publication_number string, is_number string, type string, `container-title` string, page string, "
     "authors string, author string, venue string, year string, url string, issn string, issued string, index_terms string"
@@ -39,12 +39,12 @@ RECORD = T.StructType.fromDDL(
 ARTICLE_MARKS = ("article_number", "publication_title", "publication_number", "is_number", "html_url", "pdf_url", "abstract_url", "content_type")
 
 
-def detect_format(record: Column) -> Column:
-    """ieee, csl or generic, by the fields that a record struct has."""
+def detect_format(record: Column, csl_doi: Column) -> Column:
+    """ieee, csl or generic, by the fields that a record struct has; csl_doi is the field DOI, in capitals."""
     marks = F.lit(0)
     for m in ARTICLE_MARKS:
         marks = marks + record[m].isNotNull().cast("int")
-    return F.when(marks >= 2, "ieee").when(record["DOI"].isNotNull() | record["type"].isNotNull(), "csl").otherwise("generic")
+    return F.when(marks >= 2, "ieee").when(csl_doi.isNotNull() | record["type"].isNotNull(), "csl").otherwise("generic")
 
 
 def read_bibliography(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +58,8 @@ def read_bibliography(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where(F.trim("value") != "")
     rows = lines.select("value", F.from_json("value", RECORD, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("value").isNull().alias("bad"))
     r = F.col("r")
-    kind = detect_format(r)
+    csl_doi = F.get_json_object("value", "$.DOI")
+    kind = detect_format(r, csl_doi)
     people = F.coalesce(r["authors"], r["author"])
     ieee_names = F.transform(F.from_json(F.coalesce(F.get_json_object(people, "$.authors"), people), "array<struct<full_name: string, name: string, family: string, given: string>>"), _name)
     plain = F.from_json(people, "array<string>")
@@ -67,7 +68,7 @@ def read_bibliography(spark: SparkSession, path: str) -> DataFrame:
         F.when(~F.col("bad"), kind).alias("format"),
         r["title"].alias("title"),
         r["abstract"].alias("abstract"),
-        normalize_doi(F.coalesce(r["doi"], r["DOI"])).alias("doi"),
+        normalize_doi(F.coalesce(r["doi"], csl_doi)).alias("doi"),
         F.when(people.rlike('^\\s*\\[\\s*"'), plain).otherwise(ieee_names).alias("authors"),
         F.coalesce(r["publication_title"], r["container-title"], r["venue"]).alias("venue"),
         F.coalesce(r["publication_year"].try_cast("int"), r["year"].try_cast("int"), year_in_text(date_text)).alias("year"),

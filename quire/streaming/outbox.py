@@ -28,14 +28,19 @@ def stream_outbox(updates: DataFrame, apply: Callable[[DataFrame, int], None], c
 # ---- extensions: the reference has no event time
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Watermarks need an instant, so a stream's zoneless times are read in the session's zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes", by: str = "event_type") -> DataFrame:
     """Counts and sums by event-time window and type; rows later than `late` are dropped on streams."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = _timed(events, late)
     return timed.groupBy(window.alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", by: str = "user_id") -> DataFrame:
     """Sessions of each user: event times closer than `gap`."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = _timed(events, late)
     return timed.groupBy(F.session_window("ts", gap).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
