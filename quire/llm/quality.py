@@ -115,13 +115,12 @@ class LabelModel:
         return out
 
 
-def fit(patterns: dict[tuple[int, ...], int], rounds: int = 100, strength: float = 20.0) -> LabelModel:
+def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 100, strength: float = 20.0) -> LabelModel:
     """Expectation-maximisation over pattern counts (at most 3 ** rules of them, whatever the input).
 
     An abstention says nothing of the label, so only cast votes count. Each rule starts as better
     than chance, and pseudo-counts of `strength` texts hold it there where votes are few.
     """
-    n_rules = len(next(iter(patterns), ()))
     start_good, start_bad = [0.02, 0.0, 0.98], [0.75, 0.0, 0.25]
     model = LabelModel(0.85, [start_good[:] for _ in range(n_rules)], [start_bad[:] for _ in range(n_rules)])
     for _ in range(rounds):
@@ -151,8 +150,8 @@ def judge(
     base_failed: fewer than 20 words, or over 30 % of words in repeated windows. quality is the
     posterior probability of being good; kept is quality >= threshold and not base_failed. The counts
     are written once, as the model needs them before any row can be judged. Null and
-    empty texts fail the base. Columns named like the added ones are replaced. With an empty table
-    no model is needed and no rows come back.
+    empty texts fail the base. Columns named like the added ones are replaced. An empty table
+    gives no rows.
     """
     counted = base_columns(docs, text)
     if not keep_text:
@@ -160,7 +159,7 @@ def judge(
     votes = F.array(*(r.vote().cast("int") for r in rules))
     counted = materialize(counted.withColumn("votes", votes), "counted")
     patterns = {tuple(v): n for v, n in counted.groupBy("votes").count().collect()}
-    model = fit(patterns)
+    model = fit(patterns, len(rules))
     odds = model.column([F.col("votes")[r] for r in range(len(rules))])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
