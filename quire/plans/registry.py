@@ -15,6 +15,7 @@ from quire.operators import documents as D
 from quire.operators import evaluation as E
 from quire.operators import maintenance as M
 from quire.operators import metadata as B
+from quire.operators import records as K
 from quire.operators import retrieval as R
 from quire.sources.readers import read_table
 from quire.streaming import outbox as S
@@ -780,6 +781,82 @@ def queue_order(spark, d):
     return first.select("id", F.row_number().over(w).cast("int").alias("place"))
 
 
+@register(
+    "state_report",
+    "SELECT event_type AS state, count(*) AS n, round(coalesce(sum(CASE WHEN event_id % 4 <> 0 THEN value END), 0), 4) AS bytes, count(CASE WHEN event_id % 4 <> 0 THEN value END) AS measured FROM events GROUP BY 1",
+)
+def state_report(spark, d):
+    rows = read_table(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 4 != 0, F.col("value")))
+    return _round(K.state_report(rows, "event_type", "value"), "bytes", digits=4)
+
+
+@register("max_page", "SELECT l_orderkey AS paper_id, coalesce(max(CASE WHEN l_orderkey % 2 = 0 THEN l_linenumber + 1 END), max(l_linenumber)) AS pages FROM lineitem GROUP BY 1")
+def max_page(spark, d):
+    rows = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("page_start"), F.when(F.col("l_orderkey") % 2 == 0, F.col("l_linenumber") + 1).alias("page_end"))
+    return K.max_page(rows)
+
+
+@register("duplicate_keys", "SELECT p_name, p_brand, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_keys(spark, d):
+    return K.duplicates(read_table(spark, d, "part"), "p_name", "p_brand")
+
+
+@register(
+    "stamps_by_paper",
+    """WITH g AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'N' THEN 'unknown' ELSE l_returnflag END AS s, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey AS paper_id, CAST(sum(n) AS BIGINT) AS docs, string_agg(s || '=' || n, ',' ORDER BY s) AS stamps FROM g GROUP BY 1""",
+)
+def stamps_by_paper(spark, d):
+    rows = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.when(F.col("l_returnflag") == "N", " ").otherwise(F.col("l_returnflag")).alias("stamp"))
+    out = K.stamps_by_paper(rows, "stamp")
+    return out.select("paper_id", "docs", F.array_join(F.transform("stamps", lambda x: F.concat_ws("=", x["stamp"], x["n"])), ",").alias("stamps"))
+
+
+@register(
+    "reextraction_diff",
+    """WITH a AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 5 <> 0), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 7 <> 0)
+SELECT coalesce(a.k, b.k) AS paper_id, 'x' AS field, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'missing' ELSE 'changed' END AS change, a.v AS old, b.v AS new
+FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""",
+)
+def reextraction_diff(spark, d):
+    c = read_table(spark, d, "customer").select(F.col("c_custkey").alias("paper_id"), F.lit("x").alias("field"), F.col("c_mktsegment").alias("value"), "c_name")
+    fresh = c.where("paper_id % 7 <> 0").withColumn("value", F.when(F.col("paper_id") % 3 == 0, F.upper("c_name")).otherwise(F.col("value")))
+    return K.reextraction_diff(c.where("paper_id % 5 <> 0"), fresh)
+
+
+@register(
+    "reconcile_shells",
+    """SELECT c_custkey AS shell_id, CASE WHEN c_custkey % 3 = 0 THEN 'merge' WHEN c_custkey % 3 = 1 THEN 'review' WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'keep' ELSE 'delete' END AS action,
+ CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 1 END AS target FROM customer""",
+)
+def reconcile_shells(spark, d):
+    c = read_table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    n = F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, 2).otherwise(0)
+    matches = c.withColumn("k", F.explode(F.filter(F.array(F.lit(1), F.lit(2)), lambda x: x <= n))).select(F.col("id").alias("record_id"), F.lit("matched").alias("status"), (F.col("id") + F.col("k")).alias("paper_id"))
+    return K.reconcile_shells(c, matches, read_table(spark, d, "orders").select(F.col("o_custkey").alias("paper_id")))
+
+
+@register(
+    "content_types",
+    "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'journal' WHEN 1 THEN 'unknown' END AS kind, CASE p_size % 3 WHEN 0 THEN 'journal' WHEN 1 THEN 'early_access' END AS type, CAST(1990 + p_size AS INTEGER) AS year FROM part",
+)
+def content_types(spark, d):
+    p = read_table(spark, d, "part")
+    kind = F.when(F.col("p_size") % 3 == 0, " Journals ").when(F.col("p_size") % 3 == 1, "Early Access").otherwise("x")
+    year = F.concat(F.lit("July-"), (1990 + F.col("p_size")).cast("string"))
+    return p.select("p_partkey", K.venue_kind(kind).alias("kind"), K.paper_type(kind).alias("type"), K.parse_year(year).alias("year"))
+
+
+@register(
+    "conflict_equivalence",
+    "SELECT p_partkey, p_partkey % 2 = 0 AS same FROM part",
+)
+def conflict_equivalence(spark, d):
+    p = read_table(spark, d, "part")
+    other = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("<i>"), F.upper("p_name"), F.lit("</i>  "))).otherwise(F.concat(F.col("p_name"), F.lit("!")))
+    return p.select("p_partkey", K.equivalent(F.lit("title"), F.col("p_name"), other).alias("same"))
+
+
 # ---- documents (sequential text algorithms: checked by tests, not by SQL)
 
 

@@ -7,6 +7,7 @@ from quire.operators import documents as D
 from quire.operators import evaluation as E
 from quire.operators import maintenance as M
 from quire.operators import metadata as B
+from quire.operators import records as K
 from quire.operators import retrieval as R
 from quire.plans.search import SearchRequest, needs_rewrite, search
 from quire.schemas import SchemaMismatch, strict
@@ -234,3 +235,32 @@ def test_streams(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("days").count() > 0
+
+
+def test_equivalence_and_bylines():
+    assert K.canonical("title", "A<sup>2</sup> – <i>b</i>") == K.canonical("title", "a2 - B")
+    assert K.canonical("authors", "J. R. Smith Jr.") == K.canonical("authors", "J.R. Smith Jr")
+    assert K.canonical("abstract", "Ab") != K.canonical("abstract", "ab")
+    assert K.same_byline(["J. Smith", "Ann Lee"], ["John Smith", "Ann Lee"])
+    assert not K.same_byline(["J. Smith"], ["John Smyth"])
+    assert not K.same_byline(["John Smith"], ["John Smith"])
+    assert not K.same_byline(["J. Smith", "J. Smith"], ["John Smith", "Jane Smith"])
+    assert not K.same_byline([], [])
+
+
+@pytest.mark.parametrize(("text", "want"), [("2015", 2015), ("July 2015", 2015), ("999", None), ("a-1999-b", 1999), ("12345", None), ("", None), (None, None)])
+def test_parse_year(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(K.parse_year(F.col("t")).alias("y")).first().y == want
+
+
+def test_venues(spark):
+    venues = spark.createDataFrame([("v", "IEEE Trans. X", "ieee trans x")], "id string, name string, normalized_name string")
+    papers = spark.createDataFrame([("1", "v", 2019, None, None), ("2", "v", None, 2020, None), ("3", "w", 2019, None, None)], "id string, venue_id string, year int, venue_year int, deleted_at timestamp")
+    assert [r.id for r in K.papers_of_venue(papers, venues, "IEEE Trans X").orderBy("id").collect()] == ["1", "2"]
+    assert [r.id for r in K.papers_of_venue(papers, venues, "ieee trans. x", 2020).collect()] == ["2"]
+
+
+def test_cache_misses(spark):
+    files = spark.createDataFrame([("a", "o"), ("b", "o"), ("a", "p")], "sha256 string, options string")
+    assert {(r.sha256, r.options) for r in K.cache_misses(files, files.where("sha256 = 'a' and options = 'o'")).collect()} == {("b", "o"), ("a", "p")}
