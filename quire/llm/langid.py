@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Starts of the scripts' code point ranges (from the Unicode block list).
 SCRIPTS = (
@@ -238,7 +239,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", penalty:
     schema = docs.select(*(f"`{c}`" for c in keep)).schema.add("lang_pred", "string").add("score", "double")
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
     if spans:
-        schema = schema.add("spans", "array<struct<start: bigint, end: bigint, lang: string>>")
+        span = T.StructType().add("start", "long").add("end", "long").add("lang", "string")
+        schema = schema.add("spans", T.ArrayType(span))
 
     def judge(some: list[str], model: LanguageModel) -> tuple[list, list, list]:
         words = read_words(some)
