@@ -28,6 +28,10 @@ from quire.llm.common import materialize
 from quire.llm.components import components
 from quire.llm.shingles import overlap, shingle_sets
 
+#: Shingles in more prefixes than this are crowded: groups of copies show there first.
+CROWD = 32
+#: Each of the sketch's two tables has 2**SKETCH_BITS counts.
+SKETCH_BITS = 18
 #: Frequent shingles are spread over this many groups where only their presence counts.
 SALT = 64
 
@@ -59,11 +63,12 @@ def _class_of(items: np.ndarray) -> int:
 def _signatures(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """Per document its class and set size; and per task, in other rows, the sketch's counts.
 
-    Copies within a task count once in the sketch.
+    The sketch has two tables of 2**bits counts, by the first and by the last bits of a shingle's
+    hash. Copies within a task count once in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, seen = np.zeros(1 << bits, np.int64), set()
+        sketch, seen = np.zeros(2 << bits, np.int64), set()
         for batch in batches:
             names, sizes = [], []
             for items in shingle_sets(batch.column(1), size):
@@ -72,14 +77,13 @@ def _signatures(docs: DataFrame, size: int, bits: int) -> DataFrame:
                 sizes.append(len(items))
                 if name not in seen:
                     seen.add(name)
-                    sketch += np.bincount((items >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if len(items) > 1 << bits else 0
-                    if len(items) <= 1 << bits:
-                        np.add.at(sketch, (items >> np.uint64(64 - bits)).astype(np.int64), 1)
+                    for cells in _cells(items, bits):
+                        np.add.at(sketch, cells, 1)
             none = pa.nulls(len(names), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), none, pa.nulls(len(names), pa.int64())], names=_SIG
             )
-        for at in range(0, 1 << bits, 1 << 16):
+        for at in range(0, 2 << bits, 1 << 16):
             k = np.flatnonzero(sketch[at : at + (1 << 16)]) + at
             none = pa.nulls(len(k), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(k, pa.int32()), pa.array(sketch[k])], names=_SIG)
@@ -92,42 +96,53 @@ def _signatures(docs: DataFrame, size: int, bits: int) -> DataFrame:
 _SIG = ["doc_id", "cls", "n", "bucket", "hits"]
 
 
+def _cells(items: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a shingle counts in the two tables of the sketch."""
+    low = (items & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return (items >> np.uint64(64 - bits)).astype(np.int64), low + (1 << bits)
+
+
 class _Order:
-    """The global order of shingles: by hash, frequent ones last by their count."""
+    """The global order of shingles: by hash, frequent ones last by their count.
+
+    A shingle counts as frequent if both its cells hold far more than the mean; its count is the
+    smaller one's excess.
+    """
 
-    def __init__(self, bits: int, buckets: np.ndarray, counts: np.ndarray):
-        self.bits, self.buckets, self.counts = bits, buckets, counts
+    def __init__(self, bits: int, cells: np.ndarray, excess: np.ndarray):
+        self.bits, self.cells, self.excess = bits, cells, excess
 
     def arrange(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The items in order, and the estimated number of sets with each of them beyond one."""
-        excess = np.zeros(len(items), np.int64)
-        if len(self.buckets):
-            b = (items >> np.uint64(64 - self.bits)).astype(np.int64)
-            at = np.minimum(np.searchsorted(self.buckets, b), len(self.buckets) - 1)
-            hit = self.buckets[at] == b
-            excess[hit] = self.counts[at[hit]]
-            if hit.any():
-                order = np.lexsort((items, excess))
-                return items[order], excess[order]
-        return items, excess
-
-
-def choose_matches(excess: np.ndarray, base: int, most: int = 4) -> int:
+        more = np.zeros(len(items), np.int64)
+        if len(self.cells):
+            both = []
+            for b in _cells(items, self.bits):
+                at = np.minimum(np.searchsorted(self.cells, b), len(self.cells) - 1)
+                both.append(np.where(self.cells[at] == b, self.excess[at], 0))
+            more = np.minimum(*both)
+            if more.any():
+                order = np.lexsort((items, more))
+                return items[order], more[order]
+        return items, more
+
+
+#: Share of shingles that some other set has, beyond what the sketch shows; only weighs costs.
+BACKGROUND = 0.05
+
+
+def choose_matches(excess: np.ndarray, base: int) -> int:
     """How many shared prefix shingles to ask for: the number with the least estimated cost.
 
     Asking for l makes the prefix base + l long. Its cost is the entries in it, the entries of
-    others that they meet, and verifying candidates: the met entries over l, as each candidate needs
-    l of them, at a cost that grows with the set.
+    others that they meet, and verifying candidates: each candidate needs l of the met entries, and
+    verifying one moves two whole sets. At most a sixteenth of the set is asked for.
     """
     n = len(excess)
-    met = np.concatenate([[0], np.cumsum(excess)])
-    best, least = 1, None
-    for l in range(1, most + 1):  # noqa: E741
-        length = min(n, base + l)
-        cost = length + met[length] + met[length] / l * (1 + n / 50)
-        if least is None or cost < least:
-            best, least = l, cost
-    return best
+    met = np.concatenate([[0.0], np.cumsum(excess + BACKGROUND)])
+    asked = np.unique(np.maximum(1, (n // 16) >> np.arange(8)))
+    length = np.minimum(n, base + asked)
+    return int(asked[np.argmin(length + met[length] + met[length] / asked * 2 * n)])
 
 
 def _entries(docs: DataFrame, size: int, limit: Threshold, order: _Order) -> DataFrame:
@@ -154,11 +169,11 @@ def _entries(docs: DataFrame, size: int, limit: Threshold, order: _Order) -> Dat
                 seen.add(name)
                 tokens, excess = order.arrange(items)
                 base = limit.probe(n)
-                need = choose_matches(excess, base) if excess.any() else 1
+                need = choose_matches(excess, base)
                 length = min(n, base + need)
                 cols[0].append(tokens[:length].view(np.int64))
                 cols[1].append(np.full(length, name))
-                cols[2].append(np.full(length, (n << 3) | need))
+                cols[2].append(np.full(length, (n << 31) | need))
                 cols[3].append((np.arange(length) << 1) | (excess[:length] > 0))
                 held += length
                 if held > 200_000:
@@ -168,26 +183,23 @@ def _entries(docs: DataFrame, size: int, limit: Threshold, order: _Order) -> Dat
             yield out()
 
     packed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, cls long, shape long, place long")
-    # Kept narrow for the exchange: only shingles that two classes hold in their prefixes go on.
+    # Only shingles that two classes hold in their prefixes go on. Frequent ones surely are, so they
+    # need not meet in one task: their classes are spread over groups.
     often = F.col("place").bitwiseAND(1) == 1
     salted = packed.withColumn("salt", F.when(often, F.pmod(F.xxhash64("cls"), F.lit(SALT))).otherwise(F.lit(0)))
-    seen = salted.withColumns(
-        {k: F.expr(f"{k}(cls) over (partition by token, salt)") for k in ("min", "max")}
-    )
-    return (
-        seen.where((F.col("min") != F.col("max")) | often)
-        .dropDuplicates(["token", "salt", "cls"])
-        .select(
-            "token",
-            "cls",
-            F.shiftright("shape", 3).alias("n"),
-            F.shiftright("place", 1).alias("pos"),
-            F.col("shape").bitwiseAND(7).alias("need"),
-        )
+    once = salted.repartition("token", "salt").dropDuplicates(["token", "salt", "cls"])
+    counted = once.withColumn("k", F.expr("count(*) over (partition by token, salt)"))
+    return counted.where((F.col("k") > 1) | often).select(
+        "token",
+        "cls",
+        F.shiftright("shape", 31).alias("n"),
+        F.shiftright("place", 1).alias("pos"),
+        F.col("shape").bitwiseAND((1 << 31) - 1).alias("need"),
+        ((F.col("k") > CROWD) | often).alias("crowded"),
     )
 
 
-def _members(docs: DataFrame, size: int, classes: DataFrame, bits: int) -> DataFrame:
+def _members(docs: DataFrame, size: int, classes: DataFrame, bits: int = 22) -> DataFrame:
     """The whole sets of the wanted classes: cls, items (sorted hashes), one row each.
 
     A bit map of fixed size, filled from the classes where they are, lets each task skip most other
@@ -251,61 +263,88 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(joined, "labels")
 
 
-def link_classes(docs: DataFrame, signatures: DataFrame, size: int, limit: Threshold, bits: int, patience: int = 2, rounds: int = 8) -> DataFrame:
-    """(cls, comp) of all classes that share a prefix entry with another: comp is a class of theirs."""
+def _star_round(crowded: DataFrame, labels: DataFrame, members: DataFrame, limit: Threshold, step: int) -> DataFrame:
+    """Labels after linking the classes of each crowded shingle to one pivot of theirs.
+
+    The pivot is a class with many crowded shingles in its prefix, so with few of its own: it is
+    likely central to its group. Which of these it is changes from step to step.
+    """
+    chance = F.pmod(F.xxhash64("cls", F.lit(step)), F.lit(1000))
+    shapes = crowded.groupBy("cls", "n", "need").agg((F.count("*") * (2000 + chance)).alias("weight")).join(labels, "cls")
+    held = crowded.select("token", "cls").join(shapes.select("cls", "weight"), "cls")
+    pivots = held.groupBy("token").agg(F.max_by("cls", F.struct("weight", "cls")).alias("a"))
+    about = lambda side: shapes.select(*(F.col(c).alias(d) for c, d in zip(("cls", "n", "need", "comp"), (side, f"{side}_n", f"{side}_need", f"{side}_comp"))))
+    stars = crowded.select("token", F.col("cls").alias("b")).join(pivots, "token").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    pairs = stars.where("a <> b").join(about("b"), "b").join(about("a"), "a")
+    fit = limit.den * F.least("a_n", "b_n") >= limit.num * F.greatest("a_n", "b_n")
+    pairs = pairs.where((F.col("a_comp") != F.col("b_comp")) & fit & (F.col("shared") >= F.least("a_need", "b_need")))
+    return _relabel(labels, materialize(_verified(pairs, members, limit), "links"))
+
+
+def link_classes(
+    docs: DataFrame, signatures: DataFrame, size: int, limit: Threshold, bits: int = SKETCH_BITS, patience: float = 0.05, rounds: int = 6
+) -> DataFrame:
+    """(cls, comp) of classes that are linked to others: equal comp means connected by links.
+
+    Classes that are missing are linked to none.
+    """
     counted = signatures.where("bucket is not null")
-    total = counted.agg(F.sum("hits")).first()[0] or 0
+    total = (counted.agg(F.sum("hits")).first()[0] or 0) // 2  # shingles in all sets
     load = total / (1 << bits)
     often = counted.groupBy("bucket").agg(F.sum("hits").alias("hits")).where(F.col("hits") > load + 6 * load**0.5 + 4).orderBy("bucket").toArrow()
     order = _Order(bits, often.column("bucket").to_numpy().astype(np.int64), often.column("hits").to_numpy() - int(load))
     entries = materialize(_entries(docs, size, limit, order), "entries")
-    n_entries = entries.count()
-    labels = materialize(entries.select("cls", F.col("cls").alias("comp")).distinct(), "labels")
-    if not n_entries:
-        return labels
-    members = materialize(_members(docs, size, labels.select("cls"), bits + 4), "members")
-    num, den = limit.num, limit.den
+    crowded = materialize(entries.where("crowded").drop("crowded"), "crowded")
+    labels = materialize(crowded.select("cls", F.col("cls").alias("comp")).distinct(), "labels")
+    members, before = None, 0
     for step in range(rounds + 1):
-        rows = materialize(entries.join(labels, "cls"), "labelled")
-        by_comp = rows.groupBy("token", "comp").count()
-        tokens = by_comp.groupBy("token").agg(F.sum("count").alias("k"), F.sum(F.col("count") * F.col("count")).alias("inside"), F.count("*").alias("comps"))
-        open_tokens = materialize(tokens.where("comps > 1").select("token", "k", "inside"), "tokens")
-        pairs_left = open_tokens.agg(F.sum((F.col("k") * F.col("k") - F.col("inside")) / 2)).first()[0] or 0
-        if not pairs_left:
-            return labels
-        rows = rows.join(open_tokens.select("token"), "token")
-        if pairs_left <= patience * n_entries or step == rounds:
+        by_comp = crowded.select("token", "cls").join(labels, "cls").groupBy("token", "comp").agg(F.count("*").alias("k"))
+        main = materialize(by_comp.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("k")), "main")
+        left = main.agg(F.sum((F.col("k") - F.col("most")) * F.col("k"))).first()[0] or 0
+        if left <= patience * total or step == rounds or (step > 2 and left > 0.95 * before):
             break
-        # One pivot a shingle: the class with the least scrambled name; the scrambling can be undone.
-        scramble = (0x5851F42D4C957F2D * (step + 1)) & ((1 << 63) - 1)
-        pivots = rows.groupBy("token").agg(F.min(F.col("cls").bitwiseXOR(F.lit(scramble))).alias("a"))
-        pivots = pivots.select("token", F.col("a").bitwiseXOR(F.lit(scramble)).alias("a"))
-        shapes = rows.select(F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp")).distinct()
-        stars = rows.join(pivots, "token").groupBy("a", F.col("cls").alias("b"), "n", "comp").agg(F.count("*").alias("shared"))
-        pairs = stars.join(shapes, "a").where(
-            (F.col("comp") != F.col("a_comp")) & (den * F.least("n", "a_n") >= num * F.greatest("n", "a_n"))
-        )
-        links = materialize(_verified(pairs, members, limit), "links")
-        labels = _relabel(labels, links)
-    # All pairs left between components: the smaller set's index prefix meets the larger one's prefix.
-    # index() of the threshold as an expression: n - ceil(2 * num * n / (num + den))
-    index = F.expr(f"n - (2 * {num} * n + {num + den - 1}) div {num + den} + need")
-    small = rows.where(F.col("pos") < index).select("token", *(F.col(c).alias(f"a_{c}") for c in ("cls", "n", "pos", "need", "comp")))
-    large = rows.select("token", *(F.col(c).alias(f"b_{c}") for c in ("cls", "n", "pos", "need", "comp")))
-    met = small.join(large, "token").where(
-        (F.col("a_comp") != F.col("b_comp"))
-        & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_cls") < F.col("b_cls"))))
-        & (den * F.col("a_n") >= num * F.col("b_n"))
-    )
-    found = met.groupBy(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"), "a_n", "b_n", "a_need", "b_need").agg(
+        before = left
+        if members is None:
+            near = crowded.groupBy("cls", "need").count().where("count >= need").select("cls")
+            members = materialize(_members(docs, size, near), "members")
+        labels = _star_round(crowded, labels, members, limit, step)
+    # All pairs left: in a crowded shingle those with a class outside of its main component.
+    none = F.lit(None).cast("long")
+    known = crowded.join(labels, "cls").join(main.select("token", "main"), "token")
+    plain = entries.where("not crowded").drop("crowded").withColumns({"comp": F.col("cls"), "main": none})
+    rows = known.select(*plain.columns).unionByName(plain)
+    side = lambda df, s: df.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "pos", "need", "comp", "main")))
+    outside = F.col("main").isNull() | (F.col("comp") != F.col("main"))
+    met = side(rows.where(outside), "a").join(side(rows, "b"), "token").where(F.expr(_meets(limit)))
+    found = met.groupBy("a_cls", "b_cls", "a_n", "b_n", "a_need", "b_need").agg(
         F.count("*").alias("shared"), F.min("a_pos").alias("a_pos"), F.min("b_pos").alias("b_pos")
     )
-    # What follows the first shared shingle bounds the overlap.
-    enough = F.expr(f"{num + den} * least(a_n - a_pos, b_n - b_pos) >= {num} * (a_n + b_n)")
-    pairs = found.where((F.col("shared") >= F.least("a_need", "b_need")) & enough)
+    num, den = limit.num, limit.den
+    enough = f"shared >= least(a_need, b_need) and {num + den} * least(a_n - a_pos, b_n - b_pos) >= {num} * (a_n + b_n)"
+    pairs = materialize(found.where(enough).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")), "pairs")
+    met_classes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    labels = materialize(labels.where("cls <> comp").join(met_classes.withColumn("m", F.lit(1)), "cls", "full_outer").select("cls", F.coalesce("comp", "cls").alias("comp")).union(labels.where("cls <> comp").select("comp", "comp")).distinct(), "labels")
+    members = materialize(_members(docs, size, met_classes), "members")
     return _relabel(labels, materialize(_verified(pairs, members, limit), "links"))
 
 
+def _meets(limit: Threshold) -> str:
+    """Condition under which entries a and b of one shingle may be among the first shared ones of a pair.
+
+    Each pair of classes comes once a shingle: for crowded shingles a is outside of the main component, so b may
+    be inside; else the names decide. The smaller set's entry must be in its index prefix. At most
+    need - 1 shared shingles come before one that counts, so what follows bounds the overlap.
+    """
+    num, den = limit.num, limit.den
+    index = lambda s: f"{s}_pos < {s}_n - (2 * {num} * {s}_n + {num + den - 1}) div {num + den} + {s}_need"
+    return (
+        f"a_comp <> b_comp and (a_cls < b_cls or b_comp <=> b_main) "
+        f"and {den} * least(a_n, b_n) >= {num} * greatest(a_n, b_n) "
+        f"and {num + den} * (least(a_n - a_pos, b_n - b_pos) + least(a_need, b_need) - 1) >= {num} * (a_n + b_n) "
+        f"and (({index('a')} and (a_n < b_n or (a_n = b_n and a_cls < b_cls))) or ({index('b')} and (b_n < a_n or (a_n = b_n and b_cls < a_cls))))"
+    )
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, limit: Threshold = Threshold()) -> DataFrame:
     """doc_id, n_shingles, class_size (copies of its set), component_id: one row for each row of docs.
 
@@ -316,10 +355,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: Threshold = Threshold
     give the component's id. Repeated rows stay as they are. Other columns of docs are ignored.
     Sets are compared by 64-bit hashes of shingles and named by a 64-bit hash.
     """
-    rows = docs.count()
-    bits = max(12, min(24, rows.bit_length()))
-    signatures = materialize(_signatures(docs, size, bits), "signatures")
-    labels = link_classes(docs, signatures, size, limit, bits)
+    signatures = materialize(_signatures(docs, size, SKETCH_BITS), "signatures")
+    labels = link_classes(docs, signatures, size, limit)
     found = signatures.where("bucket is null").select("doc_id", "cls", "n")
     classes = found.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("class_size"))
     classes = classes.join(labels, "cls", "left").select("cls", "low", "class_size", F.coalesce("comp", "cls").alias("comp"), F.col("comp").isNotNull().alias("met"))
