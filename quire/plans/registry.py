@@ -558,7 +558,7 @@ def fingerprint_dedupe(spark, d):
     """WITH r AS (SELECT c_custkey AS record_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 100 END AS s, lower(c_name) AS title FROM customer WHERE c_custkey < 150)
 SELECT record_id, CASE WHEN s IS NOT NULL OR record_id < 100 THEN 'matched' ELSE 'unmatched' END AS status,
   CASE WHEN s IS NOT NULL THEN 'identifier' WHEN record_id < 100 THEN 'title_author_year' END AS method,
-  CASE WHEN s IS NOT NULL THEN 1.0 WHEN record_id < 100 THEN 0.8 END AS confidence,
+  CASE WHEN s IS NOT NULL THEN 1.0::DOUBLE WHEN record_id < 100 THEN 0.8::DOUBLE END AS confidence,
   CASE WHEN s IS NOT NULL THEN s WHEN record_id < 100 THEN record_id END AS paper_id FROM r""",
 )
 def match_records(spark, d):

@@ -1,6 +1,7 @@
 """Compare a registered query with its SQL on the same tables."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -13,7 +14,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def cell(v):
-    if v is None or v != v:
+    if pd.api.types.is_scalar(v) and pd.isna(v):
         return "null"
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return str(bool(v))
