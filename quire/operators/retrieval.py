@@ -87,7 +87,7 @@ def bm25(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "text"
     counted = docs.select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("w"))
 
     def times(term: str) -> Column:
-        return F.struct(F.lit(term).alias("term"), F.size(F.filter("w", lambda x: x == term)).alias("tf"))
+        return F.struct(F.lit(term).alias("term"), (F.size("w") - F.size(F.array_remove("w", term))).alias("tf"))
 
     hit = F.explode(F.array(*map(times, words))).alias("hit")
     counted = counted.select("doc_id", F.size("w").alias("length"), hit).select("doc_id", "length", "hit.term", "hit.tf")
