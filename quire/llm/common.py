@@ -46,10 +46,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{name}"
+    _written.append(path.rpartition("/")[0])
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of this session's written tables.
+_written: list[str] = []
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Delete this session's written tables, once nothing lazy refers to them; how many folders went."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for tables of narrow rows; Spark deletes it when it is unreachable."""
     shared_dir(df.sparkSession)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm.common import find_splitters
+from quire.llm.common import clear_written, find_splitters, materialize
 from quire.llm.mixing import pfair_mix, quotas
 from quire.llm.quality import base_columns, fit, judge, op4_quality
 from quire.llm.sharding import histogram_shards, op6_sharding
@@ -119,6 +119,16 @@ def test_splitters_are_exact(spark):
     assert cut.below == [sum(1 + k % 7 for k in keys if k < b) for b in cut.bounds]
 
 
+def test_written_tables_can_be_cleared(spark):
+    clear_written(spark)
+    table = materialize(spark.range(3), "t")
+    path = table.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    assert table.count() == 3 and clear_written(spark) == 1
+    import os
+
+    assert not os.path.exists(path)
+
+
 # ---- quality
 
 
