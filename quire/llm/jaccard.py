@@ -316,6 +316,10 @@ def link_classes(
     side = lambda df, s: df.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "pos", "need", "comp", "main")))
     outside = F.col("main").isNull() | (F.col("comp") != F.col("main"))
     met = side(rows.where(outside), "a").join(side(rows, "b"), "token").where(F.expr(_meets(limit)))
+    # One pair may come as (x, y) in one shingle and as (y, x) in another: in order of names it has one count.
+    swap = F.col("a_cls") > F.col("b_cls")
+    one = lambda s, t, c: F.when(swap, F.col(f"{t}_{c}")).otherwise(F.col(f"{s}_{c}")).alias(f"{s}_{c}")
+    met = met.select(*(one(s, t, c) for s, t in (("a", "b"), ("b", "a")) for c in ("cls", "n", "pos", "need")))
     found = met.groupBy("a_cls", "b_cls", "a_n", "b_n", "a_need", "b_need").agg(
         F.count("*").alias("shared"), F.min("a_pos").alias("a_pos"), F.min("b_pos").alias("b_pos")
     )

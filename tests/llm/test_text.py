@@ -142,6 +142,21 @@ def test_crowded_shingles_lose_no_link(spark, corpus, patience):
         assert (name[i] == name[j]) == (j in want[i][1]), (i, j)
 
 
+def test_bridge_between_merged_families_is_counted_once(spark):
+    rng = random.Random(5)
+    words = lambda c, n: {f"{c}{k}" for k in range(n)}
+    left, right = words("l", 69), words("r", 69)  # what the bridge shares; the families cover one half each
+    rows = []
+    for own, half, other in (("x", left, right), ("y", right, left)):
+        rows.append(left | right | words(own, 13) | words(own + "only", 10))
+        rows += [half | words(own, 23) | set(rng.sample(sorted(other), 59)) for _ in range(40)]
+    x, y = rows[0], rows[41]
+    assert 4 * len(x & y) == 3 * len(x | y)
+    assert all(4 * len(a & b) < 3 * len(a | b) for a in rows[:41] for b in rows[41:] if (a, b) != (x, y))
+    df = spark.createDataFrame([(k, " ".join(sorted(r))) for k, r in enumerate(rows)], "doc_id long, text string")
+    assert {r.component_id for r in near_duplicates(df, 1).collect()} == {0}
+
+
 def test_near_duplicate_query(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
     docs = [r.text for r in rows]
