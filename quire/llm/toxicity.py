@@ -77,17 +77,23 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def _count_features(rows: DataFrame, wanted: list[str] | None, least: int) -> dict[str, int]:
     """In how many texts each feature (of `wanted`) is; only those in at least `least` texts."""
 
+    def out(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         finder = Finder(wanted) if wanted is not None else None
         for (text,) in _texts(batches):
+            if len(counts) > 500_000:  # memory of a task is bounded
+                yield out(counts)
+                counts.clear()
             if finder is None:
                 counts.update({f for w in set(_WORD.findall((text or "").lower())) if len(w) > 2 for f in features(w)})
             else:
                 counts.update(wanted[k] for k in finder.fired(text))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"]
-        )
+        yield out(counts)
 
     counted = rows.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     return dict(counted.where(F.col("n") >= least).collect())
@@ -160,8 +166,11 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[fired].sum(), -50, 50))))
 
 
-def fit_classifier(vocabulary: list[str], rows: list[tuple[list[int], float]], l2: float = 1e-3, rounds: int = 300) -> Classifier:
-    """Logistic regression on soft labels, by gradient steps with per-weight rates."""
+def fit_classifier(vocabulary: list[str], rows: list[tuple[list[int], float]], start: np.ndarray, l2: float = 1e-3, rounds: int = 300) -> Classifier:
+    """Logistic regression on soft labels, by gradient steps with per-weight rates.
+
+    start: log odds of a text by one feature alone, or -inf; features in few rows weigh that at least.
+    """
     size = len(vocabulary) + len(PATTERNS)
     w, bias = np.zeros(size), 0.0
     if not rows:
@@ -169,6 +178,7 @@ def fit_classifier(vocabulary: list[str], rows: list[tuple[list[int], float]], l
     owner = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
     ids = np.array([k for f, _ in rows for k in f], int)
     y = np.array([t for _, t in rows])
+    rare = np.bincount(ids, minlength=size) < 4
     seen, seen_bias = np.full(size, 1e-8), 1e-8
     for _ in range(rounds):
         x = bias + np.bincount(owner, w[ids], minlength=len(rows))
@@ -177,7 +187,7 @@ def fit_classifier(vocabulary: list[str], rows: list[tuple[list[int], float]], l
         g_bias = error.sum()
         seen, seen_bias = seen + g * g, seen_bias + g_bias**2
         w, bias = w - 0.5 * g / np.sqrt(seen), bias - 0.5 * g_bias / np.sqrt(seen_bias)
-    return Classifier(vocabulary, w, float(bias))
+    return Classifier(vocabulary, np.where(rare, np.maximum(w, start - bias), w), float(bias))
 
 
 def _evidence(k: int, k_clean: int, n: int, n_clean: int) -> float:
@@ -193,21 +203,22 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, most_voters: int = 96, support: int = 4) -> Classifier:
     """Fit voters, label model and classifier.
 
-    Labels count only for documents whose crc32(doc_id) mod 5 is not 0. About `sample_rows` of them,
-    chosen by a hash of doc_id, serve to find lexicon entries and to train the classifier; the label
-    model's counts are over all documents. Several labels of a document count as the largest one.
+    Labels count only for documents whose crc32(doc_id) mod 5 is not 0. All of them
+    serve to find lexicon entries and give the classes' rates and the prior; about `sample_rows`,
+    chosen by a hash of doc_id, train the classifier, where learned voters that few of them hold
+    weigh at least as in the label model. The label model's counts are over all documents. Several labels of a document count as the largest one.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n_known = known.count()
     share = min(1.0, sample_rows / max(1, n_known))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    # About sample_rows ids, so the broadcast is bounded.
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "sample")
-    counts = {t: n for t, n in sample.groupBy("toxic").count().collect()}
+    # All labelled training rows; labels go by shuffle, as their number grows with the input.
+    training = materialize(docs.select("doc_id", "text").join(known.hint("shuffle_hash"), "doc_id"), "training")
+    sampled = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
+    counts = {t: n for t, n in training.groupBy("toxic").count().collect()}
     n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
-    bad = _count_features(sample.where("toxic = 1"), None, support) if n_toxic else {}
-    good = _count_features(sample.where("toxic = 0"), list(bad), 1) if bad else {}
+    bad = _count_features(training.where("toxic = 1"), None, support) if n_toxic else {}
+    good = _count_features(training.where("toxic = 0"), list(bad), 1) if bad else {}
     odds = {f: np.log((k + 0.5) / (n_toxic + 1)) - np.log((good.get(f, 0) + 0.5) / (n_clean + 1)) for f, k in bad.items()}
     sure = lambda f: _evidence(bad[f], good.get(f, 0), n_toxic, n_clean) > 15
     strong = sorted((f for f in bad if odds[f] > 3.0 and sure(f)), key=lambda f: (-bad[f] * odds[f], f))
@@ -252,8 +263,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, most_vo
         y = [model.posterior([place[k] for k in f if k in place]) for f in fired]
         yield pa.RecordBatch.from_arrays([pa.array(fired, pa.list_(pa.int32())), pa.array(y, pa.float64())], names=["ids", "y"])
 
-    rows = [(list(ids), y) for ids, y in sample.select("text").mapInArrow(label, "ids array<int>, y double").collect()]  # bounded by the sample
-    return fit_classifier(vocabulary, rows)
+    rows = [(list(ids), y) for ids, y in training.where(sampled).select("text").mapInArrow(label, "ids array<int>, y double").collect()]  # bounded by the sample
+    start = np.full(len(vocabulary) + len(PATTERNS), -np.inf)
+    start[: len(learned)] = np.log(model.prior / (1 - model.prior)) + model.odds[: len(learned)]
+    return fit_classifier(vocabulary, rows, start)
 
 
 def score(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:

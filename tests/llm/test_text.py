@@ -283,6 +283,22 @@ def test_toxicity_learns_word_families(spark):
     assert sum((r.score >= 0.5) == (r.toxic == 1) for r in held) >= 0.97 * len(held)
 
 
+def test_toxicity_learns_words_that_the_sample_lacks(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows = []
+    for k in range(2000):
+        words = [word() for _ in range(12)]
+        if k % 8 == 0:
+            words[rng.randrange(12)] = "quemp" if k % 160 == 0 else "zorkel"
+        rows.append((k, " ".join(words), int(k % 8 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), 200)
+    texts = spark.createDataFrame([(1, "quemp abcde"), (2, "abcde hgfed")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(texts, model).collect()}
+    assert got[1] >= 0.5 > got[2]
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, 9.0), (2, "", 9.0), (None, "you idiot " * 5000, 9.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
