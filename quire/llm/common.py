@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,16 +56,47 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 _written: list[str] = []
 
 
-def clear_written(spark: SparkSession) -> int:
-    """Delete this session's written tables, once nothing lazy refers to them; how many folders went."""
+def written() -> list[str]:
+    """Folders of the tables that this session has written and not cleared."""
+    return list(_written)
+
+
+def clear_written(spark: SparkSession, folders: Iterable[str] | None = None) -> int:
+    """Delete this session's written tables (or these of them), once nothing lazy refers to them; how many folders went."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for folder in list(_written) if folders is None else folders:
+        _written.remove(folder)
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         gone += bool(path.getFileSystem(conf).delete(path, True))
     return gone
 
 
+def put_file(spark: SparkSession, path: str, chunks: Iterable[bytes]) -> str:
+    """Write bytes to a path of the shared folder, by Hadoop's file systems; the full path."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(where, True)
+    held = bytearray()
+    for chunk in chunks:
+        held += chunk
+        if len(held) > 1 << 20:
+            out.write(held)
+            held = bytearray()
+    out.write(held)
+    out.close()
+    return fs.makeQualified(where).toString()
+
+
+def plan_table(spark: SparkSession, rows: Iterable[dict], schema: str, name: str) -> DataFrame:
+    """Rows that the driver has worked out from sums, as JSON lines in the shared folder, read back as a table."""
+    folder = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
+    _written.append(folder)
+    path = put_file(spark, f"{folder}/{name}.json", (json.dumps(r).encode() + b"\n" for r in rows))
+    return spark.read.schema(schema).json(path)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for tables of narrow rows; Spark deletes it when it is unreachable."""
     shared_dir(df.sparkSession)
@@ -80,8 +112,17 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], rows: int, limit
     return big.join(F.broadcast(small) if rows <= limit else small, on, how)
 
 
+#: More bounds than this are searched in an array; a tree of comparisons would outgrow compiled code.
+TREE_BOUNDS = 256
+
+
 def interval_index(value: Column, bounds: Sequence[int]) -> Column:
-    """How many of the ascending `bounds` are at or below `value`: a balanced tree of comparisons."""
+    """How many of the ascending `bounds` are at or below `value`: a balanced tree of comparisons, or
+    a binary search in one array of many bounds."""
+    if len(bounds) > TREE_BOUNDS:
+        table = longs(bounds)
+        steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= value, at + step).otherwise(at))
 
     def node(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -92,16 +133,9 @@ def interval_index(value: Column, bounds: Sequence[int]) -> Column:
     return node(0, len(bounds))
 
 
-def interval_value(value: Column, bounds: Sequence[int], values: Sequence[int]) -> Column:
-    """values[k] where k is interval_index(value, bounds); len(values) == len(bounds) + 1."""
-
-    def node(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(values[lo]).cast("long")
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(bounds[mid]), node(lo, mid)).otherwise(node(mid + 1, hi))
-
-    return node(0, len(bounds))
+def longs(values: Sequence[int]) -> Column:
+    """An array of fixed numbers; Spark folds it into one constant."""
+    return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
 
 
 @dataclass
@@ -178,6 +212,16 @@ def find_splitters(
 
 
 def deal(df: DataFrame, part: str, parts: int, order: list[str]) -> DataFrame:
-    """The one exchange: row to task `part`, sorted there; `_at` counts a task's rows from 0."""
+    """The one exchange: row to task `part`, sorted there; adds `at`, which counts a task's rows from 0.
+
+    The operators hand rows over with the caller's columns inside one struct, so no names clash.
+    """
     dealt = df.repartitionById(parts, F.col(part)).sortWithinPartitions(*order)
-    return dealt.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    return dealt.withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def kept_row(df: DataFrame, without: Iterable[str] = ()) -> tuple[Column, list[Column]]:
+    """The caller's columns as one struct `row`, but for those that are replaced; and how to unpack it."""
+    names = [c for c in df.columns if c not in set(without)]
+    row = F.struct(*(F.col(f"`{c}`") for c in names)) if names else F.lit(None).cast("struct<none: int>")
+    return row.alias("row"), [F.col("row").getField(c).alias(c) for c in names]

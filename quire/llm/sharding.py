@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import deal, find_splitters, materialize, shuffle_partitions
+from quire.llm.common import deal, find_splitters, kept_row, longs, materialize, shuffle_partitions
 
 
 def histogram_shards(
@@ -20,8 +20,8 @@ def histogram_shards(
 
     Rows with equal `group` columns get adjacent keys, so they share a shard unless the group
     crosses a boundary; a group of any size is cut by the hash of `tie` and of the row's number.
-    Adds columns shard (int), slot (long) and keeps all others, also ones named like these, which
-    are replaced. Null group or tie values hash like any value. Repeated rows are kept as often as
+    Adds columns shard (int), slot (long) and keeps all others; columns named like these two are
+    replaced, any other name is free. Null group or tie values hash like any value. Repeated rows are kept as often as
     they occur. An empty table returns no rows. The work within a shard is done by several tasks.
     """
     spark = df.sparkSession
@@ -29,26 +29,21 @@ def histogram_shards(
     parts = shards * pieces
     low = F.shiftrightunsigned(F.xxhash64(*tie, F.monotonically_increasing_id()), 41)
     high = F.shiftleft(F.shiftrightunsigned(F.xxhash64(*group), 24), 23)
-    keep = [c for c in df.columns if c not in ("shard", "slot")]
-    table = materialize(
-        df.select(*(F.col(f"`{c}`") for c in keep), size.cast("long").alias("_size"), high.bitwiseOR(low).alias("_key")), "sized"
-    )
-    cut = find_splitters(table, F.col("_key"), F.col("_size"), parts, tolerance)
-    table = table.withColumn("_part", cut.part(F.col("_key")))
-    counts = dict(table.groupBy("_part").count().collect())  # one row for each task at most
+    row, unpacked = kept_row(df, ("shard", "slot"))
+    table = materialize(df.select(row, size.cast("long").alias("size"), high.bitwiseOR(low).alias("key")), "sized")
+    cut = find_splitters(table, F.col("key"), F.col("size"), parts, tolerance)
+    table = table.withColumn("part", cut.part(F.col("key")))
+    counts = dict(table.groupBy("part").count().collect())  # one row for each task at most
     base, before = [], 0
     for part in range(parts):
         if part % pieces == 0:
             before = 0
         base.append(before)
         before += counts.get(part, 0)
-    dealt = deal(table, "_part", parts, ["_key"])
-    first = F.element_at(F.array(*(F.lit(b).cast("long") for b in base)), F.col("_part") + 1)
-    return dealt.select(
-        *(F.col(f"`{c}`") for c in keep),
-        F.floor(F.col("_part") / F.lit(pieces)).cast("int").alias("shard"),
-        (first + F.col("_at")).alias("slot"),
-    )
+    dealt = deal(table, "part", parts, ["key"])
+    first = F.element_at(longs(base), F.col("part") + 1)
+    shard = F.floor(F.col("part") / F.lit(pieces)).cast("int")
+    return dealt.select(*unpacked, shard.alias("shard"), (first + F.col("at")).alias("slot"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
