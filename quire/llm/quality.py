@@ -13,10 +13,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACE_RUN, materialize
+from quire.llm.common import SPACE_RUN, kept_row, materialize
 
 #: Words in a window that counts as repeated when it is found again.
 WINDOW = 8
+#: Words in a stretch whose distinct words are counted, so that the share does not depend on a text's length.
+STRETCH = 1000
+COUNTS = (
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_distinct", "n_upper", "n_letters", "n_marks", "n_stops", "n_repeat_words",
+)
 
 
 def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -24,12 +29,13 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
 
     n_words, word_chars (code points in words), n_symbols (of #*$%&|<>), n_lines (lines with a
     word), n_dup_lines (such lines equal to an earlier one), n_repeat_words (words inside 8-word
-    windows that the text holds at least twice), n_distinct, n_upper, n_letters, n_marks
-    (exclamation marks), n_stops (words that end in . ? or !), all long. Null and empty texts have
-    zeros. Windows are compared by 64-bit hashes of eight word hashes, within one text only.
+    windows that the text holds at least twice), n_distinct (distinct words of each stretch of 1000
+    words, summed), n_upper, n_letters, n_marks (exclamation marks), n_stops (words that end in . ?
+    or !), all long. Null and empty texts have zeros. Windows are compared by 64-bit hashes of eight
+    word hashes, within one text only. Columns named like the counts are replaced, any other name is free.
     """
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    df = docs.withColumn("_t", t)
+    row, unpacked = kept_row(docs, COUNTS)
+    df = docs.select(row, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_t"))
     df = df.withColumn("_w", F.array_remove(F.split("_t", SPACE_RUN), ""))
     df = df.withColumn("_lines", F.array_remove(F.transform(F.split("_t", "\n"), lambda x: F.when(x.rlike("[^\\x20\\x09-\\x0D]"), x).otherwise("")), ""))
     df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
@@ -54,14 +60,16 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_symbols": less("[#*$%&|<>]+"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_distinct": F.size(F.array_distinct("_h")).cast("long"),
+            "n_distinct": F.expr(
+                f"aggregate(sequence(0, (size(_h) - 1) div {STRETCH}), 0L, (n, c) -> n + size(array_distinct(slice(_h, c * {STRETCH} + 1, {STRETCH}))))"
+            ),
             "n_upper": less("\\p{Lu}+"),
             "n_letters": less("\\p{L}+"),
             "n_marks": less("!+"),
             "n_stops": F.size(F.split("_t", "[.?!](?=[\\x20\\x09-\\x0D]|$)")).cast("long") - 1,
         }
     )
-    return df.drop("_t", "_w", "_h", "_lines", "_win")
+    return df.select(*unpacked, *COUNTS)
 
 
 @dataclass(frozen=True)
@@ -84,7 +92,7 @@ RULES = (
     Rule("marks_per_word", "10 * n_marks > n_words"),
     Rule("repeated_windows", "100 * n_repeat_words > 15 * n_words", "n_repeat_words = 0"),
     Rule("repeated_lines", "n_dup_lines >= 2 and 10 * n_dup_lines > 2 * n_lines"),
-    Rule("few_distinct_words", "n_words >= 60 and n_words < 2000 and 100 * n_distinct < 30 * n_words"),
+    Rule("few_distinct_words", "n_words >= 60 and 100 * n_distinct < 30 * n_words"),
     Rule("few_words", "n_words < 20"),
     Rule("word_length", "word_chars > 16 * n_words or 2 * word_chars < 3 * n_words"),
     Rule("sentence_ends", "n_words >= 100 and 200 * n_stops < n_words"),
@@ -150,10 +158,11 @@ def judge(
     base_failed: fewer than 20 words, or over 30 % of words in repeated windows. quality is the
     posterior probability of being good; kept is quality >= threshold and not base_failed. The counts
     are written once, as the model needs them before any row can be judged. Null and
-    empty texts fail the base. Columns named like the added ones are replaced. An empty table
-    gives no rows.
+    empty texts fail the base; repeated rows are judged alike; texts of any length are read whole.
+    Columns named like the added ones (and the counts) are replaced, any other name is free. An empty
+    table gives no rows.
     """
-    counted = base_columns(docs, text)
+    counted = base_columns(docs.drop("votes", "base_failed", "quality", "kept"), text)
     if not keep_text:
         counted = counted.drop(text)
     votes = F.array(*(r.vote().cast("int") for r in rules))
@@ -178,5 +187,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejected documents go."""
-    return judge(docs).where("kept").select(*docs.columns)
+    """Pipeline stage: rejected documents go.
+
+    Columns keep their values, whatever their names. Null and empty texts are rejected, as too short; repeated
+    rows share a verdict, as do texts with equal votes; long texts are read whole. An empty table gives no rows.
+    """
+    row, unpacked = kept_row(docs)
+    return judge(docs.select(row, F.col("text")), keep_text=False).where("kept").select(*unpacked)
