@@ -6,10 +6,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm.common import clear_written, find_splitters, materialize
-from quire.llm.mixing import pfair_mix, quotas
-from quire.llm.quality import base_columns, fit, judge, op4_quality
+import numpy as np
+
+from quire.llm import common
+from quire.llm.common import clear_written, find_splitters, interval_index, materialize
+from quire.llm.mixing import mixing_stage, op1_mixing, pfair_mix, windows
+from quire.llm.quality import COUNTS, RULES, base_columns, fit, judge, op4_quality, quality_stage
 from quire.llm.sharding import histogram_shards, op6_sharding
+from tests.llm import brute
 from tests.llm.brute import quality_counts
 
 PYTHON = ("Python", "Pandas", "Arrow")
@@ -22,42 +26,68 @@ def plan(df):
 # ---- mixing
 
 
-def lag(rows):
-    """Largest distance of a source's blocks from its share of the window so far, over all windows."""
-    blocks = sorted({(r.slot, r.source, r.window) for r in rows}, key=lambda b: b[0])
-    assert [b[0] for b in blocks] == list(range(len(blocks)))
-    most = 0
-    for w in {b[2] for b in blocks}:
-        sources = [b[1] for b in blocks if b[2] == w]
-        total, done = collections.Counter(sources), collections.Counter()
-        for t, s in enumerate(sources, 1):
+def check_mix(rows, weights, half_rows):
+    """The whole order against a slot-by-slot fluid model and a plain scheduler of each window."""
+    assert sorted(r.position for r in rows) == list(range(len(rows)))
+    n = collections.Counter(r.source for r in rows)
+    halves = {s: -(-k // half_rows) for s, k in n.items()}
+    by_slot = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.position):
+        by_slot[r.slot].append(r)
+    assert list(by_slot) == list(range(sum(halves.values())))  # positions follow slots
+    lines, done = brute.target_lines(halves, weights), collections.Counter()
+    for t, line in enumerate(lines):
+        assert all(abs(done[s] - line[s]) < 2 for s in halves), t  # halves: less than one block
+        if t in by_slot:
+            (s,) = {r.source for r in by_slot[t]}
+            assert {r.block for r in by_slot[t]} == {done[s] // 2}
+            assert len(by_slot[t]) == min(half_rows, n[s] - done[s] * half_rows)
             done[s] += 1
-            most = max(most, *(abs(done[q] - n * t / len(sources)) for q, n in total.items()))
-    return most
+    of_window = collections.defaultdict(list)
+    for t, some in by_slot.items():
+        of_window[some[0].window].append(some[0].source)
+    names = sorted(n, key=lambda s: (s is not None, s))
+    for order in of_window.values():
+        counts = collections.Counter(order)
+        assert order == brute.earliest_deadline_first({s: counts[s] for s in names if counts[s]})
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_mix_is_a_fair_order(spark, seed):
+def test_mix_keeps_to_target_lines(spark, seed):
     rng = random.Random(seed)
     rows = [(k, rng.choices(["hot", "a", "b", None, "ü"], [50, 10, 20, 5, 3])[0], "x") for k in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, source string, slot string")
-    got = pfair_mix(df, block_rows=4, window=32).collect()
+    weights = {"hot": 5, "a": 7, "b": 1, None: 2, "ü": 3}
+    got = pfair_mix(df, weights, block_rows=8, window=32).collect()
     assert sorted(r.doc_id for r in got) == list(range(1500))
-    assert sorted(r.position for r in got) == list(range(1500))
-    by_position = sorted(got, key=lambda r: r.position)
-    assert all(a.slot <= b.slot for a, b in zip(by_position, by_position[1:]))
-    assert lag(got) < 1
-    for s, q in {(r.source, r.quota) for r in got}:
-        sizes = collections.Counter(r.block for r in got if r.source == s)
-        assert sorted(sizes) == list(range(len(sizes))) and all(n == 4 for b, n in sizes.items() if b < len(sizes) - 1)
-        assert q >= 1
+    check_mix(got, weights, 4)
+
+
+def test_mix_adds_up_no_rounding(spark):
+    """Many windows, equal thirds, and many sources far below one block a window."""
+    sizes = {"a": 3000, "b": 3000, "c": 3000} | {f"s{k:02}": 30 for k in range(40)}
+    df = spark.createDataFrame([(s, k) for s, n in sizes.items() for k in range(n)], "source string, doc_id long")
+    weights = {s: n for s, n in sizes.items()}
+    check_mix(pfair_mix(df, weights, block_rows=4, window=16).collect(), weights, 2)
+    halves, weight = np.array([10**6, 10**6, 10**6 + 1, 700]), np.array([1.0, 1.0, 1.0, 1e-3])
+    lag = 0.0
+    for at, done, _ in windows(halves, weight, 256):
+        lag = max(lag, abs(done[0] - done[1]))
+    assert lag <= 1
+
 
+def test_mix_of_documents(spark, sf):
+    df = op1_mixing(spark, sf)
+    rows = df.collect()
+    n = collections.Counter(r.source for r in rows)
+    check_mix(rows, {s: float(k) ** 0.7 for s, k in n.items()}, 16)
+    assert not any(p in plan(df) for p in PYTHON)
 
-def test_mix_follows_weights(spark):
-    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
-    got = pfair_mix(df, {"a": 3, "b": 1}, block_rows=5, window=16).collect()
-    first = [r for r in got if r.slot < 160]
-    assert {s: len({r.slot for r in first if r.source == s}) for s in "ab"} == {"a": 120, "b": 40}
+
+def test_mix_with_a_shuffled_schedule(spark, monkeypatch):
+    monkeypatch.setattr("quire.llm.mixing.BROADCAST_ROWS", -1)
+    df = spark.createDataFrame([(k, None if k % 3 else "a") for k in range(300)], "doc_id long, source string")
+    check_mix(pfair_mix(df, {"a": 1}, block_rows=4, window=16).collect(), {"a": 1, None: 1}, 2)
 
 
 def test_mix_edges(spark):
@@ -65,9 +95,29 @@ def test_mix_edges(spark):
     assert pfair_mix(empty).count() == 0 and pfair_mix(empty).columns.count("position") == 1
     odd = spark.createDataFrame([(None, None), (None, None), (1, "a"), (1, "a")], "doc_id long, source string")
     assert sorted(r.position for r in pfair_mix(odd).collect()) == [0, 1, 2, 3]
-    assert sum(quotas({"a": 1, "b": 1, "c": 1}, 16).values()) == 16
     with pytest.raises(ValueError):
-        quotas({"a": 0.0}, 4)
+        pfair_mix(odd, {"a": 0.0})
+    same = spark.createDataFrame([(None, "a")] * 4000, "doc_id long, source string")
+    tasks = collections.Counter(r.p for r in pfair_mix(same).select(F.spark_partition_id().alias("p")).collect())
+    assert max(tasks.values()) < 3000  # rows without an id are spread
+
+
+CLASHES = (*COUNTS, "kept", "votes", "quality", "base_failed", "_t", "_w", "_h", "_win", "_key", "_src", "_at", "key", "src", "row", "part", "at", "block", "window", "slot", "position", "shard", "size", "half")
+
+
+def test_native_operators_leave_other_columns_alone(spark):
+    rows = [(k, "one two three four five six seven eight nine ten " * (k % 4), "en", "ab"[k % 2]) for k in range(40)] + [(None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit("mine") for c in CLASHES})
+    for stage in (quality_stage, mixing_stage):
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns
+        assert all(r[c] == "mine" for r in got.collect() for c in CLASHES)
+        assert stage(spark, docs.limit(0), "").count() == 0
+    assert sorted(map(str, mixing_stage(spark, docs, "").collect())) == sorted(map(str, docs.collect()))
+    mine = lambda df, made: all(r[c] == "mine" for r in df.collect() for c in CLASHES if c not in made)
+    assert mine(pfair_mix(docs), ("block", "window", "slot", "position"))
+    assert mine(histogram_shards(docs, F.lit(1), ["text"], ["doc_id"]), ("shard", "slot"))
+    assert mine(judge(docs), (*COUNTS, "votes", "base_failed", "quality", "kept"))
 
 
 # ---- sharding
@@ -119,6 +169,16 @@ def test_splitters_are_exact(spark):
     assert cut.below == [sum(1 + k % 7 for k in keys if k < b) for b in cut.bounds]
 
 
+def test_many_bounds_are_searched(spark, monkeypatch):
+    bounds = sorted(random.Random(1).sample(range(10**6), 300))
+    values = [0, 10**6, *bounds, *(b - 1 for b in bounds), *(b + 1 for b in bounds)]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    for limit in (10, 1000):
+        monkeypatch.setattr(common, "TREE_BOUNDS", limit)
+        got = {r.v: r.k for r in df.select("v", interval_index(F.col("v"), bounds).alias("k")).collect()}
+        assert all(got[v] == sum(b <= v for b in bounds) for v in values)
+
+
 def test_written_tables_can_be_cleared(spark):
     clear_written(spark)
     table = materialize(spark.range(3), "t")
@@ -174,6 +234,15 @@ def test_quality_edges(spark):
     assert len(got) == 3 and all(r.base_failed and not r.kept and r.n_words == 0 for r in got)
 
 
+def test_few_distinct_words_do_not_depend_on_length(spark):
+    rng = random.Random(2)
+    poor = lambda n: " ".join(rng.choices([f"w{k}" for k in range(150)], k=n))
+    rich = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    df = spark.createDataFrame([(n, t(n), t is poor) for n in (1500, 1999, 2000, 30_000) for t in (poor, rich)], "doc_id long, text string, poor boolean")
+    k = [r.name for r in RULES].index("few_distinct_words")
+    assert all((r.votes[k] == -1) == r.poor for r in judge(df).collect())
+
+
 def test_expectation_maximisation_tells_rules_apart():
     rng = random.Random(5)
     counts = collections.Counter()
