@@ -7,10 +7,15 @@ last one is padded.
 
 Keys are hashed, so exact token counts below candidate boundaries give even ranges and the number of
 tokens before each range; one exchange then suffices.
+
+Documents that are already in a mixed order are packed along the curve within runs of consecutive
+documents only: the run's number leads the key, so every run of sequences keeps the mix.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import os
 import zlib
 from array import array
@@ -18,15 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import find_splitters, materialize, shuffle_partitions
+from quire.llm.common import find_splitters, join_small, materialize, shuffle_partitions
 
 TOKENIZER = "word_bpe_49k.json"
+#: The file for which the short cuts of WordIds were proven; any other is only used whole.
+TOKENIZER_SHA256 = "53fa9d558ea625daafcd57cd61e7be7b3c7043ea584b22d09575cf5ea9131b0a"
 #: Id put after each document.
 END_ID = 2
 DIMS, HILBERT_BITS, BUCKETS = 3, 13, 256
+#: Documents of a mixed order in one run, and the bits of a key that number runs.
+RUN_ROWS, RUN_BITS = 4096, 24
 
 
 class WordIds(dict):
@@ -35,7 +45,8 @@ class WordIds(dict):
     The tokenizer lower-cases each character by itself, drops white space and never joins a full
     stop or comma with a letter or digit before it. So a text can be parted at ASCII spaces, line
     ends and before such marks, and in Latin-1 texts be lower-cased first: far fewer words are new.
-    Texts in which a mark follows another mark are only parted at spaces and line ends.
+    Texts in which a mark follows another mark are only parted at spaces and line ends. All that
+    was proven for one tokenizer file; with any other, whole texts go to the tokenizer.
     """
 
     def __init__(self, path: str, kind: str, most: int = 300_000):
@@ -50,6 +61,7 @@ class WordIds(dict):
         # Single words take a short cut past the tokenizer's text steps only if it is known to agree.
         probe = [w for w in ("a", "word", "straße", "être", "niño") if self.short(w) != self.encode(w, add_special_tokens=False).ids]
         self.shortcut = not probe
+        self.known = _digest(path) == TOKENIZER_SHA256
 
     def short(self, word: str) -> list[int]:
         """Ids of a lower-case word of Latin-1 letters, straight from the merges."""
@@ -72,11 +84,19 @@ class WordIds(dict):
         return found
 
     def of(self, text: str) -> bytes:
+        if not self.known:
+            return array(self.code, self.encode(text, add_special_tokens=False).ids).tobytes()
         if _plain(text):
             text = text.lower().replace(".", " .").replace(",", " ,")
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@functools.cache
+def _digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def _latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -167,15 +187,19 @@ def curve_keys(counts: np.ndarray) -> np.ndarray:
     return hilbert(np.minimum((u * (1 << HILBERT_BITS)).astype(np.int64), (1 << HILBERT_BITS) - 1), HILBERT_BITS)
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, place on the curve, n tokens and ids binary of every row, as a written table."""
+def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, run: str | None = None) -> DataFrame:
+    """doc_id, key, n tokens and ids binary of every row, as a written table.
+
+    The key is the place on the curve and a tie; or, with a column `run`, that number, a coarser
+    place and a tie.
+    """
     kind = "<u2" if _small(path) else "<u4"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path, kind)
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            all_ids, texts = batch.column(0), batch.column(1)
+            all_ids, texts, runs = batch.columns
             for at in range(0, len(texts), 500):
                 some = [words.of(t or "") + end for t in texts.slice(at, 500).to_pylist()]
                 counts = np.zeros((len(some), BUCKETS))
@@ -183,15 +207,47 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                     counts[k] = np.bincount(_mix_table()[np.frombuffer(b, kind)], minlength=BUCKETS)
                 n = np.array([len(b) // np.dtype(kind).itemsize for b in some], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [all_ids.slice(at, 500), pa.array(curve_keys(counts)), pa.array(n), pa.array(some, pa.binary())],
-                    names=["doc_id", "place", "n", "ids"],
+                    [all_ids.slice(at, 500), runs.slice(at, 500), pa.array(curve_keys(counts)), pa.array(n), pa.array(some, pa.binary())],
+                    names=["doc_id", "run", "place", "n", "ids"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, place long, n long, ids binary")
+    lead = F.lit(0).cast("long") if run is None else F.col(run).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lead.alias("run"))
+    rows = rows.mapInArrow(encode, "doc_id long, run long, place long, n long, ids binary")
     # Copies share a place; a hash of the id and the row's number parts them.
-    low = 63 - DIMS * HILBERT_BITS
+    bits = DIMS * HILBERT_BITS if run is None else DIMS * (HILBERT_BITS - 4)
+    low = 63 - bits - (0 if run is None else RUN_BITS)
     tie = F.shiftrightunsigned(F.xxhash64("doc_id", F.monotonically_increasing_id()), 64 - low)
-    return materialize(rows.withColumn("key", F.shiftleft("place", low).bitwiseOR(tie)), "tokens")
+    place = F.shiftright("place", DIMS * HILBERT_BITS - bits)
+    key = F.shiftleft("run", bits + low).bitwiseOR(F.shiftleft(place, low)).bitwiseOR(tie)
+    return materialize(rows.select("doc_id", key.alias("key"), "n", "ids"), "tokens")
+
+
+def in_runs(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+    """doc_id, text, run: the rows of a table in runs of consecutive ones, by its files' names and places in them.
+
+    Rows that don't come from files are taken in the order in which Spark numbers them. Runs get
+    longer where there would be more than 2**24.
+    """
+    try:
+        rows = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:
+        number = F.monotonically_increasing_id()
+        rows = docs.select("doc_id", "text", F.shiftright(number, 33).cast("string").alias("file"), number.bitwiseAND((1 << 33) - 1).alias("at"))
+        by_name = int
+    else:
+        by_name = str
+    counts = dict(rows.groupBy("file").count().collect())  # one row a file
+    total, before = 0, []
+    for file in sorted(counts, key=by_name):
+        before.append((file, total))
+        total += counts[file]
+    if not before:
+        return rows.select("doc_id", "text", F.lit(0).cast("long").alias("run"))
+    starts = docs.sparkSession.createDataFrame(before, "file string, start long")
+    span = max(run_rows, -(-total // (1 << RUN_BITS)))
+    placed = join_small(rows, starts, ["file"], len(before), 100_000)
+    return placed.select("doc_id", "text", F.expr(f"(start + at) div {span}").alias("run"))
 
 
 _buckets: list[np.ndarray] = []
@@ -209,17 +265,18 @@ def _small(path: str) -> bool:
     return Tokenizer.from_file(path).get_vocab_size() <= 1 << 16
 
 
-def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = END_ID, run: str | None = None) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, all long.
 
     Every row of docs (doc_id, text; other columns are ignored) gives its tokens and `end_id`; each
     of them is in exactly one piece. Sequences are full but for the last. Null and empty texts give
     the end id alone. Rows with a null or repeated doc_id are packed one by one. An empty table
-    gives no rows. A document of any length is cut into as many pieces as it needs.
+    gives no rows. A document of any length is cut into as many pieces as it needs. With a column
+    `run` (whole numbers below 2**24), runs follow each other and the curve orders documents within one.
     """
     spark = docs.sparkSession
     kind = "<u2" if _small(path) else "<u4"
-    table = tokenized(docs, path, end_id)
+    table = tokenized(docs, path, end_id, run)
     parts = shuffle_partitions(spark)
     cut = find_splitters(table, F.col("key"), F.col("n"), parts, 0.05)
     bounds, base = np.array(cut.bounds, np.int64), [0, *cut.below]
@@ -230,7 +287,7 @@ def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = END_ID) -
         .select("doc_id", "key", "n", "ids")
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
         for batch in batches:
             if not len(batch):
@@ -249,7 +306,7 @@ def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = END_ID) -
                     at += size
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=PIECE)
 
-    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in PIECE))
+    return dealt.mapInArrow(cut_up, ", ".join(f"{c} long" for c in PIECE))
 
 
 PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -267,5 +324,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of the packed documents."""
-    return pack(docs.select("doc_id", "text"), tokenizer_path())
+    """Pipeline stage: the pieces of the packed documents, along the curve within runs of the mixed order.
+
+    Null and empty texts are their end id alone; null and repeated ids and repeated rows are packed one by
+    one; long texts are cut; other columns, whatever their names, are ignored. An empty table gives no rows.
+    """
+    return pack(in_runs(docs), tokenizer_path(), run="run")

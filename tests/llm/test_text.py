@@ -254,6 +254,35 @@ def test_packing_edges(spark):
     assert packing.pack(df.limit(0), packing.tokenizer_path()).count() == 0
 
 
+def test_other_tokenizers_are_used_whole(tmp_path):
+    import json
+
+    with open(packing.tokenizer_path()) as f:
+        other = json.load(f)
+    other["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    ids = packing.WordIds(str(tmp_path / "other.json"), "<u2")
+    text = "Zwei W\u00f6rter, und 3.5 e\u0301 mehr.\nEnde"
+    assert np.frombuffer(ids.of(text), "<u2").tolist() == ids.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("written", [True, False])
+def test_packing_keeps_runs_of_the_mixed_order(spark, tmp_path, written):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices("the cat sat on a mat and ran home".split(), k=30))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    if written:
+        df.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "t"))
+        df = spark.read.parquet(str(tmp_path / "t"))
+    runs = packing.in_runs(df, 50)
+    assert {r.doc_id: r.run for r in runs.collect()} == {k: k // 50 for k in range(400)}
+    pieces = packing.pack(runs, packing.tokenizer_path(), 128, run="run").collect()
+    check_pieces(pieces, rows, 128)
+    order = [r.doc_id for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset))]
+    assert [k // 50 for k in order] == sorted(k // 50 for k in order)
+    assert order != sorted(order)  # the curve orders each run
+
+
 # ---- toxicity
 
 
