@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.common import materialize
+from quire.llm.common import clear_written, materialize, written
 from quire.llm.jaccard import deduplicate_stage
 from quire.llm.mixing import mixing_stage
 from quire.llm.packing import packing_stage
@@ -29,8 +29,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. What a stage has written goes when its output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = set(written())
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        *done, _ = (f for f in written() if f not in others)
+        clear_written(spark, done)
     return STAGES[-1][1](spark, docs, sf_dir)
