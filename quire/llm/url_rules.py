@@ -2,8 +2,8 @@
 
 A rule is a host and a path prefix; it fits the host itself and all its subdomains. All rules are
 compiled into one file: sorted xxhash64 keys of "host + path", places of the full strings, verdicts
-and the strings. A url's candidate keys are its host suffixes times the prefixes of its path that
-have a length that some rule has. Candidates of a whole batch are probed by one vectorised binary search,
+and the strings. A url's candidate keys are its host suffixes (of those no longer than the longest
+rule's host) times the prefixes of its path that have a length that some rule has. Candidates of a whole batch are probed by one vectorised binary search,
 longest first, and a found key counts only if the stored string equals the candidate.
 """
 
@@ -31,7 +31,7 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-_MAGIC = b"QURLRUL1"
+_MAGIC = b"QURLRUL2"
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -48,7 +48,7 @@ def compile_rules(rules: Iterable[tuple[str, str, str]]) -> bytes:
     order = np.argsort(digests, kind="stable")
     texts = [texts[i] for i in order]
     ends = np.cumsum([len(t) for t, _ in texts], dtype=np.int64) if texts else np.zeros(0, np.int64)
-    head = np.array([len(texts), len(lengths)], np.int64)
+    head = np.array([len(texts), len(lengths), max((len(host) for host, _ in known), default=0)], np.int64)
     block = np.array([v == "block" for _, v in texts], np.uint8)
     return b"".join(
         [_MAGIC, head.tobytes(), np.array(lengths, np.int64).tobytes(), digests[order].tobytes(), ends.tobytes(), block.tobytes(), *(t for t, _ in texts)]
@@ -63,8 +63,8 @@ class RuleFile:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         if self.map[:8] != _MAGIC:
             raise ValueError("not a rule file")
-        n, m = np.frombuffer(self.map, np.int64, 2, 8)
-        at = 24
+        n, m, self.longest_host = np.frombuffer(self.map, np.int64, 3, 8).tolist()
+        at = 32
         self.lengths = np.frombuffer(self.map, np.int64, m, at).tolist()
         at += 8 * m
         self.digests = np.frombuffer(self.map, np.uint64, n, at)
@@ -96,17 +96,26 @@ class RuleFile:
                 k += 1
         return found
 
+    def suffixes(self, host: str) -> Iterator[str]:
+        """The host and its parents, as far as a rule may have them, the shortest first."""
+        end = len(host)
+        while (at := host.rfind(".", max(0, len(host) - self.longest_host - 1), end)) >= 0:
+            yield host[at + 1 :]
+            end = at
+        if len(host) <= self.longest_host:
+            yield host
+
     def judge(self, parts: list[tuple[str, str]]) -> list[tuple[str | None, str | None]]:
         """(rule, verdict) of the longest fitting rule of each (host, path), or (None, None)."""
         candidates: list[bytes] = []
         owners: list[int] = []
         for i, (host, path) in enumerate(parts):
-            labels = host.split(".")
+            suffixes = list(self.suffixes(host))
             for length in self.lengths:
                 if length <= len(path):
                     prefix = path[:length]
-                    for k in range(len(labels)):
-                        candidates.append(f"{'.'.join(labels[k:])}{prefix}".encode())
+                    for suffix in suffixes:
+                        candidates.append(f"{suffix}{prefix}".encode())
                         owners.append(i)
         out: list[tuple[str | None, str | None]] = [(None, None)] * len(parts)
         best = [-1] * len(parts)
