@@ -34,6 +34,8 @@ BITS = 15
 BUCKETS = 1 << BITS
 #: Letters scored at once; bounds the memory of a batch.
 SLICE = 1 << 19
+#: Longer texts are read in slices, with Viterbi's state carried from one to the next.
+LONG = 1 << 21
 
 
 @functools.cache
@@ -64,24 +66,58 @@ class Words:
     has_letter: np.ndarray  # by text
 
 
+def _hashes(low: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Buckets of the trigrams around the places `at` of lower-cased letters, 0 where no word is."""
+    with np.errstate(over="ignore"):
+        h = low[at - 1] * np.uint32(0x9E3779B1) ^ low[at] * np.uint32(0x85EBCA77) ^ low[np.minimum(at + 1, len(low) - 1)] * np.uint32(0xC2B2AE3D)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+    return (h >> np.uint32(32 - BITS)).astype(np.int64)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def read_words(texts: list[str]) -> Words:
     letter, word, lower, starts, names = _tables()
-    codes = np.frombuffer(("\0" + "".join(f"{t}\0" for t in texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = _codes("\0" + "".join(f"{t}\0" for t in texts))
     offsets = np.cumsum([1, *(len(t) + 1 for t in texts)])
     inside = word[codes]
     at = np.flatnonzero(inside)
     low = np.where(inside, lower[codes], 0).astype(np.uint32)
-    with np.errstate(over="ignore"):
-        h = low[at - 1] * np.uint32(0x9E3779B1) ^ low[at] * np.uint32(0x85EBCA77) ^ low[np.minimum(at + 1, len(low) - 1)] * np.uint32(0xC2B2AE3D)
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
     first = at[~inside[at - 1]]
     ends = np.flatnonzero(inside[:-1] & ~inside[1:])
     owner = np.searchsorted(offsets, first, "right") - 1
     script = names[np.searchsorted(starts, codes[first], "right") - 1]
     has = np.zeros(len(texts), bool)
     has[np.searchsorted(offsets, at[letter[codes[at]]], "right") - 1] = True
-    return Words(owner, first - offsets[owner], ends - first + 1, script, (h >> np.uint32(32 - BITS)).astype(np.int64), has)
+    return Words(owner, first - offsets[owner], ends - first + 1, script, _hashes(low, at), has)
+
+
+@dataclass
+class Slice:
+    """The letters of one slice of a text. `first` marks letters that start a word; the others go on with it."""
+
+    buckets: np.ndarray
+    place: np.ndarray  # code point of each letter in the text
+    first: np.ndarray
+    script: np.ndarray  # of the letters that start a word
+    has_letter: bool
+
+
+def slices(text: str) -> Iterator[Slice]:
+    """A text of any length in slices of SLICE code points, each read with one neighbour on either side."""
+    letter, word, lower, starts, names = _tables()
+    for begin in range(0, len(text), SLICE):
+        end = min(begin + SLICE, len(text))
+        codes = _codes((text[begin - 1] if begin else "\0") + text[begin:end] + (text[end] if end < len(text) else "\0"))
+        inside = word[codes]
+        at = np.flatnonzero(inside[1:-1]) + 1
+        low = np.where(inside, lower[codes], 0).astype(np.uint32)
+        first = ~inside[at - 1]
+        script = names[np.searchsorted(starts, codes[at[first]], "right") - 1]
+        yield Slice(_hashes(low, at), at - 1 + begin, first, script, bool(letter[codes[at]].any()))
 
 
 @dataclass
@@ -102,8 +138,11 @@ class LanguageModel:
             some = self.logp[words.buckets[base : int(ends[stop - 1])]]
             out[k:stop] = np.add.reduceat(some, (ends[k:stop] - words.length[k:stop]) - base, axis=0)
             k = stop
-        uses = self.uses[words.script]
-        return np.where(uses | ~uses.any(axis=1, keepdims=True), out, np.float32(-1e6))
+        return self.narrowed(out, words.script)
+
+    def narrowed(self, scores: np.ndarray, script: np.ndarray) -> np.ndarray:
+        uses = self.uses[script]
+        return np.where(uses | ~uses.any(axis=1, keepdims=True), scores, np.float32(-1e6))
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -170,40 +209,57 @@ def lengths_in_order(order: np.ndarray, sorted_lengths: np.ndarray) -> np.ndarra
     return out
 
 
-def train(rows: DataFrame, text: str = "text", lang: str = "lang", alpha: float = 0.5) -> LanguageModel:
-    """Count trigrams and scripts of all rows with a text and a language.
-
-    What comes to the driver is at most (BUCKETS + scripts) numbers a language; more than 500
-    languages raise an error. A language uses a script that has 1 % of its words.
-    """
+def count_trigrams(rows: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """lang, bucket, n: trigrams (and, from BUCKETS on, words by script) of all rows with a text and a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def add(name: str, buckets: np.ndarray, script: np.ndarray) -> None:
+            mine = sums.setdefault(name, np.zeros(BUCKETS + len(SCRIPT_NAMES), np.int64))
+            mine[:BUCKETS] += np.bincount(buckets, minlength=BUCKETS)
+            mine[BUCKETS:] += np.bincount(script, minlength=len(SCRIPT_NAMES))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for name, counts in sums.items():
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at])], names=["lang", "bucket", "n"]
+                )
+            sums.clear()
+
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for some, names in _chunks(texts, langs):
+                if len(some) == 1 and len(some[0]) > SLICE:
+                    for part in slices(some[0]):
+                        add(names[0], part.buckets, part.script)
+                    continue
                 words = read_words(some)
-                names = np.array(names, object)
-                of_word = np.searchsorted(known := np.unique(names.astype(str)), names[words.text].astype(str)) if len(words.text) else np.zeros(0, int)
-                known = known if len(words.text) else []
+                names = np.array(names, object).astype(str)
+                known = np.unique(names[words.text]) if len(words.text) else []
+                of_word = np.searchsorted(known, names[words.text]) if len(words.text) else np.zeros(0, int)
                 of_letter = np.repeat(of_word, words.length)
                 for k, name in enumerate(known):
-                    mine = sums.setdefault(str(name), np.zeros(BUCKETS + len(SCRIPT_NAMES), np.int64))
-                    mine[:BUCKETS] += np.bincount(words.buckets[of_letter == k], minlength=BUCKETS)
-                    mine[BUCKETS:] += np.bincount(words.script[of_word == k], minlength=len(SCRIPT_NAMES))
-        for name, counts in sums.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at])], names=["lang", "bucket", "n"]
-            )
+                    add(str(name), words.buckets[of_letter == k], words.script[of_word == k])
+            if len(sums) > 200:  # memory of a task is bounded
+                yield from out()
+        yield from out()
 
     counted = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang)
-    summed = counted.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def train(rows: DataFrame, text: str = "text", lang: str = "lang", alpha: float = 0.5) -> LanguageModel:
+    """Count trigrams and scripts of all rows with a text and a language.
+
+    What comes to the driver is at most (BUCKETS + scripts) numbers a language; texts of any length are
+    read whole, repeated rows count as often as they occur, and empty texts and an empty table add
+    nothing. A language uses a script that has 1 % of its words. Other columns are ignored.
+    """
     counts: dict[str, np.ndarray] = {}
-    for name, bucket, n in summed.toLocalIterator():
+    for name, bucket, n in count_trigrams(rows, text, lang).toLocalIterator():
         if name not in counts:
-            if len(counts) >= 500:
-                raise ValueError("more than 500 languages")
             counts[name] = np.zeros(BUCKETS + len(SCRIPT_NAMES))
         counts[name][bucket] = n
     names = sorted(counts)
@@ -213,23 +269,127 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", alpha: float
 
 
 def _chunks(texts: list, others: list, chars: int = 1 << 20) -> Iterator[tuple[list, list]]:
+    """Neighbouring texts of about `chars` together; a longer text comes alone."""
     start, size = 0, 0
     for k, t in enumerate(texts):
+        if size and size + len(t) > chars:
+            yield texts[start:k], others[start:k]
+            start, size = k, 0
         size += len(t)
-        if size >= chars:
-            yield texts[start : k + 1], others[start : k + 1]
-            start, size = k + 1, 0
     if start < len(texts):
         yield texts[start:], others[start:]
 
 
+Judged = tuple[list, list, list]
+
+
+def judge(some: list[str], model: LanguageModel, penalty: float, spans: bool) -> Judged:
+    """Languages, scores and spans of some texts, all at once."""
+    words = read_words(some)
+    n, languages = len(some), model.languages
+    if not languages:
+        return ["und"] * n, [0.0] * n, [[] for _ in some]
+    label = viterbi(model.emissions(words), np.bincount(words.text, minlength=n), penalty)
+    letters = np.zeros((n, len(languages)), np.int64)
+    np.add.at(letters, (words.text, label), words.length)
+    top = letters.argmax(axis=1)
+    share = letters[np.arange(n), top] / np.maximum(1, letters.sum(axis=1))
+    names = [languages[k] if has else "und" for k, has in zip(top.tolist(), words.has_letter.tolist())]
+    score = np.where(words.has_letter, share, 0.0).tolist()
+    found: list[list] = [[] for _ in some]
+    if spans and len(label):
+        cut = np.flatnonzero((np.diff(label) != 0) | (np.diff(words.text) != 0)) + 1
+        begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(label)]]) - 1
+        for b, e in zip(begin.tolist(), end.tolist()):
+            found[words.text[b]].append(
+                {"start": int(words.start[b]), "end": int(words.start[e] + words.length[e]), "lang": languages[label[b]]}
+            )
+    return names, score, found
+
+
+def _scored(text: str, model: LanguageModel) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Starts, lengths and scores of a text's words, and whether it has letters, slice by slice; a word that a slice cuts waits for its rest."""
+    total, start, length, script = None, 0, 0, 0  # the word at hand
+    for part in slices(text):
+        if not len(part.place):
+            continue
+        rows = model.logp[part.buckets]
+        cuts = np.flatnonzero(part.first)
+        lead = int(cuts[0]) if len(cuts) else len(rows)
+        if total is not None:
+            total = total + rows[:lead].sum(axis=0)
+            length += lead
+        done: tuple[list, list, list, list] = ([], [], [], [])
+        if len(cuts):
+            sums = np.add.reduceat(rows, cuts, axis=0)
+            sizes = np.diff(np.append(cuts, len(rows)))
+            starts = part.place[cuts]
+            if total is not None:
+                done = ([start], [length], [script], [total])
+            keep = slice(0, len(cuts) - 1)
+            cols = (
+                np.array(done[0] + starts[keep].tolist(), np.int64), np.array(done[1] + sizes[keep].tolist(), np.int64),
+                np.array(done[2] + part.script[keep].tolist(), np.int64), np.concatenate([np.array(done[3], np.float32).reshape(-1, rows.shape[1]), sums[keep]]),
+            )
+            total, start, length, script = sums[-1], int(starts[-1]), int(sizes[-1]), int(part.script[-1])
+            yield cols[0], cols[1], model.narrowed(cols[3], cols[2]), part.has_letter
+        else:
+            yield np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, rows.shape[1]), np.float32), part.has_letter
+    if total is not None:
+        yield np.array([start]), np.array([length]), model.narrowed(total[None, :].astype(np.float32), np.array([script])), False
+
+
+def judge_long(text: str, model: LanguageModel, penalty: float, spans: bool) -> tuple[str, float, list]:
+    """The same for one long text. What is kept of each word is where it is and, in bits, where its states came from."""
+    languages = model.languages
+    if not languages:
+        return "und", 0.0, []
+    state, has = None, False
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    for starts, lengths, scores, some in _scored(text, model):
+        has |= some
+        came, moved = np.zeros(len(scores), np.int16), np.zeros(scores.shape, bool)
+        for t, row in enumerate(scores.astype(np.float64)):
+            if state is None:
+                state = row
+                continue
+            came[t] = top = int(state.argmax())
+            best = state[top] - penalty
+            moved[t] = best > state
+            state = np.maximum(state, best) + row
+        kept.append((starts, lengths, came, np.packbits(moved, axis=1)))
+    if state is None:
+        return "und", 0.0, []
+    now, letters, found = int(state.argmax()), np.zeros(len(languages), np.int64), []
+    for starts, lengths, came, bits in reversed(kept):
+        moved = np.unpackbits(bits, axis=1, count=len(languages)).astype(bool)
+        label = np.zeros(len(starts), np.int64)
+        for t in range(len(starts) - 1, -1, -1):
+            label[t] = now
+            if moved[t, now]:
+                now = int(came[t])
+        np.add.at(letters, label, lengths)
+        if spans and len(label):
+            cut = np.flatnonzero(np.diff(label)) + 1
+            for b, e in zip(reversed([0, *cut.tolist()]), reversed([*cut.tolist(), len(label)])):
+                span = {"start": int(starts[b]), "end": int(starts[e - 1] + lengths[e - 1]), "lang": languages[label[b]]}
+                if found and found[-1]["lang"] == span["lang"]:
+                    span["end"] = found.pop()["end"]
+                found.append(span)
+    if not has:
+        return "und", 0.0, found[::-1]
+    top = int(letters.argmax())
+    return languages[top], float(letters[top] / max(1, letters.sum())), found[::-1]
+
+
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", penalty: float = 6.0, spans: bool = True) -> DataFrame:
     """Keep every row and add lang_pred string, score double and, if asked, spans.
 
     lang_pred is the language with the most letters, ties to the first by name; score is its share
     of the letters. Null texts and texts without a letter get `und` and score 0. With a model of no
     language every text is `und`. spans: array<struct<start, end, lang>> in code points. Whole texts
-    are read, whatever their length. Columns named like the added ones are replaced.
+    are read, whatever their length; long ones are streamed. Repeated rows are judged alike. Columns named
+    like the added ones are replaced, any other name is free. An empty table gives no rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # languages * BUCKETS floats
@@ -242,35 +402,17 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", penalty:
         span = T.StructType().add("start", "long").add("end", "long").add("lang", "string")
         schema = schema.add("spans", T.ArrayType(span))
 
-    def judge(some: list[str], model: LanguageModel) -> tuple[list, list, list]:
-        words = read_words(some)
-        n, languages = len(some), model.languages
-        if not languages:
-            return ["und"] * n, [0.0] * n, [[] for _ in some]
-        label = viterbi(model.emissions(words), np.bincount(words.text, minlength=n), penalty)
-        letters = np.zeros((n, len(languages)), np.int64)
-        np.add.at(letters, (words.text, label), words.length)
-        top = letters.argmax(axis=1)
-        share = letters[np.arange(n), top] / np.maximum(1, letters.sum(axis=1))
-        names = [languages[k] if has else "und" for k, has in zip(top.tolist(), words.has_letter.tolist())]
-        score = np.where(words.has_letter, share, 0.0).tolist()
-        found: list[list] = [[] for _ in some]
-        if spans and len(label):
-            cut = np.flatnonzero((np.diff(label) != 0) | (np.diff(words.text) != 0)) + 1
-            begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(label)]]) - 1
-            for b, e in zip(begin.tolist(), end.tolist()):
-                found[words.text[b]].append(
-                    {"start": int(words.start[b]), "end": int(words.start[e] + words.length[e]), "lang": languages[label[b]]}
-                )
-        return names, score, found
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             cols: list[list] = [[], [], []]
-            for some, _ in _chunks(texts, texts, 1 << 22):
-                for col, part in zip(cols, judge(some, model)):
+            for some, _ in _chunks(texts, texts, LONG):
+                if len(some[0]) > LONG:
+                    for col, one in zip(cols, judge_long(some[0], model, penalty, spans)):
+                        col.append(one)
+                    continue
+                for col, part in zip(cols, judge(some, model, penalty, spans)):
                     col.extend(part)
             arrays = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64())]
             if spans:
