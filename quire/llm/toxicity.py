@@ -100,7 +100,10 @@ def _weighted(training: DataFrame) -> DataFrame:
 
     marked = materialize(training.select("text", F.col("toxic").cast("int")).mapInArrow(run, "text string, toxic int, least long"), "training")
     copies = marked.groupBy("least").agg(F.count("*").alias("copies")).where("copies > 1")
-    return marked.join(copies, "least", "left").select("text", "toxic", F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight"))
+    # A group of copies may hold a third of all rows: they are dealt over 16 groups, and its count is in each.
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    dealt = marked.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(16)).cast("int"))
+    return dealt.join(copies, ["least", "salt"], "left").select("text", "toxic", F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight"))
 
 
 def _feature_counts(weighted: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quire.llm import chat, langid, packing, toxicity
+from quire.llm import chat, jaccard, langid, packing, toxicity
 from quire.llm import topk as T
 from quire.llm import url_rules as U
 from quire.llm.chat_template import FILTERS, Const, Output, TemplateError, compile_template, fold, parse
@@ -174,11 +174,39 @@ def test_near_duplicate_edges(spark):
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in near_duplicates(odd).collect())
     assert got == [("3", 1, 3), ("5", 1, 3), ("5", 1, 3), ("None", 0, None), ("None", 0, None), ("None", 1, 3)]
     kept = deduplicate_stage(spark, odd, "").collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["3", "None", "None", "None"] and kept[0].asDict().keys() == {"doc_id", "text", "comp"}
+    assert sorted(str(r.doc_id) for r in kept) == ["3", "None", "None"] and kept[0].asDict().keys() == {"doc_id", "text", "comp"}
     again = spark.createDataFrame([(1, "p q", None)] * 3, schema)
     assert deduplicate_stage(spark, again, "").count() == 1
 
 
+def test_stage_decides_by_row(spark):
+    rows = [
+        (3, "a b c d e f"), (5, "a b c d e f"), (5, "completely other words stand in here now"), (7, "a b c d e f"), (7, None), (7, None),
+        (8, "x y z"), (8, "x Y z"), (8, "x y z"), (None, "only without an id"), (None, "only without an id"), (9, "only  without an id"), (None, "k l"), (None, "k l"), (10, ""), (11, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = collections.Counter((r.doc_id, r.text) for r in deduplicate_stage(spark, docs, "").collect())
+    eight = [t for k, t in kept if k == 8]
+    assert len(eight) == 1 and eight[0].lower() == "x y z"
+    del kept[8, eight[0]]
+    want = [(3, "a b c d e f"), (5, "completely other words stand in here now"), (7, None), (7, None), (9, "only  without an id"), (None, "k l"), (10, ""), (11, "")]
+    assert kept == collections.Counter(want)
+
+
+def test_template_family_below_the_threshold_makes_few_pairs(spark):
+    """80 % of each text is the family's: similarity 2 / 3, no links, and no pair of them is ever a candidate."""
+    rng = random.Random(9)
+    template = " ".join(f"t{k}" for k in range(160))
+    docs = [f"{template} {' '.join(f'u{rng.randrange(10**9)}' for _ in range(36))}" for _ in range(150)]
+    assert all(brute.components(docs[:12])[k][1] == [k] for k in range(12))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert all(r.component_id == r.doc_id for r in near_duplicates(df).collect())
+    signatures = _signatures(df, 5, 18).cache()
+    entries = jaccard._entries(df, 5, Threshold(), jaccard.shingle_order(signatures, 18))
+    held = entries.groupBy("token").agg(F.count("*").alias("k"), F.count_if("idx").alias("ki")).collect()
+    assert sum(r.k * r.ki for r in held) < 150 * 20
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1100)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)] + [(7, 7)]
@@ -294,6 +322,47 @@ def test_toxicity_query(spark, sf):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
     assert sum(r.predicted for r in rows if labels.get(r.doc_id) == 0) <= 0.02 * len(rows)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    known = [r for r in rows if labels.get(r.doc_id) == 1 and any(w in texts[r.doc_id].lower() for w in toxicity.LEXICON)]
+    assert known and all(r.predicted for r in known)
+
+
+def test_feature_counts_match_brute_force(spark):
+    rows = [("Aa bbb bbbb", 1), ("aa bbbbb", 0), ("bbbbb ccc", 1), (None, 0), ("", 1)]
+    df = spark.createDataFrame([(t, y, 1.0) for t, y in rows], "text string, toxic int, weight double")
+    want = collections.Counter()
+    for t, y in rows:
+        for f in {"", *(f for w in set((t or "").lower().split()) if len(w) > 2 for f in toxicity.features(w))}:
+            want[f, y] += 1
+    got = {r.feature: (r.bad, r.good) for r in toxicity._feature_counts(df).collect()}
+    assert got == {f: (want[f, 1], want[f, 0]) for f, _ in want}
+
+
+def test_copies_are_one_piece_of_evidence(spark):
+    rows = [("one two three four five", 1)] * 9 + [("other words are here now", 1), (None, 0), ("", 0)]
+    got = toxicity._weighted(spark.createDataFrame(rows, "text string, toxic int")).collect()
+    assert sorted(round(18 * r.weight) for r in got) == [2] * 9 + [9, 9, 18]
+    assert sum(r.weight for r in got if r.toxic == 1) == pytest.approx(2)
+
+
+def test_label_model_tells_rates_and_languages_apart():
+    """Voters of two languages never fire together, and two voters always do."""
+    rng = np.random.default_rng(3)
+    n, m = 40_000, 7
+    toxic, other = rng.random(n) < 0.1, rng.random(n) < 0.4
+    fired = np.zeros((n, m), bool)
+    for v in range(m):
+        spoken = other if v >= 4 else ~other
+        fired[:, v] = spoken & np.where(toxic, rng.random(n) < 0.5, rng.random(n) < 0.004)
+    fired[:, 3] = fired[:, 2]
+    joint = (fired.T.astype(float) @ fired).astype(float)
+    start = np.full(m, 0.2), np.full(m, 0.01)
+    model = toxicity.fit_label_model(joint, n, *start, 0.1)
+    truth = np.array([fired[toxic].mean(axis=0), fired[~toxic].mean(axis=0)])
+    assert np.abs(model.toxic - truth[0]).max() < 0.12 and np.abs(model.clean - truth[1]).max() < 0.01
+    assert 0.07 < model.prior < 0.13 and model.correlation[2, 3] > 0.5
+    assert model.posterior([4]) > 0.5 and model.posterior([2, 3]) < model.posterior([0, 1])
+    assert model.posterior([]) < 0.2
 
 
 def test_toxicity_learns_word_families(spark):
@@ -333,9 +402,27 @@ def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, none)).collect()}
     assert got[1] == got[2] < 0.5 and len(got) == 3
+    same = spark.createDataFrame([(7, "you idiot", 1), (7, "you idiot", 0), (7, "fine words", 0)], "doc_id long, text string, toxic int")
+    scored = toxicity.score(same.select("doc_id", "text"), toxicity.train(same.select("doc_id", "text"), same.select("doc_id", "toxic"))).collect()
+    assert len(scored) == 3 and len({r.score for r in scored if r.text == "you idiot"}) == 1
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), none)).count() == 0
 
 
+CLASHES = ("score", "ids", "row", "predicted", "held_out", "cls", "text_key", "comp", "n", "key", "run", "place", "component", "file", "at")
+
+
+def test_text_stages_leave_other_columns_alone(spark, sf):
+    rows = [(k, f"word{k} and some more words that make up text number {k} " * (k % 3), "en", "s") for k in range(30)] + [(None, None, None, None), (3, "quite another text", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit("mine") for c in CLASHES})
+    for stage in (toxicity.toxicity_stage, deduplicate_stage):
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns
+        kept = got.collect()
+        assert kept and all(r[c] == "mine" for r in kept for c in CLASHES)
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    check_pieces(packing.packing_stage(spark, docs, sf).collect(), [(r[0], r[1]) for r in rows])
+
+
 # ---- urls
 
 
@@ -436,3 +523,64 @@ def test_mixed_text_falls_into_spans(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
     nothing = langid.train(df.limit(0))
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    en, de, ru = "the cat and the dog with that thing ", "der hund und die katze nicht schnell ", "собака и кошка быстро "
+    df = spark.createDataFrame([(t * 20, n) for t, n in [(en, "en"), (de, "de"), (ru, "ru")]], "text string, lang string")
+    return langid.train(df)
+
+
+def test_long_texts_are_streamed_to_the_same_result(model, monkeypatch):
+    rng = random.Random(8)
+    words = "the cat and dog der hund und katze nicht собака кошка e\u0301te 12 . x9y".split()
+    texts = [" ".join(rng.choices(words, k=rng.randrange(400))) for _ in range(12)] + ["", "...", "hund" * 300 + " the cat", "a"]
+    whole = langid.judge(texts, model, 6.0, True)
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(langid, "SLICE", size)
+        for text, *want in zip(texts, *whole):
+            got = langid.judge_long(text, model, 6.0, True)
+            assert (got[0], got[2]) == (want[0], want[2]) and got[1] == pytest.approx(want[1])
+
+
+def test_long_texts_in_a_table(spark, model, monkeypatch):
+    monkeypatch.setattr(langid, "LONG", 1000)
+    docs = spark.createDataFrame([(0, "the cat and the dog " * 200), (1, "der hund"), (2, None), (3, "собака " * 300), (3, "собака " * 300)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.lang_pred) for r in langid.identify(docs, model, spans=False).collect())
+    assert got == [(0, "en"), (1, "de"), (2, "und"), (3, "ru"), (3, "ru")]
+
+
+def test_ties_go_to_the_first_language(spark):
+    df = spark.createDataFrame([("abc abc", "xx"), ("abc abc", "aa")], "text string, lang string")
+    model = langid.train(df)
+    assert [r.lang_pred for r in langid.identify(df, model).collect()] == ["aa", "aa"]
+
+
+def test_training_counts_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SLICE", 50)
+    texts = [("Der Hund. " * 40, "de"), ("the  cat", "en"), ("кот", "ru"), (None, "en"), ("x", None), ("", "de")]
+    df = spark.createDataFrame(texts, "text string, lang string")
+    got = {(r.lang, r.bucket): r.n for r in langid.count_trigrams(df).collect()}
+    want = collections.Counter()
+    for text, lang in texts:
+        if text and lang:
+            words = langid.read_words([text])
+            want.update((lang, int(b)) for b in words.buckets)
+            want.update((lang, langid.BUCKETS + int(s)) for s in words.script)
+    assert got == dict(want)
+
+
+def test_many_languages(spark):
+    rows = [(f"word{chr(97 + k % 26)}{chr(97 + k // 26)} " * 3, f"l{k:04}") for k in range(600)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 600
+
+
+def test_long_hosts(tmp_path):
+    data = U.compile_rules([("block", "com", "/en/"), ("allow", "a.b.com", "/e"), ("block", "", "/x")])
+    (tmp_path / "r.bin").write_bytes(data)
+    rules = U.RuleFile(str(tmp_path / "r.bin"))
+    host = "w." * 500_000 + "b.com"
+    got = rules.judge([(host, "/en/1"), (host, "/x"), ("a.b.com", "/en/"), ("c.a.b.com", "/e"), ("", "/x"), ("x" * 10**6, "/en/")])
+    assert got == [("com/en/", "block"), (None, None), ("a.b.com/e", "allow"), ("a.b.com/e", "allow"), ("/x", "block"), (None, None)]
