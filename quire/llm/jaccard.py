@@ -7,10 +7,15 @@ shingles they share lie within known prefixes of both, so each set takes the l t
 estimated cost (prefix entries to scan, and candidates to verify) least, and a pair is verified
 only if its prefixes share at least the smaller of the two l.
 
+Of two sets the smaller one's entry must lie in its shorter index prefix. The frequent shingles of
+a template, last in order, mostly stay out of it, so texts that share a template but are no near
+copies rarely meet there.
+
 Large groups of copies would still give all their pairs. So while the classes that share prefix shingles
 would give many more pairs than entries, each such shingle links its classes to one pivot only;
 those pairs are verified, and what they join needs no further pairs inside. The last step takes
-all pairs that are left between different components, and so misses none.
+all pairs that are left between different components, and so misses none. Crowded shingles and their
+pivots are spread over groups in every join, so that none of them is the work of one task.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize
+from quire.llm.common import kept_row, materialize
 from quire.llm.components import components
 from quire.llm.shingles import overlap, shingle_sets
 
@@ -34,6 +39,8 @@ CROWD = 32
 SKETCH_BITS = 18
 #: Frequent shingles are spread over this many groups where only their presence counts.
 SALT = 64
+#: Crowded shingles and pivots are spread over this many groups in joins.
+SPREAD = 16
 
 
 @dataclass(frozen=True)
@@ -61,7 +68,7 @@ def _class_of(items: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """Per document its class and set size; and per task, in other rows, the sketch's counts.
+    """Per document its text's hash, class and set size; and per task, in other rows, the sketch's counts.
 
     The sketch has two tables of 2**bits counts, by the first and by the last bits of a shingle's
     hash. Copies within a task count once in it.
@@ -81,19 +88,19 @@ def _signatures(docs: DataFrame, size: int, bits: int) -> DataFrame:
                         np.add.at(sketch, cells, 1)
             none = pa.nulls(len(names), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), none, pa.nulls(len(names), pa.int64())], names=_SIG
+                [batch.column(0), batch.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), none, pa.nulls(len(names), pa.int64())], names=_SIG
             )
         for at in range(0, 2 << bits, 1 << 16):
             k = np.flatnonzero(sketch[at : at + (1 << 16)]) + at
             none = pa.nulls(len(k), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(k, pa.int32()), pa.array(sketch[k])], names=_SIG)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(k, pa.int32()), pa.array(sketch[k])], names=_SIG)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, cls long, n long, bucket int, hits long"
-    )
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, cls long, n long, bucket int, hits long")
 
 
-_SIG = ["doc_id", "cls", "n", "bucket", "hits"]
+_SIG = ["doc_id", "text_key", "cls", "n", "bucket", "hits"]
 
 
 def _cells(items: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +116,8 @@ class _Order:
     smaller one's excess.
     """
 
-    def __init__(self, bits: int, cells: np.ndarray, excess: np.ndarray):
-        self.bits, self.cells, self.excess = bits, cells, excess
+    def __init__(self, bits: int, cells: np.ndarray, excess: np.ndarray, total: int):
+        self.bits, self.cells, self.excess, self.total = bits, cells, excess, total
 
     def arrange(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The items in order, and the estimated number of sets with each of them beyond one."""
@@ -127,26 +134,35 @@ class _Order:
         return items, more
 
 
+def shingle_order(signatures: DataFrame, bits: int) -> _Order:
+    """The order from the sketch's counts; only frequent cells come to the driver."""
+    counted = signatures.where("bucket is not null")
+    total = (counted.agg(F.sum("hits")).first()[0] or 0) // 2  # shingles in all sets
+    load = total / (1 << bits)
+    often = counted.groupBy("bucket").agg(F.sum("hits").alias("hits")).where(F.col("hits") > load + 6 * load**0.5 + 4).orderBy("bucket").toArrow()
+    return _Order(bits, often.column("bucket").to_numpy().astype(np.int64), often.column("hits").to_numpy() - int(load), total)
+
+
 #: Share of shingles that some other set has, beyond what the sketch shows; only weighs costs.
 BACKGROUND = 0.05
 
 
-def choose_matches(excess: np.ndarray, base: int) -> int:
+def choose_matches(excess: np.ndarray, probe: int, index: int) -> int:
     """How many shared prefix shingles to ask for: the number with the least estimated cost.
 
-    Asking for l makes the prefix base + l long. Its cost is the entries in it, the entries of
-    others that they meet, and verifying candidates: each candidate needs l of the met entries, and
+    Asking for l makes both prefixes longer by l. The cost is the entries, the entries of others that
+    the index prefix meets, and verifying candidates: each candidate needs l of the met entries, and
     verifying one moves two whole sets. At most a sixteenth of the set is asked for.
     """
     n = len(excess)
     met = np.concatenate([[0.0], np.cumsum(excess + BACKGROUND)])
     asked = np.unique(np.maximum(1, (n // 16) >> np.arange(8)))
-    length = np.minimum(n, base + asked)
-    return int(asked[np.argmin(length + met[length] + met[length] / asked * 2 * n)])
+    seen = met[np.minimum(n, index + asked)]
+    return int(asked[np.argmin(np.minimum(n, probe + asked) + seen + seen / asked * 2 * n)])
 
 
 def _entries(docs: DataFrame, size: int, limit: Threshold, order: _Order) -> DataFrame:
-    """Prefix entries of each class: token, cls, n, pos, need (shared entries asked for), often."""
+    """Prefix entries of each class: token, cls, n, pos, need (shared entries asked for), idx (in the index prefix), crowded."""
     shared = docs.sparkSession.sparkContext.broadcast(order)  # frequent buckets only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +184,8 @@ def _entries(docs: DataFrame, size: int, limit: Threshold, order: _Order) -> Dat
                     continue
                 seen.add(name)
                 tokens, excess = order.arrange(items)
-                base = limit.probe(n)
-                need = choose_matches(excess, base)
-                length = min(n, base + need)
+                need = choose_matches(excess, limit.probe(n), limit.index(n))
+                length = min(n, limit.probe(n) + need)
                 cols[0].append(tokens[:length].view(np.int64))
                 cols[1].append(np.full(length, name))
                 cols[2].append(np.full(length, (n << 31) | need))
@@ -188,15 +203,20 @@ def _entries(docs: DataFrame, size: int, limit: Threshold, order: _Order) -> Dat
     often = F.col("place").bitwiseAND(1) == 1
     salted = packed.withColumn("salt", F.when(often, F.pmod(F.xxhash64("cls"), F.lit(SALT))).otherwise(F.lit(0)))
     once = salted.repartition("token", "salt").dropDuplicates(["token", "salt", "cls"])
-    counted = once.withColumn("k", F.expr("count(*) over (partition by token, salt)"))
-    return counted.where((F.col("k") > 1) | often).select(
+    rows = once.select(
         "token",
+        "salt",
         "cls",
         F.shiftright("shape", 31).alias("n"),
         F.shiftright("place", 1).alias("pos"),
         F.col("shape").bitwiseAND((1 << 31) - 1).alias("need"),
-        ((F.col("k") > CROWD) | often).alias("crowded"),
+        often.alias("often"),
     )
+    index = f"n - (2 * {limit.num} * n + {limit.num + limit.den - 1}) div {limit.num + limit.den}"
+    rows = rows.withColumn("idx", F.expr(f"pos < {index} + need"))
+    counted = rows.withColumns({"k": F.expr("count(*) over (partition by token, salt)"), "ki": F.expr("count_if(idx) over (partition by token, salt)")})
+    met = ((F.col("k") > 1) & (F.col("ki") > 0)) | F.col("often")
+    return counted.where(met).select("token", "cls", "n", "pos", "need", "idx", ((F.col("k") > CROWD) | F.col("often")).alias("crowded"))
 
 
 def _members(docs: DataFrame, size: int, classes: DataFrame, bits: int = 22) -> DataFrame:
@@ -237,8 +257,8 @@ def _members(docs: DataFrame, size: int, classes: DataFrame, bits: int = 22) ->
     return found.join(classes, "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def _verified(pairs: DataFrame, members: DataFrame, limit: Threshold) -> DataFrame:
-    """The pairs (a, b) of classes that reach the threshold."""
+def _verified(pairs: DataFrame, members: DataFrame, limit: Threshold, stars: bool = False) -> DataFrame:
+    """The pairs (a, b) of classes that reach the threshold; with stars=True few classes are a, some very often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,8 +270,19 @@ def _verified(pairs: DataFrame, members: DataFrame, limit: Threshold) -> DataFra
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     side = lambda c: members.select(F.col("cls").alias(c), F.col("items").alias(f"{c}_items"))
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_items", "b_items")
-    return joined.mapInArrow(run, "a long, b long")
+    if stars:
+        pivots = side("a").join(pairs.select("a").distinct(), "a", "left_semi")
+        joined = _spread_join(pairs.select("a", "b"), pivots, "a", "b").join(side("b"), "b")
+    else:
+        joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return joined.select("a", "b", "a_items", "b_items").mapInArrow(run, "a long, b long")
+
+
+def _spread_join(many: DataFrame, few: DataFrame, key: str, part: str) -> DataFrame:
+    """Join on a key that many rows share: they are dealt over groups by `part`, and each of the few rows is in every group."""
+    left = many.withColumn("salt", F.pmod(F.xxhash64(part), F.lit(SPREAD)).cast("int"))
+    right = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return left.join(right, [key, "salt"]).drop("salt")
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -274,11 +305,12 @@ def _star_round(crowded: DataFrame, labels: DataFrame, members: DataFrame, limit
     held = crowded.select("token", "cls").join(shapes.select("cls", "weight"), "cls")
     pivots = held.groupBy("token").agg(F.max_by("cls", F.struct("weight", "cls")).alias("a"))
     about = lambda side: shapes.select(*(F.col(c).alias(d) for c, d in zip(("cls", "n", "need", "comp"), (side, f"{side}_n", f"{side}_need", f"{side}_comp"))))
-    stars = crowded.select("token", F.col("cls").alias("b")).join(pivots, "token").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    pairs = stars.where("a <> b").join(about("b"), "b").join(about("a"), "a")
+    stars = _spread_join(crowded.select("token", F.col("cls").alias("b")), pivots, "token", "b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    chosen = about("a").join(pivots.select("a").distinct(), "a", "left_semi")
+    pairs = _spread_join(stars.where("a <> b").join(about("b"), "b"), chosen, "a", "b")
     fit = limit.den * F.least("a_n", "b_n") >= limit.num * F.greatest("a_n", "b_n")
     pairs = pairs.where((F.col("a_comp") != F.col("b_comp")) & fit & (F.col("shared") >= F.least("a_need", "b_need")))
-    return _relabel(labels, materialize(_verified(pairs, members, limit), "links"))
+    return _relabel(labels, materialize(_verified(pairs, members, limit, stars=True), "links"))
 
 
 def link_classes(
@@ -288,19 +320,21 @@ def link_classes(
 
     Classes that are missing are linked to none.
     """
-    counted = signatures.where("bucket is not null")
-    total = (counted.agg(F.sum("hits")).first()[0] or 0) // 2  # shingles in all sets
-    load = total / (1 << bits)
-    often = counted.groupBy("bucket").agg(F.sum("hits").alias("hits")).where(F.col("hits") > load + 6 * load**0.5 + 4).orderBy("bucket").toArrow()
-    order = _Order(bits, often.column("bucket").to_numpy().astype(np.int64), often.column("hits").to_numpy() - int(load))
+    order = shingle_order(signatures, bits)
+    total = order.total
     entries = materialize(_entries(docs, size, limit, order), "entries")
-    crowded = materialize(entries.where("crowded").drop("crowded"), "crowded")
+    # A shingle that is in no index prefix gives no candidates.
+    crowded = entries.where("crowded").drop("crowded")
+    useful = crowded.where("idx").select("token").distinct()
+    crowded = materialize(_spread_join(crowded, useful, "token", "cls"), "crowded")
     labels = materialize(crowded.select("cls", F.col("cls").alias("comp")).distinct(), "labels")
     members, before = None, 0
     for step in range(rounds + 1):
-        by_comp = crowded.select("token", "cls").join(labels, "cls").groupBy("token", "comp").agg(F.count("*").alias("k"))
-        main = materialize(by_comp.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("k")), "main")
-        left = main.agg(F.sum((F.col("k") - F.col("most")) * F.col("k"))).first()[0] or 0
+        by_comp = crowded.select("token", "cls", "idx").join(labels, "cls").groupBy("token", "comp").agg(F.count("*").alias("k"), F.count_if("idx").alias("ki"))
+        largest = F.max(F.struct("k", "comp", "ki")).alias("m")
+        main = by_comp.groupBy("token").agg(largest, F.sum("k").alias("k"), F.sum("ki").alias("ki"))
+        main = materialize(main.select("token", F.col("m.comp").alias("main"), F.expr("(ki - m.ki) * k + m.ki * (k - m.k)").alias("left")), "main")
+        left = main.agg(F.sum("left")).first()[0] or 0
         if left <= patience * total or step == rounds or (step > 2 and left > 0.95 * before):
             break
         before = left
@@ -310,17 +344,17 @@ def link_classes(
         labels = _star_round(crowded, labels, members, limit, step)
     # All pairs left: in a crowded shingle those with a class outside of its main component.
     none = F.lit(None).cast("long")
-    known = crowded.join(labels, "cls").join(main.select("token", "main"), "token")
-    plain = entries.where("not crowded").drop("crowded").withColumns({"comp": F.col("cls"), "main": none})
+    known = _spread_join(crowded.join(labels, "cls"), main.where(F.col("left") > 0).select("token", "main"), "token", "cls").withColumn("crowded", F.lit(True))
+    plain = entries.where("not crowded").withColumns({"comp": F.col("cls"), "main": none})
     rows = known.select(*plain.columns).unionByName(plain)
-    side = lambda df, s: df.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "pos", "need", "comp", "main")))
     outside = F.col("main").isNull() | (F.col("comp") != F.col("main"))
-    met = side(rows.where(outside), "a").join(side(rows, "b"), "token").where(F.expr(_meets(limit)))
-    # One pair may come as (x, y) in one shingle and as (y, x) in another: in order of names it has one count.
-    swap = F.col("a_cls") > F.col("b_cls")
-    one = lambda s, t, c: F.when(swap, F.col(f"{t}_{c}")).otherwise(F.col(f"{s}_{c}")).alias(f"{s}_{c}")
-    met = met.select(*(one(s, t, c) for s, t in (("a", "b"), ("b", "a")) for c in ("cls", "n", "pos", "need")))
-    found = met.groupBy("a_cls", "b_cls", "a_n", "b_n", "a_need", "b_need").agg(
+    once = F.when(F.col("crowded"), F.pmod(F.xxhash64("cls"), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0))
+    copies = F.explode(F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))
+    side = lambda df, s, salt: df.select("token", salt.alias("salt"), *(F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "pos", "need", "comp")))
+    meets = F.expr(_meets(limit))
+    met = side(rows.where(outside & F.col("idx")), "a", copies).join(side(rows, "b", once), ["token", "salt"]).where(meets)
+    inner = side(known.where(~outside & F.col("idx")), "a", once).join(side(known.where(outside), "b", copies), ["token", "salt"]).where(meets)
+    found = met.unionByName(inner).groupBy("a_cls", "b_cls", "a_n", "b_n", "a_need", "b_need").agg(
         F.count("*").alias("shared"), F.min("a_pos").alias("a_pos"), F.min("b_pos").alias("b_pos")
     )
     num, den = limit.num, limit.den
@@ -335,20 +369,37 @@ def link_classes(
 def _meets(limit: Threshold) -> str:
     """Condition under which entries a and b of one shingle may be among the first shared ones of a pair.
 
-    Each pair of classes comes once a shingle: for crowded shingles a is outside of the main component, so b may
-    be inside; else the names decide. The smaller set's entry must be in its index prefix. At most
-    need - 1 shared shingles come before one that counts, so what follows bounds the overlap.
+    a is the smaller set (of equal ones the lesser name), and its entry is in its index prefix, so a pair
+    comes once a shingle and always in one order. At most need - 1 shared shingles come before one that
+    counts, so what follows bounds the overlap.
     """
     num, den = limit.num, limit.den
-    index = lambda s: f"{s}_pos < {s}_n - (2 * {num} * {s}_n + {num + den - 1}) div {num + den} + {s}_need"
     return (
-        f"a_comp <> b_comp and (a_cls < b_cls or b_comp <=> b_main) "
-        f"and {den} * least(a_n, b_n) >= {num} * greatest(a_n, b_n) "
-        f"and {num + den} * (least(a_n - a_pos, b_n - b_pos) + least(a_need, b_need) - 1) >= {num} * (a_n + b_n) "
-        f"and (({index('a')} and (a_n < b_n or (a_n = b_n and a_cls < b_cls))) or ({index('b')} and (b_n < a_n or (a_n = b_n and b_cls < a_cls))))"
+        f"a_comp <> b_comp and (a_n < b_n or (a_n = b_n and a_cls < b_cls)) and {den} * a_n >= {num} * b_n "
+        f"and {num + den} * (least(a_n - a_pos, b_n - b_pos) + least(a_need, b_need) - 1) >= {num} * (a_n + b_n)"
     )
 
 
+def _grouped(docs: DataFrame, size: int, limit: Threshold) -> DataFrame:
+    """For each row doc_id, text_key, n, class_size, comp (null if it is linked to none) and component (least doc_id)."""
+    signatures = materialize(_signatures(docs, size, SKETCH_BITS), "signatures")
+    labels = link_classes(docs, signatures, size, limit)
+    found = signatures.where("bucket is null").select("doc_id", "text_key", "cls", "n")
+    classes = found.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("class_size"))
+    classes = classes.join(labels, "cls", "left").select("cls", "low", "class_size", F.coalesce("comp", "cls").alias("comp"), F.col("comp").isNotNull().alias("met"))
+    # Classes that met no other are their own component; the rest are few.
+    classes = materialize(classes.where("met or class_size > 1"), "classes")
+    lows = classes.groupBy("comp").agg(F.min("low").alias("component"))
+    named = classes.join(lows, "comp").select("cls", "class_size", "comp", "component")
+    # A class may hold a third of all rows: its name is copied to several groups.
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    salt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SPREAD)).cast("int")
+    joined = found.withColumn("salt", salt).join(named, ["cls", "salt"], "left")
+    none = F.lit(None).cast("long")
+    of = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(none).alias(c)
+    return joined.select("doc_id", "text_key", "n", of("class_size"), of("comp"), of("component"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, limit: Threshold = Threshold()) -> DataFrame:
     """doc_id, n_shingles, class_size (copies of its set), component_id: one row for each row of docs.
 
@@ -359,22 +410,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: Threshold = Threshold
     give the component's id. Repeated rows stay as they are. Other columns of docs are ignored.
     Sets are compared by 64-bit hashes of shingles and named by a 64-bit hash.
     """
-    signatures = materialize(_signatures(docs, size, SKETCH_BITS), "signatures")
-    labels = link_classes(docs, signatures, size, limit)
-    found = signatures.where("bucket is null").select("doc_id", "cls", "n")
-    classes = found.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("class_size"))
-    classes = classes.join(labels, "cls", "left").select("cls", "low", "class_size", F.coalesce("comp", "cls").alias("comp"), F.col("comp").isNotNull().alias("met"))
-    # Classes that met no other are their own component; the rest are few.
-    classes = materialize(classes.where("met or class_size > 1"), "classes")
-    lows = classes.groupBy("comp").agg(F.min("low").alias("component"))
-    named = classes.join(lows, "comp").select("cls", "class_size", "component")
-    # A class may hold a third of all rows: its name is copied to several groups.
-    spread = 16
-    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    salt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(spread)).cast("int")
-    joined = found.withColumn("salt", salt).join(named, ["cls", "salt"], "left")
-    alone = (F.col("n") == 0) | F.col("class_size").isNull()
-    return joined.select(
+    rows = _grouped(docs, size, limit)
+    alone = F.col("comp").isNull()
+    return rows.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
@@ -389,15 +427,26 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays, once.
+    """Pipeline stage: of each group of linked rows one stays, the one with the smallest id.
 
-    Rows without a doc_id stay.
+    Rows are told apart by doc_id and text, so ids that stand for several texts lose none but copies: of a
+    group's rows with its smallest id the text with the least hash stays, and of equal rows the first. A
+    group of rows without an id keeps one too. Null and empty texts, and long ones without a copy, stay;
+    columns keep their values, whatever their names. An empty table gives no rows.
     """
-    found = materialize(near_duplicates(docs.select("doc_id", "text")), "found")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    again = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if again.limit(1).count():  # ids with several rows: equal texts stay once
-        repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(repeated)
-    return kept.select(*docs.columns)
+    found = materialize(_grouped(docs.select("doc_id", "text"), 5, Threshold()).where("comp is not null").drop("n", "class_size"), "found")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component")))
+    lead = first.groupBy("comp").agg(F.min("text_key").alias("lead"), F.count("*").alias("rows"))
+    again = first.join(lead.where("rows > 1"), "comp")  # ids that stand for several rows of a group
+    behind = again.where("text_key <> lead").select("doc_id", "text_key")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component"))).select("doc_id", "text_key").union(behind).distinct()
+    repeated = materialize(again.where("text_key = lead").groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "again")
+
+    row, unpacked = kept_row(docs)
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    same = lambda df: F.col("id").eqNullSafe(df["doc_id"]) & (F.col("key") == df["text_key"])
+    kept = rows.join(gone, same(gone), "left_anti")
+    if repeated.limit(1).count():
+        one = kept.join(repeated, same(repeated), "left_semi").groupBy("id", "key").agg(F.first("row").alias("row"))
+        kept = kept.join(repeated, same(repeated), "left_anti").select("row").unionByName(one.select("row"))
+    return kept.select(*unpacked)
