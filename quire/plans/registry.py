@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import fields as V
 from quire.functions import identifiers as I
 from quire.functions import text as X
 from quire.functions import unicode as U
@@ -854,7 +855,7 @@ def content_types(spark, d):
 def conflict_equivalence(spark, d):
     p = read_table(spark, d, "part")
     other = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("<i>"), F.upper("p_name"), F.lit("</i>  "))).otherwise(F.concat(F.col("p_name"), F.lit("!")))
-    return p.select("p_partkey", K.equivalent(F.lit("title"), F.col("p_name"), other).alias("same"))
+    return p.select("p_partkey", V.equivalent(F.lit("title"), F.col("p_name"), other).alias("same"))
 
 
 # ---- documents (sequential text algorithms: checked by tests, not by SQL)

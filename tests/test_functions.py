@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import fields as V
 from quire.functions import identifiers as I
 from quire.functions import text as X
 from quire.functions import unicode as U
@@ -38,18 +39,96 @@ def test_sentences():
     assert U.split_sentences("") == []
 
 
-def test_titles_and_authors():
-    assert U.clean_title_text("A <i>b</i> $\\mu$ test &amp; more") == "A b μ test & more"
-    assert U.clean_title_text("Keep $\\frac{1}{2}$") == "Keep $\\frac{1}{2}$"
-    assert U.author_names("Smith, John") == ["Smith, John"]
-    assert U.author_names("Alice Smith, Bob Jones and Dr. Carl Doe*1") == ["Alice Smith", "Bob Jones", "Carl Doe"]
-    assert U.author_fault("a@b.c") == "author_contact"
-    assert U.author_fault("University of X") == "author_affiliation_or_role"
-    assert U.author_fault("Ada Lovelace") is None
-    assert U.abstract_fault(" ") == "empty_abstract"
-    assert U.abstract_fault("2019 IEEE Conference on Things") == "publication_heading"
-    assert U.abstract_fault("We propose a thing.") is None
-    assert U.corroborates("Hello World", "say hello-world!") and not U.corroborates("", "x")
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("A <i>b</i> $\\mu$ test &amp; more", "A b μ test & more"), ("Keep $\\frac{1}{2}$ here", "Keep $\\frac{1}{2}$ here"), ("a $5 note", "a $5 note"),
+        ("5 <inline-formula><tex-math notation=\"x\"> $\\Delta{}$ </tex-math></inline-formula>-sigma", "5 Δ-sigma"), ("H<sub>2</sub>O <b class='x'>bold</b>", "H2O bold"),
+    ],
+)
+def test_clean_title(spark, value, want):
+    assert one(spark, V.clean_title(F.col("t")), t=value) == want
+
+
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("Smith, John; Doe, Jane", ["Smith, John", "Doe, Jane"]), ("Alice Smith and Bob Jones", ["Alice Smith", "Bob Jones"]), ("Alice Smith, Bob Jones and Dr. Carl Doe*1", ["Alice Smith", "Bob Jones", "Carl Doe"]),
+        ("A. Smith, B. Jones", ["A. Smith", "B. Jones"]), ("Tasripan; 王小明; Ludwig van Beethoven", ["Tasripan", "王小明", "Ludwig van Beethoven"]), ("Mar&iacute;a Moure", ["María Moure"]),
+        ("Tasripan1, 王小明2 and Alice Smith3, Student Member, IEEE", ["Tasripan, 王小明", "Alice Smith"]), ("", []), (None, []),
+    ],
+)
+def test_parse_authors(spark, value, want):
+    assert one(spark, V.parse_authors(F.col("t")), t=value) == want
+
+
+PAPER = "A Picosecond Resolution Time Digitizer"
+
+
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [
+        ("RANGE SENSORS", "author_title_or_prose"), ("INTERNATIONAL TEST", "author_title_or_prose"), ("Politecnico di Milano", "author_affiliation_or_role"), ("CNRS/Univ. Montpellier", "author_affiliation_or_role"),
+        ("ST Microelectronics", "author_affiliation_or_role"), ("via Ferrata", "author_front_matter"), ("/glyph /glyph", "damaged_author"), ("Received August", "author_front_matter"),
+        ("Emails: {alice", "author_front_matter"), ("Mehdi Bandali Ph.D", "author_front_matter"), ("A PicosecondResolutionTimeDigitizer", "author_title_fragment"), ("Picosecond Time", "author_title_fragment"),
+        ("IEEE", "author_affiliation_or_role"), ("user123", "unverified_account_name"), ("alice@example.org", "author_contact"), ("", "empty_author"), ("12", "empty_author"),
+        ("Alice Smith", None), ("G. Avolio", None), ("王小明", None), ("Tasripan", None), ("MAY LI", None), ("Rosemary O'Keeffe", None), ("Rue Smith", None),
+    ],
+)
+def test_author_problem(spark, name, want):
+    assert one(spark, V.author_problem(F.col("t"), F.lit(PAPER)), t=name) == want
+
+
+def test_authors_problem(spark):
+    rows = spark.createDataFrame([(["Alice Smith", "user123"],), (["Alice Smith"],), ([],), (None,)], "a array<string>")
+    assert [r.p for r in rows.select(V.authors_problem(F.col("a")).alias("p")).collect()] == ["unverified_account_name", None, "empty_authors", "empty_authors"]
+
+
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("IEEE Journal;2024;1;2;10.1234/example", "publication_stamp"), ("Instructions for Paper Preparation", "template_or_subject"), ("2024 International Conference on Circuits", "publication_heading"), (" ", "empty_abstract"), (None, "empty_abstract"),
+        ("\ufffd" * 20, "damaged_text"), ("https://a.b/c", "template_or_subject"), ("We propose a TDC; its precision improves.", None), ("This paper extends 10.1234/example.", None), ("本文提出一种时间数字转换器。", None), ("A compact TDC.", None),
+        ("Workshop notes: we propose a thing", None),
+    ],
+)
+def test_abstract_problem(spark, value, want):
+    assert one(spark, V.abstract_problem(F.col("t")), t=value) == want
+
+
+def test_corroborates(spark):
+    both = lambda v, e: one(spark, V.corroborates(F.col("v"), F.col("e")), v=v, e=e)
+    assert both("Hello World", "say hello-world!") and not both("", "x") and not both("Händel", "Handel") and both("ﬁne", "a fine day")
+
+
+@pytest.mark.parametrize(
+    ("field", "left", "right", "want"),
+    [
+        ("title", "A<sup>2</sup> – <i>b</i>", "a2 - B", True), ("title", "1-2 GHz", "12 GHz", False), ("abstract", "A+B", "AB", False), ("abstract", "Ab", "ab", False), ("venue", "“X”", '"x"', True),
+        ("authors", "J. R. Smith Jr.", "J.R. Smith Jr", True), ("authors", "Changqing. Feng", "Changqing Feng", True), ("authors", "Gabor. C. Temes", "Gabor C. Temes", True), ("authors", "A. Smith", "A Smith", False),
+        ("authors", "Changqing.Feng", "Changqing Feng", False), ("authors", "Changqing.. Feng", "Changqing Feng", False), ("authors", "Händel", "Handel", False), ("authors", "Ann-Marie Smith", "Ann Marie Smith", False), ("publication_date", "2020-01-01", "D:20200101000000", False),
+    ],
+)
+def test_equivalence(spark, field, left, right, want):
+    assert one(spark, V.equivalent(F.col("f"), F.col("a"), F.col("b")), f=field, a=left, b=right) is want
+
+
+def test_equivalent_lists_and_bylines(spark):
+    rows = [
+        ("authors", ["Alice", "Bob"], ["Bob", "Alice"], False, False), ("authors", ["Alice", "Alice"], ["Alice"], False, False), ("authors", ["Alice Smith."], ["Alice Smith"], True, False),
+        ("tag:author_terms", ["TDC", "ADC"], ["adc", "tdc", "TDC"], True, None), ("authors", ["G. Avolio"], ["Giuseppe Avolio"], False, True), ("authors", ["P.M. Levine", "G.W. Roberts"], ["Peter M. Levine", "Gordon W. Roberts"], False, True),
+        ("authors", ["J.-P. Jansson"], ["Jussi-Pekka Jansson"], False, True), ("authors", ["J. L. Cura"], ["José L. Cura"], False, True), ("authors", ["Giovanni Avolio"], ["Giuseppe Avolio"], False, False),
+        ("authors", ["G. Avolio"], ["Giuseppe Avorio"], False, False), ("authors", ["G. Avolio"], ["Giuseppe A. Avolio"], False, False), ("authors", ["G. Avolio", "P. Smith"], ["Peter Smith", "Giuseppe Avolio"], False, False),
+        ("authors", ["G. Avolio", "G. Avolio"], ["Giuseppe Avolio"], False, False), ("authors", ["G. Avolio", "G. Avolio"], ["Giuseppe Avolio", "Giovanni Avolio"], False, False),
+        ("authors", ["G. Avolio", "Ann-Marie Smith"], ["Giuseppe Avolio", "Ann Marie Smith"], False, False), ("authors", ["G. Avolio", "Peter Smith'"], ["Giuseppe Avolio", "Peter Smith"], False, False),
+        ("authors", ["A. Ann-Smith"], ["Alice Ann Smith"], False, False), ("authors", ["J. Peter-Paul Smith"], ["John Peter Paul Smith"], False, False), ("authors", ["P. Palojarvi"], ["Pasi Palojärvi"], False, False), ("authors", ["A"], ["Alice"], False, False),
+        ("authors", [], [], True, False), ("authors", ["J. Smith", "Ann Lee"], ["John Smith", "Ann Lee"], False, True),
+    ]
+    df = spark.createDataFrame([(k, *r[:3]) for k, r in enumerate(rows)], "k int, f string, a array<string>, b array<string>")
+    got = df.select("k", V.equivalent_lists(F.col("f"), F.col("a"), F.col("b")).alias("same"), V.byline_abbreviated(F.col("a"), F.col("b")).alias("short")).collect()
+    for r in got:
+        want = rows[r.k]
+        assert r.same == want[3] and want[4] in (None, r.short), want
 
 
 @pytest.mark.parametrize(

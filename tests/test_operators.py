@@ -72,6 +72,17 @@ def test_sections():
     assert D.sections_of([]) == []
 
 
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("2.1 Architecture", ("2.1", "Architecture")), ("IV. RESULTS", ("IV", "RESULTS")), ("II-A. Setup", ("II-A", "Setup")), ("i think so", None), ("I think this is a very long line of plain prose", None),
+        ("3) Method:", ("3", "Method:")), ("1 2.5 3.5 4.5", None), ("1 Introduction.", None), ("Results and discussion:", (None, "Results and Discussion")), ("LONG TITLE", (None, "LONG TITLE")), ("A", None), ("A B.", None), ("• abstract", (None, "Abstract")),
+    ],
+)
+def test_headings(line, want):
+    assert D.heading(line) == want
+
+
 def test_chunks():
     with pytest.raises(ValueError):
         D.check_limits(100, 100, 120)
@@ -237,17 +248,6 @@ def test_streams(spark, sf, tmp_path):
     assert spark.table("days").count() > 0
 
 
-def test_equivalence_and_bylines():
-    assert K.canonical("title", "A<sup>2</sup> – <i>b</i>") == K.canonical("title", "a2 - B")
-    assert K.canonical("authors", "J. R. Smith Jr.") == K.canonical("authors", "J.R. Smith Jr")
-    assert K.canonical("abstract", "Ab") != K.canonical("abstract", "ab")
-    assert K.same_byline(["J. Smith", "Ann Lee"], ["John Smith", "Ann Lee"])
-    assert not K.same_byline(["J. Smith"], ["John Smyth"])
-    assert not K.same_byline(["John Smith"], ["John Smith"])
-    assert not K.same_byline(["J. Smith", "J. Smith"], ["John Smith", "Jane Smith"])
-    assert not K.same_byline([], [])
-
-
 @pytest.mark.parametrize(("text", "want"), [("2015", 2015), ("July 2015", 2015), ("999", None), ("a-1999-b", 1999), ("12345", None), ("", None), (None, None)])
 def test_parse_year(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
