@@ -254,7 +254,9 @@ def _members(docs: DataFrame, size: int, classes: DataFrame, bits: int = 22) ->
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "items"])
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "cls long, items binary")
-    return found.join(classes, "cls", "left_semi").dropDuplicates(["cls"])
+    # A class of many copies comes from every task: its rows become few before they meet.
+    few = found.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SPREAD))).dropDuplicates(["cls", "salt"]).drop("salt")
+    return few.join(classes, "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def _verified(pairs: DataFrame, members: DataFrame, limit: Threshold, stars: bool = False) -> DataFrame:
@@ -314,7 +316,7 @@ def _star_round(crowded: DataFrame, labels: DataFrame, members: DataFrame, limit
 
 
 def link_classes(
-    docs: DataFrame, signatures: DataFrame, size: int, limit: Threshold, bits: int = SKETCH_BITS, patience: float = 0.05, rounds: int = 6
+    docs: DataFrame, signatures: DataFrame, size: int, limit: Threshold, bits: int = SKETCH_BITS, patience: float = 0.005, rounds: int = 6
 ) -> DataFrame:
     """(cls, comp) of classes that are linked to others: equal comp means connected by links.
 
@@ -323,10 +325,7 @@ def link_classes(
     order = shingle_order(signatures, bits)
     total = order.total
     entries = materialize(_entries(docs, size, limit, order), "entries")
-    # A shingle that is in no index prefix gives no candidates.
-    crowded = entries.where("crowded").drop("crowded")
-    useful = crowded.where("idx").select("token").distinct()
-    crowded = materialize(_spread_join(crowded, useful, "token", "cls"), "crowded")
+    crowded = materialize(entries.where("crowded").drop("crowded"), "crowded")
     labels = materialize(crowded.select("cls", F.col("cls").alias("comp")).distinct(), "labels")
     members, before = None, 0
     for step in range(rounds + 1):
