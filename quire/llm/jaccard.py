@@ -316,7 +316,7 @@ def _star_round(crowded: DataFrame, labels: DataFrame, members: DataFrame, limit
 
 
 def link_classes(
-    docs: DataFrame, signatures: DataFrame, size: int, limit: Threshold, bits: int = SKETCH_BITS, patience: float = 0.005, rounds: int = 6
+    docs: DataFrame, signatures: DataFrame, size: int, limit: Threshold, bits: int = SKETCH_BITS, patience: float = 0.005, rounds: int = 4
 ) -> DataFrame:
     """(cls, comp) of classes that are linked to others: equal comp means connected by links.
 
@@ -334,7 +334,7 @@ def link_classes(
         main = by_comp.groupBy("token").agg(largest, F.sum("k").alias("k"), F.sum("ki").alias("ki"))
         main = materialize(main.select("token", F.col("m.comp").alias("main"), F.expr("(ki - m.ki) * k + m.ki * (k - m.k)").alias("left")), "main")
         left = main.agg(F.sum("left")).first()[0] or 0
-        if left <= patience * total or step == rounds or (step > 2 and left > 0.95 * before):
+        if left <= patience * total or step == rounds or (step > 1 and left > 0.9 * before):
             break
         before = left
         if members is None:
@@ -349,10 +349,18 @@ def link_classes(
     outside = F.col("main").isNull() | (F.col("comp") != F.col("main"))
     once = F.when(F.col("crowded"), F.pmod(F.xxhash64("cls"), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0))
     copies = F.explode(F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))
-    side = lambda df, s, salt: df.select("token", salt.alias("salt"), *(F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "pos", "need", "comp")))
+    # Sets whose sizes are too far apart don't meet: b is in the size class of a or in the next one.
+    ratio = 1.05 * limit.den / limit.num
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio))).cast("int")
+
+    def side(df: DataFrame, s: str, salt) -> DataFrame:
+        df = df.withColumn("salt", salt).withColumn("size_class", F.explode(F.array(size_class, size_class + 1)) if s == "a" else size_class)
+        return df.select(*on, *(F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "pos", "need", "comp")))
+
+    on = ["token", "salt", "size_class"]
     meets = F.expr(_meets(limit))
-    met = side(rows.where(outside & F.col("idx")), "a", copies).join(side(rows, "b", once), ["token", "salt"]).where(meets)
-    inner = side(known.where(~outside & F.col("idx")), "a", once).join(side(known.where(outside), "b", copies), ["token", "salt"]).where(meets)
+    met = side(rows.where(outside & F.col("idx")), "a", copies).join(side(rows, "b", once), on).where(meets)
+    inner = side(known.where(~outside & F.col("idx")), "a", once).join(side(known.where(outside), "b", copies), on).where(meets)
     found = met.unionByName(inner).groupBy("a_cls", "b_cls", "a_n", "b_n", "a_need", "b_need").agg(
         F.count("*").alias("shared"), F.min("a_pos").alias("a_pos"), F.min("b_pos").alias("b_pos")
     )
