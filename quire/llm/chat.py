@@ -198,3 +198,26 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(PROBE_TEXT).alias("text"),
     )
     return format_conversations(turns.unionByName(probe), digest=True)
+
+
+#: The same digests in SQL: what is read back is what was put in, and each escaped sign adds one character.
+OP2_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *,
+    4 + length(role) + (length(role) - length(replace(role, '\\', ''))) + (length(role) - length(replace(role, ':', '')))
+      + (length(role) - length(replace(role, '### ', ''))) / 4 + (length(role) - length(replace(role, '</turn>', ''))) / 7
+      + 2 + length(text) + (length(text) - length(replace(text, '\\', '')))
+      + (length(text) - length(replace(text, '### ', ''))) / 4 + (length(text) - length(replace(text, '</turn>', ''))) / 7 + 8 AS chars
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.chat import op2_chat
+from quire.llm.chat import OP2_SQL, op2_chat
 from quire.llm.jaccard import op3_jaccard
 from quire.llm.langid import op10_langid
 from quire.llm.mixing import op1_mixing
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_urls": OP8_SQL, "op9_topk": OP9_SQL}
+    return {"op2_chat": OP2_SQL, "op8_urls": OP8_SQL, "op9_topk": OP9_SQL}

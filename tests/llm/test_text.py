@@ -74,6 +74,10 @@ def test_chat_query(spark, sf):
         assert r.formatted_chars == sum(len(t) for t, _ in chat.renderer()({"role": a, "text": b} for a, b in turns))
 
 
+def test_chat_sql(spark, sf):
+    same(chat.op2_chat(spark, sf), chat.OP2_SQL, connect(sf))
+
+
 def test_chat_edges(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, None, None), (1, 1, "assistant", "b"), (None, 0, "user", "x" * 100_000), (2, None, "user", "")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
