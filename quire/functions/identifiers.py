@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.unicode import normalize_text
@@ -25,24 +25,57 @@ def normalize_arxiv_id(value: Column) -> Column:
     return _blank_to_null(F.regexp_replace(bare, "v\\d+$", ""))
 
 
+def _digits(raw: Column) -> Column:
+    return _blank_to_null(F.regexp_replace(raw, "[^0-9]", ""))
+
+
+def _book_number(raw: Column) -> Column:
+    return _blank_to_null(F.upper(F.regexp_replace(raw, "[^0-9xX]", "")))
+
+
+def _address(raw: Column) -> Column:
+    return F.lower(F.regexp_replace(raw, "/+$", ""))
+
+
+def _digest(raw: Column) -> Column:
+    return F.when(F.lower(raw).rlike("^[0-9a-f]{64}$"), F.lower(raw))
+
+
+def _tail(raw: Column) -> Column:
+    return _blank_to_null(F.lower(F.element_at(F.split(F.regexp_replace(raw, "/+$", ""), "/"), -1)))
+
+
+def _named(raw: Column) -> Column:
+    return F.coalesce(_blank_to_null(normalize_text(raw)), F.lower(raw))
+
+
+_FORMS = {
+    "doi": normalize_doi, "arxiv": normalize_arxiv_id, "ieee_article_number": _digits, "pmid": _digits, "issn": _book_number, "isbn": _book_number,
+    "url": _address, "sha256": _digest, "openalex": _tail, "semantic_scholar": _tail,
+}
+
+
+def identifier_form(scheme: str, value: Column) -> Column:
+    """The form of a value of a known scheme in which equal identifiers are equal; null if unusable."""
+    raw = F.trim(value)
+    return F.when(F.coalesce(raw, F.lit("")) != "", _FORMS.get(scheme, _named)(raw))
+
+
 def normalize_identifier(scheme: Column, value: Column) -> Column:
-    """By scheme: the form in which equal identifiers are equal; null if unusable."""
+    """The same with the scheme as a column. Only values of unknown schemes are looked at as names."""
     key, raw = F.lower(F.trim(scheme)), F.trim(value)
-    digits = _blank_to_null(F.regexp_replace(raw, "[^0-9]", ""))
-    isbn = _blank_to_null(F.upper(F.regexp_replace(raw, "[^0-9xX]", "")))
-    sha = F.lower(raw)
-    tail = _blank_to_null(F.lower(F.element_at(F.split(F.regexp_replace(raw, "/+$", ""), "/"), -1)))
-    by_scheme = (
-        F.when(key == "doi", normalize_doi(raw))
-        .when(key == "arxiv", normalize_arxiv_id(raw))
-        .when(key.isin("ieee_article_number", "pmid"), digits)
-        .when(key.isin("issn", "isbn"), isbn)
-        .when(key == "url", F.lower(F.regexp_replace(raw, "/+$", "")))
-        .when(key == "sha256", F.when(sha.rlike("^[0-9a-f]{64}$"), sha))
-        .when(key.isin("openalex", "semantic_scholar"), tail)
-        .otherwise(F.coalesce(_blank_to_null(normalize_text(raw)), F.lower(raw)))
-    )
-    return F.when(F.coalesce(raw, F.lit("")) != "", by_scheme)
+    out = _named(F.when(~F.coalesce(key.isin(*_FORMS), F.lit(False)), raw))
+    for name, form in _FORMS.items():
+        out = F.when(key == name, form(raw)).otherwise(out)
+    return F.when(F.coalesce(raw, F.lit("")) != "", out)
+
+
+def primary_identifiers(identifiers: DataFrame) -> DataFrame:
+    """paper_id, scheme, normalized_value: the identifier that names each paper, its DOI or else its arXiv id."""
+    place = F.when(F.lower(F.trim("scheme")) == "doi", 0).when(F.lower(F.trim("scheme")) == "arxiv", 1)
+    usable = identifiers.where(place.isNotNull() & (F.coalesce("normalized_value", F.lit("")) != ""))
+    best = F.min_by(F.struct("scheme", "normalized_value"), F.struct(place, F.col("normalized_value")))
+    return usable.groupBy("paper_id").agg(best.alias("b")).select("paper_id", "b.*")
 
 
 def fingerprint(doi: Column, arxiv_id: Column, title: Column, first_author: Column, year: Column, sha256: Column) -> Column:
@@ -97,7 +130,17 @@ def identifiers_in_text(text: Column) -> Column:
     )
 
 
+def file_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "[/\\\\]"), -1)
+
+
 def filename_doi(filename: Column) -> Column:
-    """DOI written as a file name, with _ for /."""
-    bare = F.regexp_replace(filename, "(?i)\\.pdf$", "")
-    return F.when(bare.rlike("^10\\.\\d{4,9}_"), F.lower(F.regexp_replace(bare, "^(10\\.\\d{4,9})_", "$1/")))
+    """DOI that a PDF's name stands for: 10.<digits>_<rest>.pdf. With further underscores it would be a guess, so it is null."""
+    bare = F.regexp_extract(file_name(filename), "(?i)^(10\\.\\d{4,9}_[^_]+)\\.pdf$", 1)
+    return normalize_doi(_blank_to_null(F.replace(bare, F.lit("_"), F.lit("/"))))
+
+
+def filename_arxiv(filename: Column) -> Column:
+    """The first arXiv id (year and month, then four or five digits) in a file's name, or null."""
+    tokens = F.regexp_extract_all(file_name(filename), F.lit("(?<![0-9.])(\\d{2}(?:0[1-9]|1[0-2])\\.\\d{4,5})(?:v\\d+)?(?![0-9])"), F.lit(1))
+    return normalize_arxiv_id(F.get(tokens, F.lit(0)))

@@ -1,9 +1,14 @@
-"""Text functions as column expressions, all JVM-side."""
+"""Text functions as column expressions; all but the digest of JSON are JVM-side."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Code point ranges that count as CJK.
 CJK = "\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uAC00-\\uD7AF\\uF900-\\uFAFF\\uFF00-\\uFFEF\\x{20000}-\\x{2FA1F}"
@@ -56,6 +61,26 @@ def normalize_page_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, "\\n{2,}", "\n\n"), "^\\n+|\\n+$", "")
 
 
+#: Spaces that become plain ones, and signs without width that go.
+EXOTIC_SPACES, ZERO_WIDTH = "\u00a0\u2007\u202f\u2009", "\u200b\ufeff"
+
+
+def normalize_markdown(text: Column) -> Column:
+    """Unix line ends, entities decoded, no controls, plain spaces, single spaces, trimmed lines, single blank lines between."""
+    from quire.functions.fields import decoded
+
+    t = strip_control_chars(decoded(F.regexp_replace(text, "\\r\\n?", "\n")))
+    t = F.regexp_replace(F.translate(t, EXOTIC_SPACES, " " * len(EXOTIC_SPACES)), f"[{ZERO_WIDTH}]", "")
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, "\t", " ")), " {2,}", " ")), lambda x: x.isNotNull())
+    joined = F.array_join(lines, "\n")
+    return F.regexp_replace(F.regexp_replace(joined, "\\n{3,}", "\n\n"), "^\\n+|\\n+$", "")
+
+
+def whole_ms(took: Column) -> Column:
+    """A duration in whole milliseconds, halves up."""
+    return F.round(took.cast("double"), 0).cast("long")
+
+
 def word_and(haystacks: list[Column], query: str) -> Column:
     """Each word of the query (parted at white space and hyphens) is inside one of the haystacks."""
     import re
@@ -111,6 +136,19 @@ def title_overlap(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(F.lit(0.0))
 
 
+@F.pandas_udf(T.StringType())
+def record_digest(values: pd.Series) -> pd.Series:
+    """SHA-256 of a JSON object with its keys in order, whatever order and spacing it came in; null for what is no JSON."""
+
+    def one(value: str) -> str | None:
+        try:
+            return hashlib.sha256(json.dumps(json.loads(value), sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+        except ValueError:
+            return None
+
+    return values.map(one, na_action="ignore")
+
+
 def html_title(html: Column) -> Column:
     return F.trim(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,3 +34,28 @@ def cosine(a: Column, b: Column) -> Column:
 
 def literal(vector: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in vector))
+
+
+class Embedder(Protocol):
+    """Texts to vectors of one length; a model outside of this package."""
+
+    def __call__(self, texts: list[str]) -> list[list[float]]: ...
+
+
+def embed(text: Column, embedder: Embedder, dimension: int, batch: int = 16) -> Column:
+    """Vectors of a text column, in batches; a vector of another length is an error. Null and blank texts have none."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(values: pd.Series) -> pd.Series:
+        out: list = [None] * len(values)
+        wanted = [k for k, v in enumerate(values) if v is not None and v.strip()]
+        for at in range(0, len(wanted), batch):
+            some = wanted[at : at + batch]
+            vectors = embedder([values.iloc[k] for k in some])
+            if len(vectors) != len(some) or any(len(v) != dimension for v in vectors):
+                raise ValueError(f"embedder must give {len(some)} vectors of {dimension} numbers")
+            for k, v in zip(some, vectors):
+                out[k] = [float(x) for x in v]
+        return pd.Series(out)
+
+    return run(text)

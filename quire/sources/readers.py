@@ -86,8 +86,21 @@ def _name(x: Column) -> Column:
     return F.coalesce(x["full_name"], x["name"], F.concat_ws(" ", x["given"], x["family"]))
 
 
+def read_checked_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a JSONL file of an evaluation set; the first bad line raises an error that names it."""
+    rows = read_json_lines(spark, path, T.StructType.fromDDL(schema), tolerant=True).select("*", F.col("_metadata.file_name").alias("_file"))
+    bad = rows.where("_bad is not null").limit(1).collect()  # whole rows: Spark can't read the bad text alone
+    if bad:
+        raise ValueError(f"{bad[0]['_file']}: not a record: {bad[0]['_bad'][:200]!r}")
+    return rows.drop("_bad", "_file")
+
+
 def read_graded_labels(spark: SparkSession, path: str) -> DataFrame:
-    return read_json_lines(spark, path, T.StructType.fromDDL("query_id string, paper_id string, grade int"))
+    return read_checked_lines(spark, path, "query_id string, paper_id string, grade int")
+
+
+def read_eval_queries(spark: SparkSession, path: str) -> DataFrame:
+    return read_checked_lines(spark, path, "id string, query string, language string, note string")
 
 
 def read_folder(spark: SparkSession, path: str, pattern: str = "*", max_bytes: int = 100 << 20) -> DataFrame:
@@ -98,7 +111,9 @@ def read_folder(spark: SparkSession, path: str, pattern: str = "*", max_bytes: i
     """
     import fnmatch
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # The listing filters names first (each letter in both cases), so the contents of other files are never read.
+    glob = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() and "[" not in pattern else c for c in pattern)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     hidden = name.rlike("^[.~]|~$|(?i)\\.(tmp|part|crdownload)$")
     return files.where(~hidden & (F.col("length") <= max_bytes) & F.lower(name).rlike(fnmatch.translate(pattern.lower()).replace("\\Z", "$")))
