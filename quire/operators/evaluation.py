@@ -91,22 +91,38 @@ def win_loss(deltas: DataFrame) -> DataFrame:
     )
 
 
+def running_counts(counted: DataFrame, value: str, count: str = "c") -> DataFrame:
+    """Adds upto: the sum of counts of all values up to each one, for rows with distinct values.
+
+    Values are dealt into ranges between approximate quantiles; sums run within ranges, and a small table
+    has what lies before each range, so no task sees all values.
+    """
+    spark = counted.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(counted.stat.approxQuantile(value, [k / parts for k in range(1, parts)], 0.5 / parts))) if parts > 1 else []
+    edges = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
+    ranged = counted.withColumn("_part", F.size(F.filter(edges, lambda b: b <= F.col(value).cast("double"))))
+    sums = ranged.groupBy("_part").agg(F.sum(count).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    inside = F.sum(count).over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = ranged.withColumn("_in", inside).join(F.broadcast(sums.select("_part", before.alias("_before"))), "_part")
+    return placed.withColumn("upto", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+
+
 def nearest_rank(values: DataFrame, fraction: float, value: str = "value") -> DataFrame:
     """The value at place round(fraction * (n - 1)) of the sorted values, halves to even; no interpolation."""
-    n = values.where(F.col(value).isNotNull()).agg(F.count("*").alias("n"))
+    known = values.where(F.col(value).isNotNull())
+    n = known.agg(F.count("*").alias("n"))
     place = F.bround(F.lit(fraction) * (F.col("n") - 1), 0).cast("long")
-    counted = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = counted.withColumn("upto", F.sum("c").over(w)).crossJoin(F.broadcast(n))
+    running = running_counts(known.groupBy(value).agg(F.count("*").alias("c")), value).crossJoin(F.broadcast(n))  # one row
     return running.where(F.col("upto") > place).agg(F.min(value).alias("value"))
 
 
 def average_ranks(rows: DataFrame, value: str) -> DataFrame:
-    """Adds rank: the mean place of equal values. Ranks come from counts by value, not from sorting all rows in one task."""
-    counted = rows.groupBy(value).agg(F.count("*").alias("_c"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("_upto", F.sum("_c").over(w)).withColumn("rank", F.col("_upto") - (F.col("_c") - 1) / 2.0)
-    return rows.join(placed.drop("_c", "_upto"), value)
+    """Adds rank: the mean place of equal values. Ranks come from counts by value."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    placed = running_counts(counted, value, "_c").withColumn("rank", F.col("upto") - (F.col("_c") - 1) / 2.0)
+    return rows.join(placed.drop("_c", "upto"), value)
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
