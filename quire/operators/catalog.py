@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.identifiers import identifier_form
 from quire.functions.text import occurrences, word_and
 
 SCOPES = ("all", "title", "authors", "venue", "doi", "arxiv_id", "abstract")
@@ -18,6 +19,37 @@ def live(df: DataFrame) -> DataFrame:
     return df.where(F.col("deleted_at").isNull())
 
 
+def filter_papers(papers: DataFrame, status: str | None = None, paper_types: list[str] | None = None, year_from: int | None = None, year_to: int | None = None) -> DataFrame:
+    """Live papers of a status, of any of the types, of the years; what is not given does not filter."""
+    out = live(papers)
+    if status:
+        out = out.where(F.upper("status") == status.strip().upper())
+    if wanted := [t.strip().lower() for t in paper_types or [] if t.strip()]:
+        out = out.where(F.col("paper_type").isin(wanted))
+    if year_from is not None:
+        out = out.where(F.col("year") >= year_from)
+    if year_to is not None:
+        out = out.where(F.col("year") <= year_to)
+    return out
+
+
+def find_by_identifier(papers: DataFrame, identifiers: DataFrame, scheme: str, value: str) -> DataFrame:
+    """Live papers with an identifier (paper_id, scheme, normalized_value), the value given as it is written anywhere."""
+    key = scheme.strip().lower()
+    wanted = identifiers.where((F.col("scheme") == key) & (F.col("normalized_value") == identifier_form(key, F.lit(value))))
+    return live(papers).join(wanted.select(F.col("paper_id").alias("id")), "id", "left_semi")
+
+
+def search_logs(logs: DataFrame, mode: str | None = None, since=None, limit: int = 50, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """The newest logged searches (created_at, id, mode) and, as one row, how many there are in all."""
+    out = logs
+    if since is not None:
+        out = out.where(F.col("created_at") >= F.lit(since))
+    if mode:
+        out = out.where(F.col("mode") == mode)
+    return out.orderBy(F.desc("created_at"), F.desc("id")).limit(max(1, min(most, limit))), out.agg(F.count("*").alias("total"))
+
+
 def words_of(query: str) -> list[str]:
     return [w.lower() for w in re.split(r"[\s\-]+", query.strip()) if w]
 
@@ -102,12 +134,16 @@ def catalog_facets(sources: dict[str, DataFrame], most: int = FACET_SIZE) -> Dat
 
 
 def budget_page(chunks: DataFrame, group: str, order: str, text: str, budget: int) -> DataFrame:
-    """The first chunks of each group within a character budget; the last one is cut to fit."""
+    """The first chunks of each group within a character budget; the last one is cut to fit.
+
+    next_offset is the place in the group at which the next page starts, in characters, or null at its end.
+    """
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.char_length(text)).over(w)
     rows = chunks.withColumn("_end", end).withColumn("_start", F.col("_end") - F.char_length(text))
     cut = F.when(F.col("_end") <= budget, F.col(text)).otherwise(F.substr(F.col(text), F.lit(1), F.lit(budget) - F.col("_start")))
-    return rows.where(F.col("_start") < budget).withColumn(text, cut).drop("_start", "_end")
+    whole = F.sum(F.char_length(text)).over(Window.partitionBy(group))
+    return rows.withColumn("next_offset", F.when(whole > budget, F.lit(budget))).where(F.col("_start") < budget).withColumn(text, cut).drop("_start", "_end")
 
 
 def context_window(rows: DataFrame, hits: DataFrame, group: str, index: str, before: int, after: int) -> DataFrame:

@@ -60,6 +60,7 @@ def match_records(records: DataFrame, papers: DataFrame, identifiers: DataFrame,
     (normalized), first_author (normalized), year, filename_doi, all live. identifiers: paper_id,
     scheme, normalized_value. files: paper_id, sha256, filename (normalized).
 
+    A match by identifier is named after the scheme that comes first among those that hit.
     Each step is an equi-join that gives (record, candidate) rows; steps are united and the least
     one wins. Several candidates make a match ambiguous. Titles are compared by equality of their
     normalized form, so no pair of unlike titles is ever formed.
@@ -71,8 +72,8 @@ def match_records(records: DataFrame, papers: DataFrame, identifiers: DataFrame,
         ids.join(identifiers.select("paper_id", "scheme", "normalized_value"), ["scheme", "normalized_value"])
         .where(not_self)
         .join(live.select("paper_id"), "paper_id", "left_semi")
-        .select("record_id", "paper_id")
-        .distinct()
+        .groupBy("record_id", "paper_id")
+        .agg(F.min(F.array_position(F.array(*map(F.lit, MATCH_SCHEMES)), F.col("scheme"))).alias("by"))
         .withColumn("step", F.lit(1))
     )
     by_sha = (
@@ -109,20 +110,22 @@ def match_records(records: DataFrame, papers: DataFrame, identifiers: DataFrame,
         .distinct()
         .withColumn("step", F.lit(5))
     )
-    candidates = by_id.unionByName(by_sha).unionByName(by_file_doi).unionByName(by_title).unionByName(by_name)
+    candidates = by_sha.unionByName(by_file_doi).unionByName(by_title).unionByName(by_name).unionByName(by_id, allowMissingColumns=True)
     about = records.select("record_id", "source_type", "title", "first_author", "year", doi.alias("doi"), "sha256")
     paper_doi = identifiers.where("scheme = 'doi'").groupBy("paper_id").agg(F.min("normalized_value").alias("p_doi"))
     rows = candidates.join(about, "record_id").join(live, "paper_id").join(paper_doi, "paper_id", "left")
     other_doi = lambda c: F.col("doi").isNotNull() & F.col(c).isNotNull() & (F.col("doi") != F.col(c))
-    strangers = F.col("doi").isNotNull() & F.col("sha256").isNull() & ~compatible_titles(F.col("title"), F.col("p_title")) & (title_overlap(F.col("title"), F.col("p_title")) == 0)
+    by_name = F.coalesce(F.col("doi") == F.col("filename_doi"), F.lit(False))
+    strangers = ~by_name & F.col("doi").isNotNull() & F.col("sha256").isNull() & ~compatible_titles(F.col("title"), F.col("p_title")) & (title_overlap(F.col("title"), F.col("p_title")) == 0)
     conflict = F.coalesce(other_doi("filename_doi") | other_doi("p_doi") | strangers, F.lit(False))
     structured = F.lower("source_type").isin(*STRUCTURED)
-    agrees = structured | F.coalesce(compatible_titles(F.col("title"), F.col("p_title")), F.lit(False)) | F.coalesce(F.col("doi") == F.col("filename_doi"), F.lit(False))
+    agrees = structured | F.coalesce(compatible_titles(F.col("title"), F.col("p_title")), F.lit(False)) | by_name
     sure = F.coalesce((F.col("first_author") == F.col("p_author")) & (F.col("year") == F.col("p_year")), F.lit(False))
     rows = rows.withColumns({"conflict": conflict, "agrees": agrees, "structured": structured, "sure": sure})
     decided = rows.groupBy("record_id", "step").agg(
         F.count("*").alias("n"),
         F.min("paper_id").alias("paper_id"),
+        F.min("by").alias("by"),
         F.bool_or("conflict").alias("conflict"),
         F.bool_and("agrees").alias("agrees"),
         F.bool_and("structured").alias("structured"),
@@ -145,11 +148,11 @@ def match_records(records: DataFrame, papers: DataFrame, identifiers: DataFrame,
         .when(step == 4, F.when(F.col("n_sure") >= 1, 0.8).otherwise(0.5))
         .otherwise(0.5)
     )
-    methods = F.array(*(F.lit(m) for m in ("identifier", "sha256", "filename_identity", "title_author_year", "filename")))
+    methods = F.array(*(F.lit(m) for m in ("identifier_conflict", "sha256", "filename_identity", "title_author_year", "filename")))
     decisions = first.select(
         "record_id",
         F.when(matched, "matched").otherwise("ambiguous").alias("status"),
-        F.element_at(methods, step).alias("method"),
+        F.when((step == 1) & one, F.element_at(F.array(*map(F.lit, MATCH_SCHEMES)), F.col("by").cast("int"))).otherwise(F.element_at(methods, step)).alias("method"),
         confidence.alias("confidence"),
         F.when(matched, F.when(step == 4, F.col("sure_paper")).otherwise(F.col("paper_id"))).alias("paper_id"),
     )
@@ -216,6 +219,43 @@ def promote(ledger: DataFrame, chosen: DataFrame, decided_by: str, at: Column) -
     )
 
 
+DISMISSED = "dismissed"
+
+
+def rollback(ledger: DataFrame, chosen: DataFrame, at: Column) -> DataFrame:
+    """The ledger with earlier claims (id, paper_id, field) current again.
+
+    The claims that they replace count as dismissed, and both as decided by a human at that time. Claims
+    that are not in the ledger under that paper and field change nothing.
+    """
+    picked = ledger.join(chosen.select("id", "paper_id", "field"), ["id", "paper_id", "field"], "left_semi").select("paper_id", "field", F.col("id").alias("_chosen"))
+    both = ledger.join(picked, ["paper_id", "field"], "left")
+    on = F.col("_chosen").isNotNull() & (F.col("id") == F.col("_chosen"))
+    loses = F.col("_chosen").isNotNull() & (F.col("id") != F.col("_chosen")) & F.col("is_current")
+    settled = on | (loses & ~F.coalesce(F.col("decided_by") == DISMISSED, F.lit(False)))
+    changed = {
+        "is_current": F.when(F.col("_chosen").isNull(), F.col("is_current")).otherwise(on),
+        "decided_by": F.when(loses, F.lit(DISMISSED)).otherwise(F.col("decided_by")),
+        "decision_at": F.when(settled, at).otherwise(F.col("decision_at")),
+    }
+    return both.select(*(changed.get(c, F.col(c)).alias(c) for c in ledger.columns))
+
+
+def dismiss(ledger: DataFrame, chosen: DataFrame, at: Column) -> DataFrame:
+    """The ledger with losing claims (id, paper_id, field) marked as looked at; current ones stay as they are."""
+    marks = chosen.select("id", "paper_id", "field").distinct().withColumn("_d", F.lit(True))
+    both = ledger.join(marks, ["id", "paper_id", "field"], "left")
+    on = F.coalesce(F.col("_d"), F.lit(False)) & ~F.col("is_current")
+    changed = {"decided_by": F.when(on, F.lit(DISMISSED)).otherwise(F.col("decided_by")), "decision_at": F.when(on, at).otherwise(F.col("decision_at"))}
+    return both.select(*(changed.get(c, F.col(c)).alias(c) for c in ledger.columns))
+
+
+def sources_with_papers(sources: DataFrame, papers: DataFrame) -> DataFrame:
+    """Every source with its paper's title and whether that is deleted; sources without a paper have nulls."""
+    about = papers.select(F.col("id").alias("paper_id"), F.col("title").alias("paper_title"), F.col("deleted_at").isNotNull().alias("paper_deleted"))
+    return sources.join(about, "paper_id", "left")
+
+
 def conflict_page(claims: DataFrame, sources: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     """Claims that lost against a current value and still need a look: the newest of each paper and field.
 
