@@ -18,6 +18,7 @@ from quire.operators import maintenance as M
 from quire.operators import metadata as B
 from quire.operators import records as K
 from quire.operators import retrieval as R
+from quire.plans import search as Q
 from quire.sources.readers import read_table
 from quire.streaming import outbox as S
 
@@ -223,6 +224,104 @@ def rerank_fold(spark, d):
     return _round(out.select("doc_id", "rerank_score", "score", F.col("new_position").cast("int").alias("new_position")), "rerank_score", "score")
 
 
+# ---- search requests: chunks are documents, papers their sources, titles their languages
+
+SEARCH_CTE = """
+ch AS (SELECT doc_id, source, lang AS title, text, n_chars % 7 = 0 AS ref FROM documents WHERE n_chars >= 100),
+fw AS (
+  SELECT doc_id, source, 2.0 AS boost, regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+') AS w, 'title' AS f FROM ch WHERE NOT ref
+  UNION ALL SELECT doc_id, source, 1.0, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'text' FROM ch WHERE NOT ref),
+ftf AS (SELECT doc_id, source, f, boost, len(w) AS length, term, len(list_filter(w, lambda x: x = term)) AS tf FROM fw, (SELECT unnest(['en', 'erth', 'onti', 'the']) AS term)),
+fst AS (SELECT f, term, count(*) FILTER (tf > 0) AS df, count(*) AS n, avg(length) AS avgdl FROM ftf GROUP BY 1, 2),
+fsc AS (SELECT doc_id, source, f, any_value(boost) * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / avgdl))) AS score
+  FROM ftf JOIN fst USING (f, term) WHERE tf > 0 GROUP BY 1, 2, 3),
+kw AS (SELECT doc_id, source, max(score) AS score FROM fsc GROUP BY 1, 2),
+sem AS (SELECT ch.doc_id, source, 1 / (1 + list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))) AS score
+  FROM ch JOIN embeddings e ON e.vec_id = ch.doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE NOT ref)"""
+PAGE_SQL = """,
+agg AS (SELECT source, max(score) AS score, min(position) AS fp, count(*) AS matched_chunks, max(raw) AS raw FROM hits GROUP BY 1),
+nrm AS (SELECT source, fp, matched_chunks, CASE WHEN raw IS NOT NULL THEN score ELSE round(score / max(score) OVER (), 4) END AS score FROM agg)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, fp, source) AS INTEGER) AS rank, source AS paper_id, round(score, 4) AS score,
+  CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS relevance, matched_chunks
+FROM nrm QUALIFY rank <= 5"""
+PLAIN_HITS = """, hits AS (SELECT source, doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS position, NULL::DOUBLE AS raw FROM {leg} QUALIFY position < {size})"""
+FUSED_CTE = """,
+k1 AS (SELECT doc_id, source, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS p FROM kw QUALIFY p < 25), k2 AS (SELECT doc_id, source, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS p FROM sem QUALIFY p < 25),
+fu AS (SELECT doc_id, any_value(source) AS source, sum(1.0 / (61 + p)) AS score, min(p) AS bp FROM (FROM k1 UNION ALL FROM k2) GROUP BY 1),
+w AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, bp, doc_id) AS nth FROM fu QUALIFY nth <= {siblings} + 1),
+l AS (SELECT source, row_number() OVER (ORDER BY score DESC, bp, doc_id) AS paper, score AS best FROM w WHERE nth = 1 QUALIFY paper <= 5),
+first AS (SELECT source, doc_id, best AS score, paper, row_number() OVER (ORDER BY paper, nth) - 1 AS position FROM w JOIN l USING (source))"""
+RERANK_CTE = """,
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY position) AS np FROM first QUALIFY np <= 5) ORDER BY position LIMIT 100),
+scored AS (SELECT pool.*, len(list_intersect(regexp_extract_all(lower(left(d.text, 2000)), '[\\p{{L}}\\p{{N}}]+'), ['en', 'erth', 'onti', 'the'])) / 4.0 AS raw FROM pool JOIN documents d USING (doc_id)),
+lead AS (SELECT source, doc_id AS lead, position AS lp, raw FROM scored QUALIFY row_number() OVER (PARTITION BY source ORDER BY raw DESC, position) = 1),
+pp AS (SELECT *, CASE WHEN max(raw) OVER () = min(raw) OVER () THEN 1.0 ELSE round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()), 6) END AS ns, row_number() OVER (ORDER BY raw DESC, lp) AS place FROM lead),
+hits AS (SELECT f.source, f.doc_id, ns AS score, row_number() OVER (ORDER BY place, f.doc_id = lead DESC, position) - 1 AS position, raw FROM first f JOIN pp USING (source))"""
+SEARCH_TEXT = "the erth onti en"
+
+
+def _chunks(spark, d):
+    docs = _docs(spark, d).where("n_chars >= 100")
+    vectors = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    ref = F.when(F.col("n_chars") % 7 == 0, "References")
+    rows = docs.join(vectors, "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("paper_id"), F.col("lang").alias("title"), "text", ref.alias("section"), "embedding", "n_chars")
+    return rows.withColumns({"section_title": F.lit(None).cast("string"), "page_start": F.lit(1), "venue": F.col("title"), "year": (F.col("n_chars") % 5 + 2015).cast("double"), "source_tags": F.array(F.col("title"), F.lit("all"))})
+
+
+def _page(spark, d, **how):
+    request = Q.SearchRequest(SEARCH_TEXT, top_k=5, **how)
+    out = Q.search(_chunks(spark, d), request, _vector(spark, d))
+    return _round(out.select("rank", "paper_id", "score", "relevance", "matched_chunks"), "score", digits=4)
+
+
+@register("search_keyword", f"WITH {SEARCH_CTE}{PLAIN_HITS.format(leg='kw', size=5)}{PAGE_SQL}")
+def search_keyword(spark, d):
+    return _page(spark, d, mode="keyword")
+
+
+@register("search_semantic", f"WITH {SEARCH_CTE}{PLAIN_HITS.format(leg='sem', size=5)}{PAGE_SQL}")
+def search_semantic(spark, d):
+    return _page(spark, d, mode="semantic")
+
+
+@register("search_hybrid", f"WITH {SEARCH_CTE}{FUSED_CTE.format(siblings=3)}, hits AS (SELECT source, doc_id, score, position, NULL::DOUBLE AS raw FROM first){PAGE_SQL}")
+def search_hybrid(spark, d):
+    return _page(spark, d)
+
+
+@register("search_hybrid_rerank", f"WITH {SEARCH_CTE}{FUSED_CTE.format(siblings=4)}{RERANK_CTE.format()}{PAGE_SQL}")
+def search_hybrid_rerank(spark, d):
+    return _page(spark, d, rerank=True)
+
+
+@register(
+    "search_hybrid_flat",
+    f"""WITH {SEARCH_CTE}, k1 AS (SELECT doc_id, source, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS p FROM kw QUALIFY p < 25), k2 AS (SELECT doc_id, source, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS p FROM sem QUALIFY p < 25),
+fu AS (SELECT doc_id, any_value(source) AS source, sum(1.0 / (61 + p)) AS score, min(p) AS bp FROM (FROM k1 UNION ALL FROM k2) GROUP BY 1),
+hits AS (SELECT source, doc_id, score, row_number() OVER (ORDER BY score DESC, bp, doc_id) - 1 AS position, NULL::DOUBLE AS raw FROM fu QUALIFY position < 5){PAGE_SQL}""",
+)
+def search_hybrid_flat(spark, d):
+    return _page(spark, d, backend="python")
+
+
+@register("search_total", f"WITH {SEARCH_CTE}, near AS (SELECT doc_id, source FROM sem ORDER BY score DESC, doc_id LIMIT 1000) SELECT count(*) AS total FROM (SELECT source FROM kw UNION SELECT source FROM near)")
+def search_total(spark, d):
+    return Q.total(_chunks(spark, d), Q.SearchRequest(SEARCH_TEXT), _vector(spark, d))
+
+
+@register(
+    "search_facets",
+    f"""WITH {SEARCH_CTE}, c AS (
+  SELECT 'venue' AS facet, title AS key, source FROM ch WHERE NOT ref UNION SELECT 'source_tags', title, source FROM ch WHERE NOT ref UNION SELECT 'source_tags', 'all', source FROM ch WHERE NOT ref),
+g AS (SELECT facet, key, count(*) AS papers FROM c WHERE key IS NOT NULL GROUP BY 1, 2),
+y AS (SELECT CAST(n_chars % 5 + 2015 AS INTEGER) AS year, count(DISTINCT source) AS papers FROM documents WHERE n_chars >= 100 AND n_chars % 7 <> 0 GROUP BY 1)
+SELECT facet, key, papers, CAST(row_number() OVER (PARTITION BY facet ORDER BY papers DESC, key) AS INTEGER) AS place FROM g QUALIFY place <= 50
+UNION ALL SELECT 'year', CAST(year AS VARCHAR), papers, CAST(row_number() OVER (ORDER BY year) AS INTEGER) FROM y""",
+)
+def search_facets(spark, d):
+    return Q.facets(_chunks(spark, d), Q.SearchRequest(SEARCH_TEXT)).withColumn("place", F.col("place").cast("int"))
+
+
 @register(
     "facet_counts",
     """WITH c AS (SELECT 'lang' AS facet, lang AS key, doc_id FROM documents UNION ALL SELECT 'source', source, doc_id FROM documents),
@@ -251,7 +350,7 @@ AND NOT coalesce(CASE WHEN doc_id % 5 = 0 THEN 'References' END IN ('References'
 )
 def filtered_chunks(spark, d):
     rows = _docs(spark, d).withColumns(
-        {"section": F.when(F.col("doc_id") % 5 == 0, "References"), "year": F.col("n_chars"), "venue": F.col("source"), "tags": F.array("lang")}
+        {"section": F.when(F.col("doc_id") % 5 == 0, "References"), "year": F.col("n_chars"), "venue": F.lower("source"), "tags": F.array("lang")}
     )
     return R.without_bibliography(rows).where(R.build_filter({"year_from": "500", "venue": ["src1", "src2 ", "src3", ""], "tag": ["en", "fr"], "tags": ["es"]})).select("doc_id")
 
@@ -427,7 +526,7 @@ def _deltas(spark, d):
 
 @register("paired_bootstrap")
 def paired_bootstrap(spark, d):
-    return E.verdict(_round(E.paired_bootstrap(_deltas(spark, d), 2000), "mean", "low", "high"))
+    return E.verdict(_round(E.paired_bootstrap(_deltas(spark, d), 10_000), "mean", "low", "high"))
 
 
 @register(
@@ -556,26 +655,31 @@ def fingerprint_dedupe(spark, d):
 
 @register(
     "match_records",
-    """WITH r AS (SELECT c_custkey AS record_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 100 END AS s, lower(c_name) AS title FROM customer WHERE c_custkey < 150)
-SELECT record_id, CASE WHEN s IS NOT NULL OR record_id < 100 THEN 'matched' ELSE 'unmatched' END AS status,
-  CASE WHEN s IS NOT NULL THEN 'identifier' WHEN record_id < 100 THEN 'title_author_year' END AS method,
-  CASE WHEN s IS NOT NULL THEN 1.0::DOUBLE WHEN record_id < 100 THEN 0.8::DOUBLE END AS confidence,
-  CASE WHEN s IS NOT NULL THEN s WHEN record_id < 100 THEN record_id END AS paper_id FROM r""",
+    """WITH k AS (SELECT c_custkey AS record_id, c_custkey % 10 AS c, CAST(c_custkey AS VARCHAR) AS paper FROM customer)
+SELECT record_id, CASE WHEN c IN (0, 2, 3, 4) THEN 'matched' WHEN c = 8 THEN 'unmatched' ELSE 'ambiguous' END AS status,
+  CASE c WHEN 0 THEN 'ieee_article_number' WHEN 1 THEN 'identifier_conflict' WHEN 2 THEN 'sha256' WHEN 3 THEN 'filename_identity' WHEN 6 THEN 'filename' WHEN 7 THEN 'arxiv' WHEN 8 THEN NULL ELSE 'title_author_year' END AS method,
+  CASE c WHEN 3 THEN 0.95 WHEN 4 THEN 0.8 WHEN 5 THEN 0.5 WHEN 6 THEN 0.5 WHEN 9 THEN 0.8 WHEN 8 THEN NULL ELSE 1.0 END::DOUBLE AS confidence,
+  CASE WHEN c IN (0, 2, 3, 4) THEN paper END AS paper_id FROM k""",
 )
 def match_records(spark, d):
-    c = read_table(spark, d, "customer").where("c_custkey < 150")
-    none = F.lit(None).cast("string")
-    pmap = F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("ieee_article_number"), (F.col("c_custkey") % 100).cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    c = read_table(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 10).alias("c"), F.col("c_custkey").cast("string").alias("key"), F.lower("c_name").alias("name"))
+    none, case = F.lit(None).cast("string"), F.col("c")
+    doi = F.concat(F.lit("10.1/"), "key")
+    only = lambda n, value: F.when(case == n, value)
+    entry = lambda n, scheme, value: F.when(case == n, F.create_map(F.lit(scheme), value))
+    ids = F.coalesce(entry(0, "ieee_article_number", F.col("key")), entry(1, "ieee_article_number", F.col("key")), entry(3, "doi", doi), only(7, F.create_map(F.lit("arxiv"), F.col("key"), F.lit("doi"), doi)), F.create_map().cast("map<string,string>"))
     records = c.select(
-        F.col("c_custkey").alias("record_id"), F.lit("ieee_api").alias("source_type"), F.lower("c_name").alias("title"), F.lit("a").alias("first_author"),
-        F.lit(2000).alias("year"), pmap.alias("identifiers"), none.alias("sha256"), none.alias("filename"), none.alias("exclude_paper_id"),
+        F.col("k").alias("record_id"), F.lit("ieee_api").alias("source_type"), F.when(case.isin(4, 5, 9), F.col("name")).otherwise("").alias("title"), F.lit("a").alias("first_author"), F.lit(2000).alias("year"),
+        ids.alias("identifiers"), only(2, F.sha2("key", 256)).alias("sha256"), only(6, F.col("name")).alias("filename"), none.alias("exclude_paper_id"),
     )
-    p = c.where("c_custkey < 100")
-    key = F.col("c_custkey").cast("string")
-    papers = p.select(key.alias("id"), F.lower("c_name").alias("title"), F.lit("a").alias("first_author"), F.lit(2000).alias("year"), none.alias("filename_doi"))
-    ids = p.select(key.alias("paper_id"), F.lit("ieee_article_number").alias("scheme"), key.alias("normalized_value"))
-    files = p.select(key.alias("paper_id"), none.alias("sha256"), none.alias("filename")).limit(0)
-    return B.match_records(records, papers, ids, files).withColumn("paper_id", F.col("paper_id").cast("long"))
+    first = c.select("*", F.col("key").alias("id"))
+    twin = c.where("c in (1, 9)").select("*", F.concat("key", F.lit("-twin")).alias("id"))
+    p = first.unionByName(twin)
+    papers = p.select("id", F.when(case.isin(4, 5, 9), F.col("name")).otherwise("").alias("title"), F.when(case == 5, "b").otherwise("a").alias("first_author"), F.lit(2000).alias("year"), only(3, doi).alias("filename_doi"))
+    number = p.where("c in (0, 1)").select(F.col("id").alias("paper_id"), F.lit("ieee_article_number").alias("scheme"), F.col("key").alias("normalized_value"))
+    veto = p.where("c = 7").select(F.col("id").alias("paper_id"), F.explode(F.create_map(F.lit("arxiv"), F.col("key"), F.lit("doi"), F.concat(F.lit("10.2/"), "key"))).alias("scheme", "normalized_value"))
+    files = p.where("c in (2, 6)").select(F.col("id").alias("paper_id"), only(2, F.sha2("key", 256)).alias("sha256"), only(6, F.col("name")).alias("filename"))
+    return B.match_records(records, papers, number.unionByName(veto), files)
 
 
 @register(
@@ -626,24 +730,27 @@ def conflict_page(spark, d):
 
 @register(
     "consistency_full_outer",
-    """WITH p AS (SELECT o_orderkey AS k, o_orderstatus = 'P' AS del FROM orders), c AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
+    """WITH p AS (SELECT o_orderkey AS k, o_orderstatus = 'P' AS del, o_orderkey % 9 = 0 AS lost, o_orderkey % 10 = 0 AS extra, o_orderkey % 8 = 0 AS stamp FROM orders WHERE o_orderkey % 50 <> 1),
+c AS (SELECT l_orderkey AS k, count(*) AS n, count(DISTINCT l_returnflag = 'R') AS models FROM lineitem WHERE l_orderkey % 6 <> 0 GROUP BY 1),
 x AS (SELECT l_orderkey AS k, count(*) AS docs FROM lineitem WHERE l_quantity > 10 GROUP BY 1),
-j AS (SELECT p.k, del, coalesce(n, 0) AS n, coalesce(docs, 0) AS docs FROM p LEFT JOIN c USING (k) LEFT JOIN x USING (k))
+o AS (SELECT o_orderkey AS k, o_orderkey % 9 <> 0 OR o_orderkey % 10 = 0 AS has FROM orders),
+j AS (SELECT o.k, p.k IS NOT NULL AS here, coalesce(del, false) AS del, lost, extra, stamp, coalesce(n, 0) AS n, coalesce(docs, 0) AS docs, coalesce(models, 0) AS models, has FROM o LEFT JOIN p USING (k) LEFT JOIN c USING (k) LEFT JOIN x USING (k))
 SELECT CAST(k AS VARCHAR) AS paper_id, array_to_string(list_filter([
-  CASE WHEN del AND docs > 0 THEN 'residue' END, CASE WHEN NOT del AND n > 0 AND docs = 0 THEN 'missing_index' END,
-  CASE WHEN NOT del AND n > 0 AND docs > 0 AND docs <> n THEN 'chunk_count_mismatch' END, CASE WHEN NOT del AND n = 0 THEN 'missing_chunks' END], lambda y: y IS NOT NULL), ',') AS issues
+  CASE WHEN NOT here AND (has OR docs > 0) THEN 'unknown_paper' END, CASE WHEN here AND del AND (has OR docs > 0) THEN 'residue' END, CASE WHEN here AND NOT del AND lost THEN 'missing_object' END, CASE WHEN here AND NOT del AND extra THEN 'orphan_object' END,
+  CASE WHEN here AND NOT del AND n > 0 AND docs = 0 THEN 'missing_index' END, CASE WHEN here AND NOT del AND n > 0 AND docs > 0 AND docs <> n THEN 'chunk_count_mismatch' END, CASE WHEN here AND NOT del AND n = 0 AND docs > 0 THEN 'orphan_index' END,
+  CASE WHEN here AND NOT del AND n = 0 THEN 'missing_chunks' END, CASE WHEN here AND NOT del AND docs > 0 AND stamp THEN 'stamp_mismatch' END, CASE WHEN here AND NOT del AND models >= 2 THEN 'model_mismatch' END], lambda y: y IS NOT NULL), ',') AS issues
 FROM j WHERE issues <> ''""",
 )
 def consistency_full_outer(spark, d):
     o, li = read_table(spark, d, "orders"), read_table(spark, d, "lineitem")
-    none = F.lit(None).cast("string")
-    key = F.col("l_orderkey").cast("string").alias("paper_id")
-    papers = o.select(F.col("o_orderkey").cast("string").alias("id"), F.lit("INDEXED").alias("status"), none.alias("parser_backend"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate")).alias("deleted_at"))
-    files = spark.createDataFrame([], "paper_id string, object_key string, deleted_at timestamp")
-    objects = spark.createDataFrame([], "key string")
-    chunks = li.select(key, none.alias("embedding_model"))
-    empty = F.array().cast("array<string>")
-    index = li.where("l_quantity > 10").groupBy(key).agg(F.count("*").alias("docs")).withColumns({"backends": empty, "models": empty})
+    k, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    of = F.col("l_orderkey").cast("string").alias("paper_id")
+    papers = o.where(k % 50 != 1).select(key.alias("id"), F.lit("indexed").alias("status"), F.when(k % 8 == 0, "p2").otherwise("p1").alias("parser_backend"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate")).alias("deleted_at"))
+    path = lambda name: F.concat(F.lit("papers/"), key, F.lit(f"/{name}"))
+    files = o.select(key.alias("paper_id"), path("a.pdf").alias("object_key"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    objects = o.where(k % 9 != 0).select(path("a.pdf").alias("key")).union(o.where(k % 10 == 0).select(path("b.pdf"))).union(o.where(k % 9 != 0).select(path("extracted/t.txt")))
+    chunks = li.where("l_orderkey % 6 <> 0").select(of, F.when(F.col("l_returnflag") == "R", "m2").otherwise("m1").alias("embedding_model"))
+    index = li.where("l_quantity > 10").groupBy(of).agg(F.count("*").alias("docs")).withColumns({"backends": F.array(F.lit("p1")), "models": F.array().cast("array<string>")})
     return M.consistency(papers, files, chunks, objects, index).select("paper_id", F.array_join("issues", ",").alias("issues"))
 
 
@@ -858,6 +965,246 @@ def conflict_equivalence(spark, d):
     return p.select("p_partkey", V.equivalent(F.lit("title"), F.col("p_name"), other).alias("same"))
 
 
+@register("primary_identifiers", "SELECT c_custkey AS paper_id, CASE WHEN c_custkey % 3 = 0 THEN 'doi' ELSE 'arxiv' END AS scheme, CASE WHEN c_custkey % 3 = 0 THEN 'd' ELSE 'a' END || c_custkey AS normalized_value FROM customer WHERE c_custkey % 3 <> 2")
+def primary_identifiers(spark, d):
+    k = F.col("c_custkey")
+    c = read_table(spark, d, "customer").select(k.alias("paper_id"), F.explode(F.map_filter(F.create_map(F.lit("pmid"), F.concat(F.lit("p"), k), F.lit("arxiv"), F.when(k % 3 != 2, F.concat(F.lit("a"), k)), F.lit("DOI "), F.when(k % 3 == 0, F.concat(F.lit("d"), k))), lambda _, v: v.isNotNull())).alias("scheme", "normalized_value"))
+    return I.primary_identifiers(c).withColumn("scheme", F.lower(F.trim("scheme")))
+
+
+@register(
+    "file_names",
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '10.1109/x' || c_custkey END AS doi,
+ CASE c_custkey % 4 WHEN 1 THEN '21' || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') || '.' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 5, '0') END AS arxiv FROM customer""",
+)
+def file_names(spark, d):
+    k, key = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    arxiv = F.concat(F.lit("21"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad((k % 10000).cast("string"), 5, "0"))
+    name = F.when(k % 4 == 0, F.concat(F.lit("a/b/10.1109_X"), key, F.lit(".PDF"))).when(k % 4 == 1, F.concat(F.lit("9913.12345 "), arxiv, F.lit("v2__topic.pdf"))).when(k % 4 == 2, F.concat(F.lit("10.1109_X_"), key, F.lit(".pdf"))).otherwise("10.1109_x.txt")
+    return read_table(spark, d, "customer").select("c_custkey", I.filename_doi(name).alias("doi"), I.filename_arxiv(name).alias("arxiv"))
+
+
+@register("page_ranges", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN '5-' || l_suppkey WHEN 1 THEN CAST(l_suppkey AS VARCHAR) WHEN 2 THEN CAST(l_suppkey AS VARCHAR) END AS pages FROM lineitem WHERE l_suppkey <> 5")
+def page_ranges(spark, d):
+    n, key = F.col("l_linenumber") % 4, F.col("l_suppkey").cast("string")
+    start = F.when(n == 0, "5").when(n == 1, key).when(n == 2, " ").otherwise("")
+    end = F.when(n == 0, F.concat(F.lit(" "), key)).when(n == 1, key).when(n == 2, key)
+    return read_table(spark, d, "lineitem").where("l_suppkey <> 5").select("l_orderkey", "l_linenumber", I.page_range(start, end).alias("pages"))
+
+
+@register("corroborated", "SELECT p_partkey, p_partkey % 3 <> 2 AS found FROM part")
+def corroborated(spark, d):
+    p, n = read_table(spark, d, "part"), F.col("p_partkey") % 3
+    value = F.when(n == 0, F.upper(F.regexp_replace("p_name", " ", "-"))).when(n == 1, F.concat(F.lit("&lt;"), "p_name", F.lit("&gt;"))).otherwise(F.concat("p_name", F.lit("zz")))
+    return p.select("p_partkey", V.corroborates(value, F.concat(F.lit("on "), "p_name", F.lit(" and more"))).alias("found"))
+
+
+@register(
+    "field_problems",
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'author_contact' WHEN 1 THEN 'author_affiliation_or_role' WHEN 2 THEN 'author_front_matter' WHEN 3 THEN 'damaged_author' WHEN 4 THEN 'author_title_fragment' END AS author,
+ CASE p_partkey % 4 WHEN 0 THEN 'publication_stamp' WHEN 1 THEN 'publication_heading' WHEN 2 THEN 'template_or_subject' END AS abstract, 'A ' || p_partkey || ' μ' AS title FROM part""",
+)
+def field_problems(spark, d):
+    n, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    author = F.when(n % 6 == 0, F.concat(key, F.lit("x@y.z"))).when(n % 6 == 1, "University of Q").when(n % 6 == 2, "Received May").when(n % 6 == 3, "/g /g").when(n % 6 == 4, "Loop Filters").otherwise("Ann Lee")
+    abstract = F.when(n % 4 == 0, F.concat(F.lit("Journal;2020;"), key, F.lit(";2"))).when(n % 4 == 1, "2019 IEEE International Symposium on X").when(n % 4 == 2, "Instructions for Authors").otherwise("We show it.")
+    title = F.concat(F.lit("<b>A</b>  "), key, F.lit(" $\\mu$"))
+    return read_table(spark, d, "part").select("p_partkey", V.author_problem(author, F.lit("Filters in a Loop")).alias("author"), V.abstract_problem(abstract).alias("abstract"), V.clean_title(title).alias("title"))
+
+
+@register("byline_lists", "SELECT c_custkey, c_name || '|Bo Li|Cy De' AS names, c_custkey % 2 = 0 AS short FROM customer")
+def byline_lists(spark, d):
+    c, n = read_table(spark, d, "customer"), F.col("c_custkey")
+    names = V.parse_authors(F.concat(F.regexp_replace("c_name", "[#0-9]+", ""), F.lit("; Bo Li, Cy De*")))
+    left = F.array(F.lit("J. R. Smith"), F.lit("Ann-Marie Li"))
+    right = F.array(F.when(n % 2 == 0, "John R. Smith").otherwise("John Smith"), F.lit("A.-M. Li"))
+    return c.select("c_custkey", F.concat_ws("|", F.col("c_name"), F.slice(names, 2, 5)).alias("names"), V.byline_abbreviated(left, right).alias("short"))
+
+
+@register("cosines", "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])), 5) AS cosine FROM embeddings")
+def cosines(spark, d):
+    from quire.functions.vectors import cosine, literal
+
+    rows = read_table(spark, d, "embeddings")
+    return _round(rows.select("vec_id", cosine(F.col("embedding"), literal(_vector(spark, d))).alias("cosine")), "cosine", digits=5)
+
+
+@register("status_and_type", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 3 = 0 AND lower(c_mktsegment) IN ('building', 'machinery') AND c_nationkey >= 5")
+def status_and_type(spark, d):
+    k = F.col("c_custkey")
+    rows = read_table(spark, d, "customer").select(k.alias("id"), F.when(k % 3 == 0, "indexed").otherwise("PENDING").alias("status"), F.lower("c_mktsegment").alias("paper_type"), F.col("c_nationkey").alias("year"), F.when(k % 7 == 0, F.current_timestamp()).alias("deleted_at"))
+    return C.filter_papers(rows, " Indexed", ["Building", "MACHINERY ", ""], year_from=5).select("id")
+
+
+@register("identifier_lookup", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 40 = 7 AND c_custkey % 5 <> 0")
+def identifier_lookup(spark, d):
+    c, k = read_table(spark, d, "customer"), F.col("c_custkey")
+    papers = c.select(k.alias("id"), F.when(k % 5 == 0, F.current_timestamp()).alias("deleted_at"))
+    ids = c.select(k.alias("paper_id"), F.lit("doi").alias("scheme"), F.concat(F.lit("10.1/a"), k % 40).alias("normalized_value"))
+    return C.find_by_identifier(papers, ids, "DOI", "https://doi.org/10.1/A7").select("id")
+
+
+@register("search_log_page", "SELECT event_id AS id, ts AS created_at, (SELECT count(*) FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-05') AS total FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-05' ORDER BY ts DESC, event_id DESC LIMIT 30")
+def search_log_page(spark, d):
+    import datetime
+
+    logs = read_table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("mode"))
+    rows, total = C.search_logs(logs, "view", datetime.datetime(2024, 1, 5), 30)
+    return rows.select("id", "created_at").crossJoin(F.broadcast(total))  # one row
+
+
+@register("orphans_by_age", "SELECT o_orderkey AS id FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' - INTERVAL 30 DAY AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def orphans_by_age(spark, d):
+    rows = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
+    old = M.orphan_records(rows, "id", F.lit("1996-01-01").cast("timestamp_ntz"), 30, read_table(spark, d, "lineitem").select("l_orderkey"))
+    return M.bounded(old, 1_000_000).select("id")
+
+
+@register(
+    "capped_problems",
+    "SELECT event_type AS kind, event_id AS id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS INTEGER) AS place, count(*) OVER (PARTITION BY event_type) AS total FROM events QUALIFY place <= 20",
+)
+def capped_problems(spark, d):
+    rows = read_table(spark, d, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("id"))
+    return M.capped_report(rows, "kind", 20, "id")
+
+
+def _ledger(spark, d):
+    """Claims of two sources on each user's event types; the later one is current."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
+    rows = read_table(spark, d, "events").withColumn("n", F.row_number().over(w)).where("n <= 2")
+    return rows.select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("paper_id"), F.col("event_type").alias("field"), F.col("value").cast("string").alias("value"), (F.col("n") == 1).alias("is_current"),
+        F.lit("auto").alias("decided_by"), F.lit(None).cast("timestamp").alias("decision_at"),
+    )
+
+
+LEDGER_CTE = "l AS (SELECT event_id AS id, user_id AS paper_id, event_type AS field, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events QUALIFY n <= 2)"
+
+
+@register(
+    "rollback_claims",
+    f"""WITH {LEDGER_CTE}, r AS (SELECT paper_id, field FROM l WHERE n = 2 AND id % 2 = 0)
+SELECT id, (n = 2) = (paper_id, field) IN (FROM r) AS is_current, CASE WHEN n = 1 AND (paper_id, field) IN (FROM r) THEN 'dismissed' ELSE 'auto' END AS decided_by, (paper_id, field) IN (FROM r) AS settled FROM l""",
+)
+def rollback_claims(spark, d):
+    ledger = _ledger(spark, d)
+    out = B.rollback(ledger, ledger.where("not is_current and id % 2 = 0"), F.lit("2024-05-01").cast("timestamp"))
+    return out.select("id", "is_current", "decided_by", F.col("decision_at").isNotNull().alias("settled"))
+
+
+@register("dismiss_claims", f"WITH {LEDGER_CTE} SELECT id, CASE WHEN n = 2 AND id % 3 = 0 THEN 'dismissed' ELSE 'auto' END AS decided_by FROM l")
+def dismiss_claims(spark, d):
+    ledger = _ledger(spark, d)
+    return B.dismiss(ledger, ledger.where("id % 3 = 0"), F.lit("2024-05-01").cast("timestamp")).select("id", "decided_by")
+
+
+@register(
+    "claims_that_are_new",
+    f"""WITH {LEDGER_CTE}, c AS (SELECT user_id AS paper_id, event_type AS field, CAST(value AS VARCHAR) AS value, event_id % 2 AS s, event_id FROM events),
+x AS (SELECT l.*, e.value AS v, e.event_id % 2 AS s FROM l JOIN events e ON e.event_id = l.id)
+SELECT event_id FROM c WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.paper_id = c.paper_id AND x.field = c.field AND n = 1 AND CAST(v AS VARCHAR) = c.value)
+ AND NOT EXISTS (SELECT 1 FROM x WHERE x.paper_id = c.paper_id AND x.field = c.field AND x.s = c.s AND CAST(v AS VARCHAR) = c.value)""",
+)
+def claims_that_are_new(spark, d):
+    ledger = _ledger(spark, d).withColumn("source_id", F.col("id") % 2)
+    claims = read_table(spark, d, "events").select(F.col("user_id").alias("paper_id"), F.col("event_type").alias("field"), F.col("value").cast("string").alias("value"), (F.col("event_id") % 2).alias("source_id"), "event_id")
+    return B.record_claims(ledger, claims).select("event_id")
+
+
+@register("review_page", "SELECT event_id AS id FROM events WHERE event_type IN ('click', 'error') ORDER BY ts DESC, event_id DESC LIMIT 100")
+def review_page(spark, d):
+    rows = read_table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "pending").when(F.col("event_type") == "error", "ambiguous").otherwise("matched").alias("match_status"), F.col("ts").alias("imported_at"))
+    return B.review_queue(rows).limit(100).select("id")
+
+
+@register("primary_files", "SELECT l_orderkey AS paper_id, arg_min(l_linenumber, (CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) * 100000000 + epoch(l_shipdate) / 86400 * 100 + l_linenumber) AS id FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
+def primary_files(spark, d):
+    li = read_table(spark, d, "lineitem")
+    files = li.select(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("kind"), F.col("l_shipdate").alias("created_at"), F.when(F.col("l_linestatus") != "F", F.current_timestamp()).alias("deleted_at"))
+    return B.primary_file(files, ["R", "A"]).select("paper_id", "id")
+
+
+@register("sources_and_papers", "SELECT o_orderkey AS id, c_name AS paper_title FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 4 <> 0")
+def sources_and_papers(spark, d):
+    sources = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("paper_id"))
+    papers = read_table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    return B.sources_with_papers(sources, papers).select("id", "paper_title")
+
+
+@register(
+    "outbox_round",
+    """WITH b AS (SELECT c_custkey AS k, c_custkey % 5 + 1 AS r FROM customer WHERE c_custkey % 2 = 0), u AS (SELECT DISTINCT o_custkey AS k FROM orders), e AS (SELECT coalesce(b.k, u.k) AS k, coalesce(r, 0) + (u.k IS NOT NULL)::INT AS r FROM b FULL JOIN u ON b.k = u.k)
+SELECT k AS paper_id, CAST(r AS BIGINT) AS revision FROM e WHERE k % 3 <> 0 OR r <> coalesce((SELECT r FROM b WHERE b.k = e.k), 1)""",
+)
+def outbox_round(spark, d):
+    c = read_table(spark, d, "customer").where("c_custkey % 2 = 0")
+    none = F.lit(None).cast("timestamp_ntz")
+    box = c.select(F.col("c_custkey").alias("paper_id"), (F.col("c_custkey") % 5 + 1).cast("long").alias("revision"), F.lit(0).alias("attempts"), none.alias("enqueued_at"))
+    new = M.enqueue(box, read_table(spark, d, "orders").select(F.col("o_custkey").alias("paper_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("enqueued_at")))
+    known = new.select("paper_id").where("paper_id % 3 = 0").join(box.select("paper_id", "revision"), "paper_id", "left").select("paper_id", F.coalesce("revision", F.lit(1).cast("long")).alias("revision"))
+    return M.settle(new, known, True).select("paper_id", "revision")
+
+
+@register("crash_recovery", "SELECT event_id AS id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-15' - INTERVAL 15 MINUTE THEN CASE WHEN event_id % 5 >= 3 THEN 'FAILED' ELSE 'QUEUED' END WHEN event_type = 'view' THEN 'RUNNING' ELSE 'DONE' END AS status FROM events")
+def crash_recovery(spark, d):
+    jobs = read_table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "view", "RUNNING").otherwise("DONE").alias("status"), F.col("ts").alias("heartbeat_at"), (F.col("event_id") % 5).alias("attempts"))
+    return M.recover(jobs, F.lit("2024-01-15").cast("timestamp_ntz")).select("id", "status")
+
+
+@register("queue_admission", "SELECT k AS kind, n AS waiting, greatest(0, m - n) AS room, m > n AS admits FROM (SELECT k, m, (SELECT count(*) FROM events WHERE event_type = k) AS n FROM (VALUES ('view', 1000000), ('click', 10)) AS t(k, m))")
+def queue_admission(spark, d):
+    jobs = read_table(spark, d, "events").select(F.col("event_type").alias("kind"), F.lit("QUEUED").alias("status"))
+    return M.admission(jobs, {"view": 1_000_000, "click": 10})
+
+
+@register("staged_objects", "SELECT 'k' || o_orderkey AS key FROM orders WHERE o_orderkey % 4 IN (0, 3) OR (o_orderkey % 4 = 2 AND o_orderdate < TIMESTAMP '1996-01-01' - INTERVAL 72 HOUR)")
+def staged_objects(spark, d):
+    o, n = read_table(spark, d, "orders"), F.col("o_orderkey") % 4
+    key = F.concat(F.lit("k"), F.col("o_orderkey"))
+    jobs = o.select(F.when(n == 1, "RUNNING").when(n == 2, "FAILED").otherwise("COMPLETED").alias("status"), F.lit(None).cast("timestamp_ntz").alias("finished_at"), F.col("o_orderdate").cast("timestamp_ntz").alias("updated_at"), F.to_json(F.struct(key.alias("object_key"))).alias("payload"))
+    return M.collectable_objects(o.select(key.alias("key")), jobs, F.lit("1996-01-01").cast("timestamp_ntz"))
+
+
+@register("whole_milliseconds", "SELECT event_id, CAST(floor(event_id / 4.0 + 0.5) AS BIGINT) AS ms FROM events")
+def whole_milliseconds(spark, d):
+    return read_table(spark, d, "events").select("event_id", X.whole_ms(F.col("event_id") / 4).alias("ms"))
+
+
+@register("record_digests", "SELECT event_id, sha256('{\"a\": \"' || event_type || '\", \"k\": ' || json_extract_string(props, '$.k') || '}') AS digest FROM events")
+def record_digests(spark, d):
+    record = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(' , "a":"'), "event_type", F.lit('"}'))
+    return read_table(spark, d, "events").select("event_id", X.record_digest(record).alias("digest"))
+
+
+@register("markdown_text", "SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, ' {2,}', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM conversations WHERE text NOT LIKE '%&%' AND regexp_full_match(text, '[\\x20-\\x7E\\n]*')")
+def markdown_text(spark, d):
+    rows = read_table(spark, d, "conversations").where("text not like '%&%' and text rlike '^[\\\\x20-\\\\x7E\\n]*$'")
+    return rows.select("conv_id", "turn", F.regexp_replace(X.normalize_markdown(F.col("text")), "\n+", "\n").alias("text"))
+
+
+@register(
+    "merged_shells",
+    """WITH s AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0)
+SELECT DISTINCT CASE WHEN o_custkey IN (FROM s) THEN o_custkey + 1 ELSE o_custkey END AS paper_id, o_orderpriority AS tag FROM orders""",
+)
+def merged_shells(spark, d):
+    c = read_table(spark, d, "customer").where("c_custkey % 3 = 0")
+    decisions = c.select(F.col("c_custkey").alias("shell_id"), F.lit("merge").alias("action"), (F.col("c_custkey") + 1).alias("target"))
+    tags = read_table(spark, d, "orders").select(F.col("o_custkey").alias("paper_id"), F.col("o_orderpriority").alias("tag"))
+    return K.merge_shells(decisions, tags, read_table(spark, d, "customer").withColumnRenamed("c_custkey", "id"), ["tag"])[0].select("paper_id", "tag")
+
+
+@register("stored_parses", "SELECT o_orderkey, max(l_shipdate) AS created_at, arg_max(l_linenumber, epoch(l_shipdate) * 10 + l_linenumber) AS parse FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linestatus = 'F' GROUP BY 1")
+def stored_parses(spark, d):
+    files = read_table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("sha256"), F.lit("x").alias("options"))
+    stamp = F.col("l_shipdate").cast("timestamp") + F.make_interval(secs=F.col("l_linenumber"))
+    cache = read_table(spark, d, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("sha256"), F.lit("x").alias("options"), stamp.alias("created_at"), F.col("l_linenumber").alias("parse"), "l_shipdate")
+    return K.cached_parses(files, cache).select("o_orderkey", F.col("l_shipdate").alias("created_at"), "parse")
+
+
 # ---- documents (sequential text algorithms: checked by tests, not by SQL)
 
 

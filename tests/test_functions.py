@@ -172,3 +172,31 @@ def test_truncate_and_noise(spark):
     assert one(spark, X.redact_secrets(F.col("t")), t="token=abc password: x") == "token=*** password: ***"
     assert one(spark, X.lenient_int(F.col("t")), t=" 7.9 ") == 7
     assert one(spark, X.lenient_int(F.col("t")), t="x") is None
+
+
+def test_embedding(spark):
+    from quire.functions.vectors import embed
+
+    df = spark.createDataFrame([("ab",), (None,), (" ",), ("abc",)], "t string")
+    got = [r.v for r in df.select(embed(F.col("t"), lambda texts: [[len(t), 1.0] for t in texts], 2, 1).alias("v")).collect()]
+    assert got == [[2.0, 1.0], None, None, [3.0, 1.0]]
+    with pytest.raises(Exception, match="vectors of 3 numbers"):
+        df.select(embed(F.col("t"), lambda texts: [[0.0]] * len(texts), 3)).collect()
+
+
+@pytest.mark.parametrize(
+    ("name", "doi", "arxiv"),
+    [
+        ("10.1109_abc.PDF", "10.1109/abc", None), ("x/10.1109_a_b.pdf", None, None), ("2101.00001v2__topic.pdf", None, "2101.00001"), ("paper 2113.00001.pdf", None, None), ("a12101.00001.pdf", None, None), (None, None, None),
+    ],
+)
+def test_file_names(spark, name, doi, arxiv):
+    assert one(spark, I.filename_doi(F.col("t")), t=name) == doi
+    assert one(spark, I.filename_arxiv(F.col("t")), t=name) == arxiv
+
+
+def test_markdown_and_digests(spark):
+    assert one(spark, X.normalize_markdown(F.col("t")), t="\n a  b\u00a0 c \r\n\r\n\n\u200bx &gt; y\x01\t\n") == "a b c\n\nx > y"
+    a, b = (one(spark, X.record_digest(F.col("t")), t=t) for t in ('{"b": 1, "a": "ä"}', '{"a":"ä",\n"b":1}'))
+    assert a == b and one(spark, X.record_digest(F.col("t")), t="{") is None
+    assert one(spark, X.whole_ms(F.col("t")), t=5) == 5

@@ -9,7 +9,7 @@ from quire.operators import maintenance as M
 from quire.operators import metadata as B
 from quire.operators import records as K
 from quire.operators import retrieval as R
-from quire.plans.search import SearchRequest, needs_rewrite, search
+from quire.plans.search import SearchRequest, needs_rewrite, rewrite, search, search_chunks, search_outcome
 from quire.schemas import SchemaMismatch, strict
 from quire.sources import readers, writers
 from quire.streaming.outbox import latest_revisions, stream_outbox, windowed_counts
@@ -152,7 +152,8 @@ def test_outbox_settles(spark):
 
 
 def test_requests():
-    assert SearchRequest(" q ", top_k=5, rerank=True).leg_size() == 125
+    assert SearchRequest(" q ", top_k=5, rerank=True).leg_size() == 25
+    assert SearchRequest("q", top_k=5, rerank=True, backend="python").leg_size() == 125
     assert SearchRequest("q", mode="semantic", top_k=5).leg_size() == 15
     for bad in ({"query": " "}, {"mode": "x"}, {"top_k": 0}, {"offset": 1}, {"recall_k": 5, "top_k": 6}, {"recall_k": 10, "offset": 10}, {"recall_k": 10, "backend": "python"}):
         with pytest.raises(ValueError):
@@ -173,6 +174,104 @@ def test_search(spark, mode, rerank):
     assert got[0].score == 1.0 and all(e.chunk_id != "c0" for r in got for e in r.evidence)
 
 
+def test_search_pages_facets_and_total(spark):
+    rows = [(f"c{k}", f"p{k % 6}", "nets", f"deep learning {'deep ' * (k % 4)}number {k}", "References" if k == 1 else None, [float(k), 1.0], 2017.0 + k % 2, "jov") for k in range(18)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, paper_id string, title string, text string, section string, embedding array<float>, year double, venue string")
+    chunks = chunks.withColumns({"section_title": F.lit(None).cast("string"), "page_start": F.lit(1)})
+    whole = [r.paper_id for r in search(chunks, SearchRequest("deep", top_k=6, recall_k=6), [1.0, 1.0]).orderBy("rank").collect()]
+    pages = [[r.paper_id for r in search(chunks, SearchRequest("deep", top_k=2, recall_k=6, offset=at), [1.0, 1.0]).orderBy("rank").collect()] for at in (0, 2, 4)]
+    assert sum(pages, []) == whole and len(set(whole)) == 6
+    out = search_outcome(chunks, SearchRequest("deep", filters={"venue": "JOV!", "year_to": 2017}), [1.0, 1.0])
+    assert out.total.first().total == 3
+    assert {(r.facet, r.key, r.papers) for r in out.facets.collect()} == {("venue", "jov", 3), ("year", "2017", 3)}
+    hits = search_chunks(chunks, SearchRequest("deep", top_k=3), [1.0, 1.0]).collect()
+    assert len({r.paper_id for r in hits}) == 3 and sum(r.is_primary for r in hits) == 3
+    for p in {r.paper_id for r in hits}:
+        own = [r for r in hits if r.paper_id == p]
+        assert 1 <= len(own) <= 4 and len({r.score for r in own}) == 1
+
+
+def test_rerank_by_paper_keeps_what_the_pool_leaves_out(spark):
+    rows = [(f"c{p}{k}", f"p{p:02}", p * 7 + k, 1.0 - p / 100, k == 0, 1.0 if (p, k) == (3, 2) else 0.5 if k == 0 else 0.1) for p in range(25) for k in range(7)]
+    hits = spark.createDataFrame(rows, "chunk_id string, paper_id string, position int, score double, is_primary boolean, raw double")
+    out = R.rerank(hits, F.col("raw"), 24).orderBy("new_position").collect()
+    order = list(dict.fromkeys(r.paper_id for r in out))
+    assert order[:3] == ["p03", "p00", "p01"] and len(order) == 24 and len(out) == 24 * 7
+    best = [r for r in out if r.paper_id == "p03"]
+    assert best[0].chunk_id == "c32" and best[0].is_primary and {r.score for r in best} == {1.0} and {r.rerank_score for r in best} == {1.0}
+    late = [r for r in out if r.paper_id == "p22"]  # beyond the first hundred chunks
+    assert {r.rerank_score for r in late} == {None} and {r.score for r in late} == {0.78}
+
+
+def test_rewrites():
+    assert rewrite("深度学习", lambda q: '\n "deep learning" \n x') == ("deep learning", True)
+    assert rewrite("deep", lambda q: "x") == ("deep", False) and rewrite("深度", None) == ("深度", False)
+
+    def broken(query):
+        raise TimeoutError
+
+    assert rewrite("深度", broken) == ("深度", False) and rewrite("深度", lambda q: " ") == ("深度", False)
+
+
+def test_running_counts_over_many_ranges(spark):
+    import random
+
+    rng = random.Random(1)
+    values = [rng.choice([0.0, 1.5, rng.random()]) for _ in range(500)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "value double")
+    counted = df.where("value is not null").groupBy("value").agg(F.count("*").alias("c"))
+    got = {r.value: r.upto for r in E.running_counts(counted, "value").collect()}
+    known = sorted(v for v in values if v is not None)
+    assert got == {v: sum(x <= v for x in known) for v in known}
+    assert E.nearest_rank(df, 0.5).first().value == known[round(0.5 * (len(known) - 1))]
+    assert E.nearest_rank(df.limit(0), 0.5).first().value is None
+
+
+def test_markdown_sections():
+    text = "# A Title\nwho\n\nwhere\n<!-- page break -->\n## 1. Intro\nIt is good-\nness.\n<!-- note -->\n### Results\n|a|\n|b|\n## A. Setup\n\n## " + "x" * 300 + "\nend"
+    got = [(s["number"], s["title"], s["page_start"], s["paragraphs"]) for s in D.markdown_sections(text)]
+    assert got[0] == (None, "A Title", 1, [(1, "who"), (1, "where")])
+    assert got[1] == ("1", "Intro", 2, [(2, "It is goodness.")])
+    assert got[2] == (None, "Results", 2, [(2, "|a|\n|b|")])
+    assert got[3][:2] == ("A", "Setup") and got[3][3][0][1].startswith("## xxx")
+    assert D.markdown_sections("") == [] and D.markdown_sections("plain")[0]["title"] == "Body"
+
+
+def test_markdown_chunks_and_failing_embedders(spark):
+    docs = spark.createDataFrame([(1, 1, "# One\ntext of one. and more."), (1, 2, "# Two\ntext of two.")], "doc_id long, page int, text string")
+    got = D.chunk_documents(docs, markdown=True).orderBy("chunk_index").collect()
+    assert [(r.section, r.page_start, r.degraded) for r in got] == [("One", 1, None), ("Two", 2, None)]
+
+    def broken(texts):
+        raise ConnectionError
+
+    assert {r.degraded for r in D.chunk_documents(docs, embed=broken, markdown=True).collect()} == {"embedding_failed: ConnectionError"}
+
+
+def test_scans_are_bounded(spark):
+    assert M.bounded(spark.range(5), 5).count() == 5
+    with pytest.raises(M.ScanLimit):
+        M.bounded(spark.range(6), 5)
+
+
+def test_shells_are_merged(spark):
+    decisions = spark.createDataFrame([("s", "merge", "t"), ("d", "delete", None), ("k", "keep", None)], "shell_id string, action string, target string")
+    tags = spark.createDataFrame([("s", "x"), ("t", "x"), ("s", "y"), ("k", "z")], "paper_id string, tag string")
+    papers = spark.createDataFrame([("s",), ("t",), ("d",), ("k",)], "id string")
+    rows, left = K.merge_shells(decisions, tags, papers, ["tag"])
+    assert sorted((r.paper_id, r.tag) for r in rows.collect()) == [("k", "z"), ("t", "x"), ("t", "y")]
+    assert sorted(r.id for r in left.collect()) == ["k", "t"]
+
+
+def test_reextraction_is_taken_over(spark):
+    current = spark.createDataFrame([("p", "a", "1"), ("p", "b", "2")], "paper_id string, field string, value string")
+    fresh = spark.createDataFrame([("p", "a", "9"), ("p", "c", "3")], "paper_id string, field string, value string")
+    got = K.apply_reextraction(current, K.reextraction_diff(current, fresh))
+    assert sorted((r.field, r.value) for r in got.collect()) == [("a", "9"), ("b", "2"), ("c", "3")]
+    got = K.apply_reextraction(current, K.reextraction_diff(current, fresh), ["c"])
+    assert sorted((r.field, r.value) for r in got.collect()) == [("a", "1"), ("b", "2"), ("c", "3")]
+
+
 def test_strict_schema(spark):
     good = spark.createDataFrame([("a", "A", "a")], "id string, normalized_name string, name string")
     assert strict(good, "authors").columns == ["id", "name", "normalized_name"]
@@ -211,6 +310,11 @@ def test_sources(spark, tmp_path):
     (folder / "bad.zip").write_bytes(b"nope")
     rows = readers.read_archives(readers.read_folder(spark, str(folder), "*.zip")).collect()
     assert {(r.name, r.error) for r in rows} == {("a.txt", None), ("../evil.txt", "unsafe_path"), ("n.zip", "nested_archive"), ("bomb.txt", "suspicious_ratio"), (None, "bad_archive")}
+    (tmp_path / "q.jsonl").write_text('{"id": "1", "query": "x"}\n\n{"id": "2", "query": "y", "note": "n"}\n')
+    assert [r.id for r in readers.read_eval_queries(spark, str(tmp_path / "q.jsonl")).collect()] == ["1", "2"]
+    (tmp_path / "l.jsonl").write_text('{"query_id": "1", "paper_id": "p", "grade": 1}\n{"query_id": oops\n')
+    with pytest.raises(ValueError, match="oops"):
+        readers.read_graded_labels(spark, str(tmp_path / "l.jsonl"))
     assert [r.key for r in readers.object_listing(spark, str(folder), "sub/").collect()] == ["sub/One.ZIP"]
 
 
