@@ -1197,6 +1197,15 @@ def merged_shells(spark, d):
     return K.merge_shells(decisions, tags, read_table(spark, d, "customer").withColumnRenamed("c_custkey", "id"), ["tag"])[0].select("paper_id", "tag")
 
 
+@register("abstracts_of_pages", "SELECT p_partkey AS doc_id, 'We show ' || p_name || ' at 65 nm CMOS with ' || p_size || ' parts.' AS abstract FROM part WHERE p_partkey % 3 <> 2")
+def abstracts_of_pages(spark, d):
+    p, n = read_table(spark, d, "part"), F.col("p_partkey") % 3
+    end = F.when(n == 0, F.lit("I.\nINTRODUCTION\nBody")).when(n == 1, F.lit("\nIndex Terms - x"))
+    text = F.concat(F.lit("A Title\nAnn Lee\nAbstract - We show "), "p_name", F.lit(" at\n65 nm CMOS\nwith "), F.col("p_size").cast("string"), F.lit(" parts.\n"), end)
+    pages = p.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.coalesce(text, F.lit("No such part\nAbstraction")).alias("text"))
+    return D.abstracts(pages)
+
+
 @register("stored_parses", "SELECT o_orderkey, max(l_shipdate) AS created_at, arg_max(l_linenumber, epoch(l_shipdate) * 10 + l_linenumber) AS parse FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linestatus = 'F' GROUP BY 1")
 def stored_parses(spark, d):
     files = read_table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("sha256"), F.lit("x").alias("options"))

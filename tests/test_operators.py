@@ -107,6 +107,16 @@ def test_semantic_chunks(spark):
     assert len(got) == 2 and "beta" not in got[0] and "alpha" not in got[1]
 
 
+def test_abstracts(spark):
+    texts = {
+        1: ["Abstract - We present a converter in\n65 nm CMOS. It reduces power.\nI.\nINTRODUCTION\nBody"], 2: ["Abstract - A converter.\n1 introduction\nBody"], 3: ["ABSTRACT\n\nFirst\nsecond.\n\nThird"],
+        4: ["Abstract: on two", "pages here.\nIndex Terms - x"], 5: ["No mark"], 6: ["Abstract"], 7: ["Abstract A.\n16 comparators work.\n2 Method"],
+    }
+    pages = spark.createDataFrame([(k, n + 1, t) for k, ts in texts.items() for n, t in enumerate(ts)], "doc_id long, page int, text string")
+    got = {r.doc_id: r.abstract for r in D.abstracts(pages).collect()}
+    assert got == {1: "We present a converter in 65 nm CMOS. It reduces power.", 2: "A converter.", 3: "First second.", 4: "on two pages here.", 7: "A. 16 comparators work."}
+
+
 def test_running_lines(spark):
     pages = [(1, p, f"Journal of X\nbody {p} text\nJournal of X inside\nmore\nlast words {p}\n{p}") for p in range(1, 5)] + [(2, 1, "Journal of X\nonly page")]
     got = {(r.doc_id, r.page): r.text for r in D.strip_running_lines(spark.createDataFrame(pages, "doc_id long, page int, text string")).collect()}
