@@ -1214,7 +1214,7 @@ def stored_parses(spark, d):
     return K.cached_parses(files, cache).select("o_orderkey", F.col("l_shipdate").alias("created_at"), "parse")
 
 
-# ---- documents (sequential text algorithms: checked by tests, not by SQL)
+# ---- documents (chunks and sentences are sequential: checked by tests, not by SQL)
 
 
 @register("chunk_length_policy")
@@ -1227,7 +1227,20 @@ def sentences(spark, d):
     return _docs(spark, d).select("doc_id", F.size(U.sentences(F.col("text"))).alias("n_sentences"))
 
 
-@register("running_lines")
+@register(
+    "running_lines",
+    f"""WITH p AS (SELECT conv_id AS doc_id, turn AS page, 'Journal of Talk' || chr(10) || text || chr(10) || chr(10) || turn AS text FROM conversations),
+l AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM p),
+f AS (SELECT *, regexp_replace(trim(line), '\\s+', ' ', 'g') AS flat FROM l),
+r AS (SELECT *, sum((flat <> '')::INT) OVER (PARTITION BY doc_id, page ORDER BY nth) AS from_top, sum((flat <> '')::INT) OVER (PARTITION BY doc_id, page ORDER BY nth DESC) AS from_end FROM f),
+m AS (SELECT *, flat <> '' AND from_top <= 2 AS head, flat <> '' AND from_end <= 2 AS tail, regexp_matches(lower(flat), '{D.PAGE_NUMBER}') AS num FROM r),
+need AS (SELECT doc_id, greatest(2, floor(count(DISTINCT page) * 0.6 + 0.5)) AS need FROM p GROUP BY 1 HAVING count(DISTINCT page) >= 3),
+rep AS (SELECT doc_id, flat, true AS again FROM m JOIN need USING (doc_id) WHERE head OR tail GROUP BY doc_id, flat HAVING count(DISTINCT page) >= any_value(need) AND length(flat) < 120),
+nb AS (SELECT doc_id, count(DISTINCT CASE WHEN head AND num THEN page END) >= any_value(need) AS dh, count(DISTINCT CASE WHEN tail AND num THEN page END) >= any_value(need) AS dt FROM m JOIN need USING (doc_id) WHERE head OR tail GROUP BY 1),
+k AS (SELECT m.* FROM m LEFT JOIN rep USING (doc_id, flat) LEFT JOIN nb USING (doc_id)
+  WHERE NOT (((head OR tail) AND coalesce(again, false)) OR (num AND ((head AND coalesce(dh, false)) OR (tail AND coalesce(dt, false))))))
+SELECT p.doc_id, p.page, coalesce(regexp_replace(string_agg(line, chr(10) ORDER BY nth), '^\\s+|\\s+$', '', 'g'), '') AS text FROM p LEFT JOIN k USING (doc_id, page) GROUP BY 1, 2""",
+)
 def running_lines(spark, d):
     turns = read_table(spark, d, "conversations")
     text = F.concat(F.lit("Journal of Talk\n"), "text", F.lit("\n\n"), F.col("turn").cast("string"))
