@@ -226,6 +226,29 @@ def test_quality_of_documents(spark, sf):
     assert not any(p in plan(df) for p in PYTHON)
 
 
+def test_verdicts_match_brute_force(spark, sf):
+    """Votes from the counts by plain comparisons, and expectation-maximisation over single rows instead of patterns."""
+    rows = judge(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).collect()
+    bad = [
+        lambda r: 10 * r.n_symbols > r.n_words, lambda r: 100 * r.n_letters < 70 * r.word_chars, lambda r: 10 * r.n_upper > 4 * r.n_letters, lambda r: 10 * r.n_marks > r.n_words,
+        lambda r: 100 * r.n_repeat_words > 15 * r.n_words, lambda r: r.n_dup_lines >= 2 and 10 * r.n_dup_lines > 2 * r.n_lines, lambda r: r.n_words >= 60 and 100 * r.n_distinct < 30 * r.n_words,
+        lambda r: r.n_words < 20, lambda r: r.word_chars > 16 * r.n_words or 2 * r.word_chars < 3 * r.n_words, lambda r: r.n_words >= 100 and 200 * r.n_stops < r.n_words,
+    ]
+    good = [lambda r: 50 * r.n_symbols <= r.n_words, lambda r: 100 * r.n_letters >= 88 * r.word_chars, lambda r: 10 * r.n_upper <= r.n_letters, lambda r: False, lambda r: r.n_repeat_words == 0, *[lambda r: False] * 5]
+    votes = np.array([[0 if not r.n_words else -1 if b(r) else 1 if g(r) else 0 for b, g in zip(bad, good)] for r in rows])
+    assert [list(r.votes) for r in rows] == votes.tolist()
+    prior, rate = 0.85, {1: np.full(10, 0.98), 0: np.full(10, 0.25)}  # P(good vote | class)
+    post = None
+    for _ in range(100):
+        log = {y: np.log(p) + np.where(votes == 1, np.log(rate[y]), np.where(votes == -1, np.log(1 - rate[y]), 0)).sum(axis=1) for y, p in ((1, prior), (0, 1 - prior))}
+        post = 1 / (1 + np.exp(log[0] - log[1]))
+        share = {1: post, 0: 1 - post}
+        rate = {y: (20 * start + ((votes == 1) * share[y][:, None]).sum(axis=0)) / (20 + ((votes != 0) * share[y][:, None]).sum(axis=0)) for y, start in ((1, 0.98), (0, 0.25))}
+        prior = (20 * 0.85 + post.sum()) / (20 + len(rows))
+    assert np.abs(post - np.array([r.quality for r in rows])).max() < 1e-4
+    assert [r.kept for r in rows] == [bool(p >= 0.5 and not r.base_failed) for p, r in zip(post, rows)]
+
+
 def test_quality_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, kept string")
     assert judge(empty).count() == 0

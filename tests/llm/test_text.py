@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -575,6 +576,48 @@ def test_training_counts_match_brute_force(spark, monkeypatch):
     assert got == dict(want)
 
 
+def plain_language(text, model, penalty):
+    """Words, trigram hashes and the best path, letter by letter."""
+    words, at = [], []
+    inside = [unicodedata.category(c)[0] in "LM" for c in text]
+    for k, c in enumerate(text):
+        if inside[k]:
+            if k and inside[k - 1]:
+                at[-1].append(k)
+            else:
+                at.append([k])
+    low = lambda k: ord(c.lower()) if 0 <= k < len(text) and inside[k] and len((c := text[k]).lower()) == 1 else 0
+    for ks in at:
+        total = np.zeros(len(model.languages))
+        for k in ks:
+            h = (low(k - 1) * 0x9E3779B1 ^ low(k) * 0x85EBCA77 ^ low(k + 1) * 0xC2B2AE3D) & 0xFFFFFFFF
+            h = ((h ^ h >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF
+            total += model.logp[h >> (32 - langid.BITS)]
+        script = max(s for s in langid.SCRIPTS if s[0] <= ord(text[ks[0]]))[1]
+        uses = model.uses[langid.SCRIPT_NAMES.index(script)]
+        words.append((len(ks), np.where(uses, total, -1e6) if uses.any() else total))
+    if not any(unicodedata.category(c)[0] == "L" for c in text):
+        return "und", 0.0
+    paths = [(words[0][1][k], [k]) for k in range(len(model.languages))]
+    for _, scores in words[1:]:
+        paths = [max(((v - penalty * (p[-1] != k) + scores[k], [*p, k]) for v, p in paths), key=lambda x: x[0]) for k in range(len(model.languages))]
+    path = max(paths, key=lambda x: x[0])[1]
+    letters = collections.Counter()
+    for k, (n, _) in zip(path, words):
+        letters[k] += n
+    top = max(range(len(model.languages)), key=lambda k: (letters[k], -k))
+    return model.languages[top], letters[top] / sum(letters.values())
+
+
+def test_scores_match_brute_force(spark, sf, model):
+    texts = [r.text[:600] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(25).collect() if r.text]
+    texts += ["The cat und собака ÉTÉ e\u0301x", "x", "12 !", "der der der кошка"]
+    names, scores, _ = langid.judge(texts, model, 6.0, False)
+    for text, name, score in zip(texts, names, scores):
+        want = plain_language(text, model, 6.0)
+        assert name == want[0] and score == pytest.approx(want[1]), text
+
+
 def test_many_languages(spark):
     rows = [(f"word{chr(97 + k % 26)}{chr(97 + k // 26)} " * 3, f"l{k:04}") for k in range(600)]
     model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
