@@ -41,9 +41,11 @@ def metrics(rankings: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     )
 
 
-def aggregate(values: DataFrame, by: list[str], metric: str = "metric", value: str = "value") -> DataFrame:
-    """mean and n by group and metric; values that are no numbers are skipped."""
+def aggregate(values: DataFrame, by: list[str], metric: str = "metric", value: str = "value", error: str | None = None) -> DataFrame:
+    """mean and n by group and metric; values that are no numbers are skipped, as are rows with an error."""
     number = F.col(value).cast("string").try_cast("double")
+    if error is not None:
+        values = values.where(F.coalesce(F.trim(F.col(error)), F.lit("")) == "")
     return values.withColumn("_v", number).where("_v is not null").groupBy(*by, metric).agg(F.avg("_v").alias("mean"), F.count("*").alias("n"))
 
 

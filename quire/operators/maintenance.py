@@ -13,15 +13,16 @@ def _issues(**tests: Column) -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests.items())))
 
 
-def consistency(papers: DataFrame, files: DataFrame, chunks: DataFrame, objects: DataFrame, index: DataFrame, index_readable: bool = True) -> DataFrame:
+def consistency(papers: DataFrame, files: DataFrame, chunks: DataFrame, objects: DataFrame, index: DataFrame, index_readable: bool = True, objects_readable: bool = True) -> DataFrame:
     """paper_id, issues: what database, object store and index disagree on, for papers that have any.
 
     Each store is reduced to one row a paper, then the three are joined outer. An unreadable index
-    means unknown, so it raises nothing but missing_chunks. objects: key (papers/<id>/<name>); index:
+    means unknown, so it raises nothing but missing_chunks; nothing is said of objects of an unreadable store. objects: key (papers/<id>/<name>); index:
     paper_id, docs, backends array, models array.
     """
     inner = ~F.contains("key", F.lit("extracted/"))
     stored = objects.withColumn("paper_id", F.regexp_extract("key", "^papers/([^/]+)/", 1)).where("paper_id <> ''")
+    stored = stored if objects_readable else stored.limit(0)
     stored = stored.groupBy("paper_id").agg(F.collect_set("key").alias("all_keys"), F.collect_set(F.when(inner, F.col("key"))).alias("keys"))
     wanted = files.where("deleted_at is null").groupBy("paper_id").agg(F.collect_set("object_key").alias("expected"))
     cut = chunks.groupBy("paper_id").agg(F.count("*").alias("chunks"), F.collect_set("embedding_model").alias("chunk_models"))
@@ -39,7 +40,7 @@ def consistency(papers: DataFrame, files: DataFrame, chunks: DataFrame, objects:
     issues = _issues(
         unknown_paper=~F.col("exists") & ((F.size("all_keys") > 0) | (F.col("docs") > 0)),
         residue=F.col("deleted") & ((F.size("all_keys") > 0) | (F.lit(index_readable) & (F.col("docs") > 0))),
-        missing_object=here & (F.size(F.array_except("expected", "keys")) > 0),
+        missing_object=here & F.lit(objects_readable) & (F.size(F.array_except("expected", "keys")) > 0),
         orphan_object=here & (F.size(F.array_except("keys", "expected")) > 0),
         missing_index=seen & (F.col("chunks") > 0) & (F.col("docs") == 0),
         chunk_count_mismatch=seen & (F.col("chunks") > 0) & (F.col("docs") > 0) & (F.col("docs") != F.col("chunks")),
@@ -202,6 +203,12 @@ def collectable_objects(objects: DataFrame, jobs: DataFrame, now: Column, retry_
     return objects.join(jobs.where(running | retry).select(F.get_json_object("payload", "$.object_key").alias("key")), "key", "left_anti")
 
 
+def open_cleanups(jobs: DataFrame, now: Column) -> DataFrame:
+    """Cleanup jobs whose payload says that they may still be confirmed at this time (ISO text, compared as text)."""
+    expires = F.get_json_object("payload", "$.expires_at")
+    return jobs.where((F.col("kind") == "cleanup") & (expires > F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss")))
+
+
 def enqueue(outbox: DataFrame, updates: DataFrame) -> DataFrame:
     """The outbox after updates (paper_id, enqueued_at): a new revision replaces a paper's row."""
     new = updates.groupBy("paper_id").agg(F.max("enqueued_at").alias("enqueued_at"))

@@ -33,6 +33,27 @@ def dedupe(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return keyed.unionByName(rows.where(F.col(key).isNull()))
 
 
+def ingest(known: DataFrame, incoming: DataFrame, key: str = "fingerprint", *order: Column) -> tuple[DataFrame, DataFrame]:
+    """(taken, discarded): of each new fingerprint the first row comes in; rows whose fingerprint is known go."""
+    fresh = dedupe(incoming.join(known.select(key).distinct(), key, "left_anti"), key, *(order or (F.asc("id"),)))
+    return fresh, incoming.join(fresh.select("id"), "id", "left_anti")
+
+
+def upgrade_fingerprints(papers: DataFrame, better: DataFrame) -> DataFrame:
+    """papers (id, fingerprint, created_at) with better fingerprints (id, fingerprint) where nobody else has them.
+
+    Of several papers that would get one fingerprint the oldest gets it; the others keep theirs.
+    """
+    new = better.select("id", F.col("fingerprint").alias("_new"))
+    rows = papers.join(new, "id", "left")
+    taken = papers.select(F.col("fingerprint").alias("_new"), F.col("id").alias("_owner")).groupBy("_new").agg(F.min("_owner").alias("_owner"))
+    rows = rows.join(taken, "_new", "left")
+    first = F.row_number().over(Window.partitionBy("_new").orderBy("created_at", "id")) == 1
+    free = F.col("_new").isNotNull() & (F.col("_owner").isNull() | (F.col("_owner") == F.col("id")))
+    rows = rows.withColumn("_ok", free & F.when(F.col("_new").isNotNull(), first).otherwise(False))
+    return rows.withColumn("fingerprint", F.when(F.col("_ok"), F.col("_new")).otherwise(F.col("fingerprint"))).select(*papers.columns)
+
+
 def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """Upsert by union: the latest row of each key wins."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -17,6 +17,19 @@ def write_version(df: DataFrame, root: str, version: str, expected: int | None =
     return rows
 
 
+def write_checked(df: DataFrame, root: str, version: str, required: list[str]) -> tuple[int, int]:
+    """Write the rows that have all required columns as a new version; (written, failed).
+
+    Failed rows go to a folder beside it, with their reasons.
+    """
+    missing = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required)))
+    marked = df.withColumn("_why", missing)
+    written = write_version(marked.where(F.size("_why") == 0).drop("_why"), root, version)
+    bad = marked.where(F.size("_why") > 0).withColumn("_why", F.array_join("_why", ", "))
+    failed = write_version(bad, root, f"{version}-failed")
+    return written, failed
+
+
 def swap(spark: SparkSession, name: str, root: str, version: str) -> None:
     """Point the view `name` at a version."""
     spark.read.parquet(f"{root}/{version}").createOrReplaceTempView(name)

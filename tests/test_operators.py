@@ -258,6 +258,40 @@ def test_markdown_chunks_and_failing_embedders(spark):
     assert {r.degraded for r in D.chunk_documents(docs, embed=broken, markdown=True).collect()} == {"embedding_failed: ConnectionError"}
 
 
+def test_ingest_and_better_fingerprints(spark):
+    known = spark.createDataFrame([("k", "f0")], "id string, fingerprint string")
+    new = spark.createDataFrame([("a", "f1"), ("b", "f1"), ("c", "f0"), ("d", None)], "id string, fingerprint string")
+    taken, gone = B.ingest(known, new)
+    assert sorted(r.id for r in taken.collect()) == ["a", "d"] and sorted(r.id for r in gone.collect()) == ["b", "c"]
+    papers = spark.createDataFrame([("a", "f1", 1), ("b", "f2", 2), ("c", "f3", 3), ("d", "f4", 4)], "id string, fingerprint string, created_at int")
+    better = spark.createDataFrame([("b", "doi:1"), ("c", "doi:1"), ("d", "f1")], "id string, fingerprint string")
+    assert {r.id: r.fingerprint for r in B.upgrade_fingerprints(papers, better).collect()} == {"a": "f1", "b": "doi:1", "c": "f3", "d": "f4"}
+
+
+def test_unreadable_stores_say_nothing(spark):
+    papers = spark.createDataFrame([("p", "INDEXED", None, None)], "id string, status string, parser_backend string, deleted_at timestamp")
+    files = spark.createDataFrame([("p", "papers/p/a.pdf", None)], "paper_id string, object_key string, deleted_at timestamp")
+    chunks = spark.createDataFrame([("p", "m")], "paper_id string, embedding_model string")
+    objects = spark.createDataFrame([("papers/p/b.pdf",), ("papers/q/c.pdf",)], "key string")
+    index = spark.createDataFrame([], "paper_id string, docs long, backends array<string>, models array<string>")
+    got = lambda **how: {r.paper_id: r.issues for r in M.consistency(papers, files, chunks, objects, index, **how).collect()}
+    assert got() == {"p": ["missing_object", "orphan_object", "missing_index"], "q": ["unknown_paper"]}
+    assert got(objects_readable=False) == {"p": ["missing_index"]} and got(objects_readable=False, index_readable=False) == {}
+
+
+def test_open_cleanups_and_errors_in_means(spark):
+    jobs = spark.createDataFrame([(1, "cleanup", '{"expires_at": "2024-01-02T00:00:00"}'), (2, "cleanup", '{"expires_at": "2024-01-01T00:00:00"}'), (3, "parse", "{}"), (4, "cleanup", "{}")], "id int, kind string, payload string")
+    assert [r.id for r in M.open_cleanups(jobs, F.lit("2024-01-01 12:00:00").cast("timestamp")).collect()] == [1]
+    rows = spark.createDataFrame([("m", "1", None), ("m", "3", " "), ("m", "9", "timeout"), ("m", "x", None)], "metric string, value string, error string")
+    assert E.aggregate(rows.withColumn("g", F.lit(1)), ["g"], error="error").first().mean == 2.0
+
+
+def test_checked_writes(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None), (None, None)], "id int, t string")
+    assert writers.write_checked(df, str(tmp_path), "v", ["id", "t"]) == (1, 2)
+    assert sorted(r._why for r in spark.read.parquet(str(tmp_path / "v-failed")).collect()) == ["missing id, missing t", "missing t"]
+
+
 def test_scans_are_bounded(spark):
     assert M.bounded(spark.range(5), 5).count() == 5
     with pytest.raises(M.ScanLimit):
@@ -372,7 +406,7 @@ def test_venues(spark):
     venues = spark.createDataFrame([("v", "IEEE Trans. X", "ieee trans x")], "id string, name string, normalized_name string")
     papers = spark.createDataFrame([("1", "v", 2019, None, None), ("2", "v", None, 2020, None), ("3", "w", 2019, None, None)], "id string, venue_id string, year int, venue_year int, deleted_at timestamp")
     assert [r.id for r in K.papers_of_venue(papers, venues, "IEEE Trans X").orderBy("id").collect()] == ["1", "2"]
-    assert [r.id for r in K.papers_of_venue(papers, venues, "ieee trans. x", 2020).collect()] == ["2"]
+    assert [r.id for r in K.papers_of_venue(papers, venues, ["ieee trans. x", "other"], 2020).collect()] == ["2"]
 
 
 def test_cache_misses(spark):
