@@ -332,7 +332,7 @@ def link_classes(
         by_comp = crowded.select("token", "cls", "idx").join(labels, "cls").groupBy("token", "comp").agg(F.count("*").alias("k"), F.count_if("idx").alias("ki"))
         largest = F.max(F.struct("k", "comp", "ki")).alias("m")
         main = by_comp.groupBy("token").agg(largest, F.sum("k").alias("k"), F.sum("ki").alias("ki"))
-        main = materialize(main.select("token", F.col("m.comp").alias("main"), F.expr("(ki - m.ki) * k + m.ki * (k - m.k)").alias("left")), "main")
+        main = materialize(main.select("token", F.col("m.comp").alias("main"), "k", F.expr("(ki - m.ki) * k + m.ki * (k - m.k)").alias("left")), "main")
         left = main.agg(F.sum("left")).first()[0] or 0
         if left <= patience * total or step == rounds or (step > 1 and left > 0.9 * before):
             break
@@ -343,12 +343,13 @@ def link_classes(
         labels = _star_round(crowded, labels, members, limit, step)
     # All pairs left: in a crowded shingle those with a class outside of its main component.
     none = F.lit(None).cast("long")
-    known = _spread_join(crowded.join(labels, "cls"), main.where(F.col("left") > 0).select("token", "main"), "token", "cls").withColumn("crowded", F.lit(True))
-    plain = entries.where("not crowded").withColumns({"comp": F.col("cls"), "main": none})
+    known = _spread_join(crowded.join(labels, "cls"), main.where(F.col("left") > 0).select("token", "main", "k"), "token", "cls")
+    plain = entries.where("not crowded").drop("crowded").withColumns({"comp": F.col("cls"), "main": none, "k": F.lit(1).cast("long")})
     rows = known.select(*plain.columns).unionByName(plain)
     outside = F.col("main").isNull() | (F.col("comp") != F.col("main"))
-    once = F.when(F.col("crowded"), F.pmod(F.xxhash64("cls"), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0))
-    copies = F.explode(F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))
+    # A shingle's classes are dealt over the more groups the more they are.
+    groups = F.expr(f"cast(greatest(1, least({SPREAD}, k div {4 * CROWD})) as int)")
+    once, copies = F.pmod(F.xxhash64("cls"), groups).cast("int"), F.explode(F.sequence(F.lit(0), groups - 1))
     # Sets whose sizes are too far apart don't meet: b is in the size class of a or in the next one.
     ratio = 1.05 * limit.den / limit.num
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio))).cast("int")
