@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import kept_row, materialize
+from quire.llm.common import clear_written, kept_row, materialize, written
 from quire.llm.components import components
 from quire.llm.shingles import overlap, shingle_sets
 
@@ -322,6 +322,7 @@ def link_classes(
 
     Classes that are missing are linked to none.
     """
+    spark, others = docs.sparkSession, set(written())
     order = shingle_order(signatures, bits)
     total = order.total
     entries = materialize(_entries(docs, size, limit, order), "entries")
@@ -371,7 +372,10 @@ def link_classes(
     met_classes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     labels = materialize(labels.where("cls <> comp").join(met_classes.withColumn("m", F.lit(1)), "cls", "full_outer").select("cls", F.coalesce("comp", "cls").alias("comp")).union(labels.where("cls <> comp").select("comp", "comp")).distinct(), "labels")
     members = materialize(_members(docs, size, met_classes), "members")
-    return _relabel(labels, materialize(_verified(pairs, members, limit), "links"))
+    labels = _relabel(labels, materialize(_verified(pairs, members, limit), "links"))
+    *done, _ = (f for f in written() if f not in others)  # the labels were written last; nothing needs the rest any more
+    clear_written(spark, done)
+    return labels
 
 
 def _meets(limit: Threshold) -> str:
