@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import join_small, kept_row, materialize
+from quire.llm.common import clear_written, join_small, kept_row, materialize, written
 from quire.llm.shingles import shingle_sets
 
 #: Common English insults, each a voter.
@@ -390,13 +390,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, support:
     model's counts are over all documents. Null and empty texts have no features; long texts are read whole;
     repeated rows count as often as they occur. Without labels, or without rows, only the fixed entries vote.
     """
-    spark = docs.sparkSession
+    spark, others = docs.sparkSession, set(written())
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = materialize(known, "known")
     n_known = known.count()
     training = join_small(docs.select("doc_id", "text"), known, ["doc_id"], n_known, BROADCAST_LABELS)
     lexicon = learn_lexicon(_feature_counts(_weighted(training)), support)
     fired = materialize(fire(docs, lexicon.vocabulary, keep_text=False), "fired")
+    others.add(written()[-1])
 
     marked = fired.select("doc_id", "ids").join(known.hint("shuffle_hash"), "doc_id", "left")
     joint, n_all, bad, good = moments(marked, lexicon)
@@ -413,6 +414,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, support:
     rows = [(ids, model.posterior(lexicon.votes(ids).tolist())) for (ids,) in chosen.select("ids").collect()]  # bounded by the sample
     start = np.full(len(lexicon.of), -np.inf)
     start[: len(lexicon.odds)][lexicon.leads] = np.log(prior / (1 - prior)) + lexicon.odds[lexicon.leads]
+    clear_written(spark, [f for f in written() if f not in others])  # all but the table that is returned
     return fit_classifier(lexicon.vocabulary, rows, start), fired
 
 
