@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.chat import OP2_SQL, op2_chat
 from quire.llm.jaccard import op3_jaccard
 from quire.llm.langid import op10_langid
+from quire.llm.minhash import op11_minhash
 from quire.llm.mixing import op1_mixing
 from quire.llm.packing import op5_packing
 from quire.llm.quality import op4_quality
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_urls": op8_urls,
         "op9_topk": op9_topk,
         "op10_langid": op10_langid,
+        "op11_minhash": op11_minhash,
     }
 
 
