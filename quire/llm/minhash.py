@@ -8,9 +8,12 @@ least values would give, for half the evaluations. Bands of `rows` values of one
 buckets' keys; classes that share a bucket and whose signatures agree often enough are compared on
 whole sets.
 
-A bucket of few classes gives all its pairs. In a crowded one the classes are linked to one pivot,
-verified and merged, with other pivots from turn to turn; what is left between different components is
-then compared pair by pair, so a large group of copies costs about one comparison a member and bucket.
+A bucket of few classes gives all its pairs. For classes in crowded ones it is counted which of their
+shingles no other such class has: these bound every overlap, so texts that only share a passage drop out, and
+the class with the fewest is the middle of its group. In a crowded bucket the classes are linked to one such
+pivot, verified and merged, with other pivots from turn to turn, so a large group of copies costs about one comparison a
+member and bucket. Pairs left between different components are found by prefixes of their sets in order
+of rarity, which rule out most of a group's outsiders without a comparison.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import clear_written, materialize, shuffle_partitions, written
@@ -170,6 +173,11 @@ def _sized(limit: Threshold, a: str, b: str) -> Column:
     return F.expr(f"{limit.den} * least({a}, {b}) >= {limit.num} * greatest({a}, {b})")
 
 
+def _possible(limit: Threshold, a_n: str, b_n: str, common: str) -> Column:
+    """Sets of these sizes with an overlap of at most `common` may be linked."""
+    return F.expr(f"{limit.num + limit.den} * least({common}, {a_n}, {b_n}) >= {limit.num} * ({a_n} + {b_n})")
+
+
 def _few_pairs(buckets: DataFrame, limit: Threshold) -> DataFrame:
     """All pairs (a, b) of classes that meet in buckets of few, once each."""
     held = buckets.where(F.col("k") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("all"))
@@ -178,14 +186,66 @@ def _few_pairs(buckets: DataFrame, limit: Threshold) -> DataFrame:
     return first.where(_sized(limit, "n", "y.n")).select("a", F.col("y.cls").alias("b")).distinct()
 
 
+def _items(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, item): the shingles of these classes (cls)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            sets = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1)]
+            cls = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.concatenate(sets))], names=["cls", "item"])
+
+    return members.join(classes, "cls", "left_semi").mapInArrow(run, "cls long, item long")
+
+
+def _common(crowded: DataFrame, members: DataFrame) -> DataFrame:
+    """crowded (key, cls, n) with m, how many of the class's shingles another class in crowded buckets has too.
+
+    No overlap with one of them is larger than m.
+    """
+    items = _items(members, crowded.select("cls").distinct())
+    own = items.groupBy("item").agg(F.count("*").alias("k"), F.min("cls").alias("cls")).where("k = 1").groupBy("cls").agg(F.count("*").alias("own"))
+    return crowded.join(own, "cls", "left").select("key", "cls", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"))
+
+
+def _rest(held: DataFrame, members: DataFrame, limit: Threshold) -> DataFrame:
+    """(a, b): classes of different components that may still be linked, by prefixes of shingles in order of rarity.
+
+    held: cls, n, m, comp, ... of classes in crowded buckets. Shingles of one class only come first and find no one, so a
+    class with many of its own has hardly an entry left. The smaller set's entry must be in its shorter index
+    prefix, and what follows a shared entry must be enough. A shingle's classes are dealt over the more groups the
+    more they are.
+    """
+    num, den = limit.num, limit.den
+    classes = materialize(held.select("cls", "n", "m", "comp").distinct(), "outside")
+    items = _items(members, classes.select("cls"))
+    counts = items.groupBy("item").agg(F.count("*").alias("k")).where("k > 1")
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("k", "item")) - 1
+    entries = items.join(counts, "item").withColumn("place", place).join(classes, "cls").withColumn("place", F.expr("place + n - m"))
+    probe, index = f"n - ({num} * n + {den - 1}) div {den}", f"n - (2 * {num} * n + {num + den - 1}) div {num + den}"
+    entries = materialize(entries.where(f"place <= {probe}").withColumn("first", F.expr(f"place <= {index}")), "prefixes")
+    groups = F.expr(f"cast(1 + k div {GROUP} as int)")
+    side = lambda s, salt: entries.withColumn("salt", salt).select("item", "salt", "first", *(F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "place", "comp")))
+    a = side("a", F.explode(F.sequence(F.lit(0), groups - 1))).where("first").drop("first")
+    b = side("b", F.pmod(F.xxhash64("cls"), groups).cast("int")).drop("first")
+    enough = f"{den} * a_n >= {num} * b_n and {num + den} * least(a_n - a_place, b_n - b_place) >= {num} * (a_n + b_n)"
+    met = a.join(b, ["item", "salt"]).where("a_comp <> b_comp and (a_n < b_n or (a_n = b_n and a_cls < b_cls))").where(enough)
+    return met.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
+
+
 def _turn(held: DataFrame, step: int) -> DataFrame:
-    """Per key its largest component (main), a pivot in it, its classes and the pairs left between components."""
-    chance = F.xxhash64("cls", F.lit(step))
-    by_comp = held.groupBy("key", "comp").agg(F.count("*").alias("k"), F.max(F.struct(chance.alias("chance"), "cls", "n")).alias("lead"))
-    largest = by_comp.groupBy("key").agg(F.max(F.struct("k", "lead", "comp")).alias("m"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-    return largest.select(
-        "key", F.col("m.comp").alias("main"), F.col("m.lead.cls").alias("pivot"), F.col("m.lead.n").alias("pivot_n"), "k", F.expr("(k * k - kk) div 2").alias("left")
+    """Per key its largest component (main), a pivot in it, its classes, their least size, and the pairs left between components.
+
+    The first pivot is the most central class; in later turns chance has a say.
+    """
+    chance = F.pmod(F.xxhash64("cls", F.lit(step)), F.lit(1000)) * min(step, 1)
+    central = (F.col("m") / F.col("n") * (1000 + chance)).alias("central")
+    by_comp = held.groupBy("key", "comp").agg(F.count("*").alias("k"), F.min("n").alias("low"), F.max(F.struct(central, "cls", "n", "m")).alias("lead"))
+    largest = by_comp.groupBy("key").agg(
+        F.max(F.struct("k", "lead", "comp")).alias("main"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.min("low").alias("low")
     )
+    lead = [F.col(f"main.lead.{c}").alias(f"pivot{end}") for c, end in (("cls", ""), ("n", "_n"), ("m", "_m"))]
+    return largest.select("key", F.col("main.comp").alias("main"), *lead, "k", "low", F.expr("(k * k - kk) div 2").alias("left"))
 
 
 def link_classes(
@@ -210,25 +270,20 @@ def link_classes(
     bits = min(26, max(16, (16 * wanted.count()).bit_length()))  # of a map that lets tasks skip most other texts
     members = materialize(_members(docs, size, wanted, bits), "members")
     labels, folder = merged(wanted.select("cls", F.col("cls").alias("comp")), pairs)
+    crowded = materialize(_common(crowded, members).where(f"{limit.den} * m >= {limit.num} * n"), "central")
     total, before = crowded.count(), 0
     for step in range(rounds + 1):
         held = crowded.join(labels, "cls")
         turn = materialize(_turn(held, step), "turn")
         left = turn.agg(F.sum("left")).first()[0] or 0
-        outside = held.join(turn.where("left > 0"), "key").where("comp <> main")
+        outside = held.join(turn.where("left > 0"), "key").where("comp <> main").where(_possible(limit, "n", "greatest(low, m)", "m"))
         if left <= patience * total or step == rounds or (step > 1 and left > 0.9 * before):
             break
         before = left
-        stars = outside.where(_sized(limit, "n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
+        stars = outside.where(_possible(limit, "n", "pivot_n", "least(m, pivot_m)")).select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
         labels, folder = merged(labels, materialize(_alike(stars, classes, least), "stars"), stars=True)
     if left:
-        # All pairs left, those with a class outside of its bucket's main component. A bucket is dealt over as many groups as its size asks for.
-        groups = F.expr(f"cast(1 + k div {GROUP} as int)")
-        of = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "comp")]
-        a = outside.select("key", *of("a"), F.explode(F.sequence(F.lit(0), groups - 1)).alias("salt"))
-        b = held.join(turn.where("left > 0"), "key").select("key", *of("b"), "main", F.pmod(F.xxhash64("cls"), groups).cast("int").alias("salt"))
-        met = a.join(b, ["key", "salt"]).where("a_comp <> b_comp and (b_comp = main or a_cls < b_cls)").where(_sized(limit, "a_n", "b_n"))
-        rest = met.select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b")).distinct()
+        rest = _rest(held, members, limit)
         labels, folder = merged(labels, materialize(_alike(rest, classes, least), "rest"))
     clear_written(docs.sparkSession, [f for f in written() if f not in others and f != folder])
     return labels
