@@ -273,7 +273,7 @@ def link_classes(
     crowded = materialize(_common(crowded, members).where(f"{limit.den} * m >= {limit.num} * n"), "central")
     total, before = crowded.count(), 0
     for step in range(rounds + 1):
-        held = crowded.join(labels, "cls")
+        held = materialize(crowded.join(labels, "cls"), "held")
         turn = materialize(_turn(held, step), "turn")
         left = turn.agg(F.sum("left")).first()[0] or 0
         outside = held.join(turn.where("left > 0"), "key").where("comp <> main").where(_possible(limit, "n", "greatest(low, m)", "m"))
