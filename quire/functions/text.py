@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,6 +36,24 @@ def cjk_terms(text: Column) -> Column:
     return F.flatten(F.transform(runs, pairs))
 
 
+def index_terms(text: Column) -> Column:
+    """The terms under which a text is found: cjk_terms, worked out only where it has CJK characters."""
+    return F.when(text.rlike(f"[{CJK}]"), cjk_terms(text)).otherwise(terms(text))
+
+
+_CJK_SIGNS = CJK.replace("\\x{20000}-\\x{2FA1F}", "\U00020000-\U0002FA1F")
+_RUNS = re.compile(f"([{_CJK_SIGNS}]+)|[^\\W_{_CJK_SIGNS}]+")
+
+
+def query_terms(query: str) -> list[str]:
+    """The distinct terms of a query, as index_terms gives them for texts, sorted."""
+    found: set[str] = set()
+    for run in _RUNS.finditer(query.lower()):
+        text = run[0]
+        found.update([text[k : k + 2] for k in range(len(text) - 1)] if run[1] and len(text) > 1 else [text])
+    return sorted(found)
+
+
 def estimate_tokens(text: Column) -> Column:
     """A quarter token a character and 1.25 a CJK character, cut to a whole number, 1 at least; 0 for empty."""
     t = F.coalesce(text, F.lit(""))
@@ -83,8 +102,6 @@ def whole_ms(took: Column) -> Column:
 
 def word_and(haystacks: list[Column], query: str) -> Column:
     """Each word of the query (parted at white space and hyphens) is inside one of the haystacks."""
-    import re
-
     words = [w.lower() for w in re.split(r"[\s\-]+", query.strip()) if w]
     out = F.lit(True)
     for w in words:

@@ -133,17 +133,24 @@ def catalog_facets(sources: dict[str, DataFrame], most: int = FACET_SIZE) -> Dat
     return counted.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
-def budget_page(chunks: DataFrame, group: str, order: str, text: str, budget: int) -> DataFrame:
-    """The first chunks of each group within a character budget; the last one is cut to fit.
+def budget_page(chunks: DataFrame, group: str, order: str, text: str, budget: int, start: int = 0) -> DataFrame:
+    """Chunks of each group within a character budget, from its chunk number `start` (from 0) on; the last one is cut to fit.
 
-    next_offset is the place in the group at which the next page starts, in characters, or null at its end.
+    Adds place (the chunk's number), truncated, and next_offset: the number of the first chunk that is not shown, from which the next
+    page starts; null where nothing is cut off. A null text has no characters.
     """
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.char_length(text)).over(w)
-    rows = chunks.withColumn("_end", end).withColumn("_start", F.col("_end") - F.char_length(text))
-    cut = F.when(F.col("_end") <= budget, F.col(text)).otherwise(F.substr(F.col(text), F.lit(1), F.lit(budget) - F.col("_start")))
-    whole = F.sum(F.char_length(text)).over(Window.partitionBy(group))
-    return rows.withColumn("next_offset", F.when(whole > budget, F.lit(budget))).where(F.col("_start") < budget).withColumn(text, cut).drop("_start", "_end")
+    w = Window.partitionBy(group).orderBy(order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = chunks.withColumn("place", (F.row_number().over(w) - 1).cast("int")).where(F.col("place") >= start)
+    size = F.char_length(F.coalesce(F.col(text), F.lit("")))
+    rows = rows.withColumn("_end", F.sum(size).over(so_far)).withColumn("_start", F.col("_end") - size)
+    last = F.max("place").over(Window.partitionBy(group))
+    shown = rows.withColumn("_last", last).where(F.col("_start") < budget).withColumn("truncated", F.col("_end") > budget)
+    whole = Window.partitionBy(group)
+    next_ = F.max("place").over(whole) + 1
+    more = F.bool_or("truncated").over(whole) | (next_ <= F.col("_last"))
+    cut = F.when(F.col("truncated"), F.substr(F.col(text), F.lit(1), F.lit(budget) - F.col("_start"))).otherwise(F.col(text))
+    return shown.withColumns({"next_offset": F.when(more, next_), text: cut}).drop("_start", "_end", "_last")
 
 
 def context_window(rows: DataFrame, hits: DataFrame, group: str, index: str, before: int, after: int) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.lineage import cut
+
 
 def _issues(**tests: Column) -> Column:
     """Names of the tests that hold, in order."""
@@ -177,10 +179,14 @@ class ScanLimit(RuntimeError):
 
 
 def bounded(rows: DataFrame, limit: int) -> DataFrame:
-    """The rows, if there are at most `limit`; else an error, as a report cut off in silence would mislead."""
-    if rows.limit(limit + 1).count() > limit:
+    """The rows, if there are at most `limit`; else an error, as a report cut off in silence would mislead.
+
+    They are worked out once and kept, so what was counted is what is returned.
+    """
+    kept = cut(rows.limit(limit + 1))
+    if kept.count() > limit:
         raise ScanLimit(f"more than {limit} rows; narrow the scope")
-    return rows
+    return kept
 
 
 def orphan_records(rows: DataFrame, key: str, now: Column, days: int, *references: DataFrame) -> DataFrame:
@@ -235,25 +241,3 @@ def priority_order(jobs: DataFrame) -> DataFrame:
     """Queue order: interactive before batch, then first come; a job waits once."""
     once = jobs.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("enqueued_at"))).where("_n = 1").drop("_n")
     return once.orderBy(F.when(F.col("kind") == "interactive", 0).otherwise(1), "enqueued_at", "id")
-
-
-def recover(jobs: DataFrame, now: Column, lease_minutes: int = 15, most: int = 3) -> DataFrame:
-    """The queue after a crash: running jobs whose lease is over wait again, or fail after so many attempts."""
-    lost = (F.upper("status") == "RUNNING") & (F.col("heartbeat_at") < now - F.make_interval(mins=F.lit(lease_minutes)))
-    spent = F.col("attempts") >= most
-    return jobs.withColumns(
-        {
-            "status": F.when(lost & spent, "FAILED").when(lost, "QUEUED").otherwise(F.col("status")),
-            "attempts": F.when(lost & ~spent, F.col("attempts") + 1).otherwise(F.col("attempts")),
-        }
-    )
-
-
-def admission(jobs: DataFrame, most: dict[str, int]) -> DataFrame:
-    """kind, waiting, room, admits: how many jobs of each kind wait or run, and how many more may come in."""
-    limit = F.create_map(*(F.lit(x) for pair in most.items() for x in pair))
-    busy = jobs.where(F.upper("status").isin("QUEUED", "RUNNING")).groupBy("kind").agg(F.count("*").alias("waiting"))
-    kinds = jobs.sparkSession.createDataFrame([(k,) for k in most], "kind string")  # the limits' kinds
-    rows = kinds.join(busy, "kind", "left").withColumn("waiting", F.coalesce("waiting", F.lit(0)))
-    room = F.greatest(F.lit(0), F.try_element_at(limit, F.col("kind")) - F.col("waiting"))
-    return rows.select("kind", "waiting", room.alias("room"), (room > 0).alias("admits"))

@@ -312,23 +312,3 @@ def conflict_page(claims: DataFrame, sources: DataFrame, limit: int = 50, offset
 def review_queue(sources: DataFrame) -> DataFrame:
     """Sources whose match is pending or ambiguous, newest first."""
     return sources.where(F.col("match_status").isin("pending", "ambiguous")).orderBy(F.desc("imported_at"), F.desc("id"))
-
-
-def citations(papers: DataFrame) -> DataFrame:
-    """Adds citation, bibtex and ris; papers: id, title, authors array, venue, year, volume, issue, pages, doi."""
-    esc = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "([&%$#_{}])", "\\\\$1")
-    people = F.coalesce(F.array_join("authors", ", "), F.lit(""))
-    dotted = lambda *c: F.concat_ws(". ", *c)
-    key = F.concat(F.coalesce(F.regexp_extract(F.get("authors", F.lit(0)), "(\\p{L}+)\\s*$", 1), F.lit("anon")), F.coalesce(F.col("year").cast("string"), F.lit("nd")))
-    line = lambda name, c: F.when(esc(c) != "", F.concat(F.lit(f"  {name} = {{"), esc(c), F.lit("},\n"))).otherwise("")
-    bib = F.concat(
-        F.lit("@article{"), key, F.lit(",\n"), line("title", "title"),
-        F.concat(F.lit("  author = {"), F.array_join(F.coalesce("authors", F.array()), " and "), F.lit("},\n")),
-        line("journal", "venue"), line("year", "year"), line("volume", "volume"), line("number", "issue"), line("pages", "pages"), line("doi", "doi"), F.lit("}"),
-    )
-    tag = lambda t, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{t}  - "), F.col(c).cast("string"), F.lit("\n"))).otherwise("")
-    ris = F.concat(
-        F.lit("TY  - JOUR\n"), tag("TI", "title"), F.array_join(F.transform(F.coalesce("authors", F.array()), lambda a: F.concat(F.lit("AU  - "), a, F.lit("\n"))), ""),
-        tag("JO", "venue"), tag("PY", "year"), tag("VL", "volume"), tag("IS", "issue"), tag("SP", "pages"), tag("DO", "doi"), F.lit("ER  - "),
-    )
-    return papers.withColumns({"citation": dotted(people, F.col("title"), F.col("venue"), F.col("year").cast("string")), "bibtex": bib, "ris": ris})

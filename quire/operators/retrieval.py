@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.identifiers import identifier_form, normalize_arxiv_id, normalize_doi
-from quire.functions.text import is_bibliography, is_noise, terms, truncate_text
+from quire.functions.text import CJK, cjk_terms, index_terms, is_bibliography, is_noise, query_terms, truncate_text
 from quire.functions.unicode import plain_text
 from quire.functions.vectors import l2_score, literal
 
@@ -93,7 +92,7 @@ def without_bibliography(chunks: DataFrame, include_references: bool = False) ->
 
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """term, doc_id, tf, length: one row for each distinct term of a document."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("words"))
+    words = docs.select(F.col(doc_id).alias("doc_id"), index_terms(F.col(text)).alias("words"))
     counted = words.select("doc_id", F.size("words").alias("length"), F.explode("words").alias("term"))
     return counted.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
 
@@ -103,18 +102,14 @@ def bm25(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "text"
     return bm25_best_field(docs, query, {text: 1.0}, doc_id, k1, b)
 
 
-def _query_terms(query: str) -> list[str]:
-    return re.findall(r"[^\W_]+", query.lower())
-
-
 def bm25_best_field(docs: DataFrame, query: str, fields: dict[str, float], doc_id: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
     """doc_id, score: the largest of the boosted scores of several fields, for documents with a term of the query.
 
-    Each text is read once: only the query's terms are counted in it, without arrays of its words. Documents
+    For texts without an index (operators.text_index). Each text is read once: only the query's terms are counted in it, without arrays of its words. Documents
     without any term are summed up within their task, so one exchange carries the matching documents and
     a row for each task; both the statistics and the scores are worked out from it (Spark reuses the exchange).
     """
-    words = sorted(set(_query_terms(query)))
+    words = query_terms(query)
     if not words:
         return docs.select(F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
     counted = docs.select(F.col(doc_id).alias("doc_id"), *(_spaced(F.col(f"`{f}`")).alias(f"t{i}") for i, f in enumerate(fields)))
@@ -149,8 +144,10 @@ def bm25_best_field(docs: DataFrame, query: str, fields: dict[str, float], doc_i
 
 
 def _spaced(text: Column) -> Column:
-    """Lower-cased words (runs of letters and digits), each with a space on either side."""
-    low = F.trim(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[^\\p{L}\\p{N}]+", "  "))
+    """Lower-cased terms, each with a space on either side."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    words = F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", "  "))
+    low = F.when(text.rlike(f"[{CJK}]"), F.array_join(cjk_terms(text), "  ")).otherwise(words)
     return F.when(low == "", F.lit("")).otherwise(F.concat(F.lit(" "), low, F.lit(" ")))
 
 
@@ -297,8 +294,8 @@ def evidence(hits: DataFrame, paper: str = "paper_id", most: int = EVIDENCE, cha
 
 def overlap_scorer(query: str) -> Column:
     """A stand-in for a cross-encoder: share of the query's terms in the first 2000 characters."""
-    words = sorted(set(_query_terms(query)))
-    found = F.size(F.array_intersect(terms(F.substring("text", 1, 2000)), F.array(*(F.lit(w) for w in words))))
+    words = query_terms(query)
+    found = F.size(F.array_intersect(index_terms(F.substring("text", 1, 2000)), F.array(*(F.lit(w) for w in words))))
     return found / F.lit(float(max(1, len(words))))
 
 

@@ -12,13 +12,19 @@ from quire.functions import identifiers as I
 from quire.functions import text as X
 from quire.functions import unicode as U
 from quire.operators import catalog as C
+from quire.operators import citations as T
+from quire.operators import claims as L
 from quire.operators import documents as D
 from quire.operators import evaluation as E
 from quire.operators import maintenance as M
 from quire.operators import metadata as B
 from quire.operators import records as K
 from quire.operators import retrieval as R
+from quire.operators.reranking import Overlap
+from quire.operators.text_index import TextIndex
+from quire.operators.vector_index import VectorIndex
 from quire.plans import search as Q
+from quire.sources.manifests import fingerprint, latest
 from quire.sources.readers import read_table
 from quire.streaming import outbox as S
 
@@ -81,17 +87,27 @@ def _vector(spark: SparkSession, d: str) -> list[float]:
     return list(read_table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"])
 
 
+def _home(spark: SparkSession, d: str, table: str, name: str) -> str:
+    """A folder of the warehouse for what is kept of a table in its present state."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/quire/{name}-{fingerprint(spark, f'{d}/{table}.parquet')}"
+
+
+def _index(spark: SparkSession, d: str) -> TextIndex:
+    """The index of the documents, built when it is first asked for."""
+    return TextIndex.open_or_build(spark, _home(spark, d, "documents", "texts"), _docs(spark, d), "doc_id", ["text"], ["source"])
+
+
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25(_docs(spark, d), TEXT_QUERY)
+    return _index(spark, d).scores(TEXT_QUERY)
 
 
 def _legs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return R.top(_lexical(spark, d), 50), R.knn(read_table(spark, d, "embeddings"), _vector(spark, d), 50)
+    return _index(spark, d).top(TEXT_QUERY, 50), R.knn(read_table(spark, d, "embeddings"), _vector(spark, d), 50)
 
 
 @register("bm25_topk", f"WITH {BM25_CTE} SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm QUALIFY rank <= 10")
 def bm25_topk(spark, d):
-    return _round(R.top(_lexical(spark, d), 10), "score")
+    return _round(_index(spark, d).top(TEXT_QUERY, 10), "score")
 
 
 @register(
@@ -127,6 +143,39 @@ def knn_filtered(spark, d):
     return _round(R.knn(read_table(spark, d, "embeddings").where("label = 1"), _vector(spark, d), 10), "score")
 
 
+@register(
+    "knn_batch",
+    """WITH d AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS id,
+    list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) AS d2
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 12), id) AS INTEGER) AS rank, id, round(1 / (1 + d2), 6) AS score FROM d QUALIFY rank <= 10""",
+)
+def knn_batch(spark, d):
+    vectors = read_table(spark, d, "embeddings")
+    index = VectorIndex.open_or_build(spark, _home(spark, d, "embeddings", "vectors"), vectors, "vec_id", "embedding", attributes=["label"])
+    return _round(index.search(vectors.where("vec_id % 20 = 0"), 10, "vec_id", "embedding"), "score")
+
+
+#: Letters that stand for four CJK signs in the texts of cjk_search.
+CJK_FROM, CJK_TO = "eotn", "图像识别"
+
+
+@register(
+    "cjk_search",
+    """WITH w AS (
+  SELECT doc_id, flatten(list_transform(regexp_extract_all(lower(translate(text, 'eotn', '图像识别')), '[图像识别]+|(?:[^\\P{L}图像识别]|\\p{N})+'),
+    lambda r: CASE WHEN regexp_full_match(r, '[图像识别]{2,}') THEN list_transform(range(1, length(r)), lambda i: r[i:i + 1]) ELSE [r] END)) AS w FROM documents),
+tf AS (SELECT doc_id, len(w) AS length, term, len(list_filter(w, lambda x: x = term)) AS tf FROM w, (SELECT unnest(['像别', '识图', 'h']) AS term)),
+st AS (SELECT term, count(*) FILTER (tf > 0) AS df, count(*) AS n, avg(length) AS avgdl FROM tf GROUP BY term)
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / avgdl))), 6) AS score FROM tf JOIN st USING (term) WHERE tf > 0 GROUP BY doc_id""",
+)
+def cjk_search(spark, d):
+    docs = _docs(spark, d).select("doc_id", F.translate("text", CJK_FROM, CJK_TO).alias("text"))
+    index = TextIndex.open_or_build(spark, _home(spark, d, "documents", "cjk"), docs, "doc_id", ["text"])
+    return _round(index.scores("像别 H, 识图"), "score")
+
+
 RRF_SQL = """, fused AS (
   SELECT doc_id, sum(w / (60 + position + 1)) AS score, min(position) AS best_position
   FROM (SELECT doc_id, position, 1.0 AS w FROM lex UNION ALL SELECT doc_id, position, 0.5 FROM vec) GROUP BY doc_id
@@ -157,7 +206,7 @@ def minmax_fusion(spark, d):
 SELECT doc_id, source, CAST(place AS INTEGER) AS place, place = 0 AS is_primary, round(max(score) OVER (PARTITION BY source), 6) AS score FROM r QUALIFY place <= 3""",
 )
 def collapse_topn(spark, d):
-    hits = _lexical(spark, d).join(_docs(spark, d).select("doc_id", "source"), "doc_id")
+    hits = _lexical(spark, d).join(_index(spark, d).documents().select("doc_id", "source"), "doc_id")
     return _round(R.collapse(hits, "source"), "score").select("doc_id", "source", F.col("place").cast("int").alias("place"), "is_primary", "score")
 
 
@@ -166,7 +215,7 @@ p AS (SELECT source, max(score) AS score, min(position) AS first_position, count
 
 
 def _hits(spark, d, n=200):
-    best = R.top(_lexical(spark, d), n).withColumn("position", (F.col("rank") - 1))
+    best = _index(spark, d).top(TEXT_QUERY, n).withColumn("position", (F.col("rank") - 1))
     docs = _docs(spark, d).select("doc_id", F.col("source").alias("paper_id"), "text")
     hits = F.broadcast(best).join(docs, "doc_id")
     none = F.lit(None).cast("string")
@@ -268,9 +317,14 @@ def _chunks(spark, d):
     return rows.withColumns({"section_title": F.lit(None).cast("string"), "page_start": F.lit(1), "venue": F.col("title"), "year": (F.col("n_chars") % 5 + 2015).cast("double"), "source_tags": F.array(F.col("title"), F.lit("all"))})
 
 
+def _chunk_index(spark, d):
+    chunks = _chunks(spark, d).drop("embedding")
+    return TextIndex.open_or_build(spark, _home(spark, d, "documents", "chunks"), chunks, "chunk_id", ["title", "text"], ["paper_id", "section", "venue", "year", "source_tags"])
+
+
 def _page(spark, d, **how):
     request = Q.SearchRequest(SEARCH_TEXT, top_k=5, **how)
-    out = Q.search(_chunks(spark, d), request, _vector(spark, d))
+    out = Q.search(_chunks(spark, d), request, _vector(spark, d), index=_chunk_index(spark, d), reranker=Overlap)
     return _round(out.select("rank", "paper_id", "score", "relevance", "matched_chunks"), "score", digits=4)
 
 
@@ -306,7 +360,15 @@ def search_hybrid_flat(spark, d):
 
 @register("search_total", f"WITH {SEARCH_CTE}, near AS (SELECT doc_id, source FROM sem ORDER BY score DESC, doc_id LIMIT 1000) SELECT count(*) AS total FROM (SELECT source FROM kw UNION SELECT source FROM near)")
 def search_total(spark, d):
-    return Q.total(_chunks(spark, d), Q.SearchRequest(SEARCH_TEXT), _vector(spark, d))
+    return Q.total(_chunks(spark, d), Q.SearchRequest(SEARCH_TEXT), _vector(spark, d), _chunk_index(spark, d))
+
+
+@register("merged_distinct", "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
+def merged_distinct(spark, d):
+    from quire.operators.sketches import distinct_sketches, merged_counts
+
+    by_day = distinct_sketches(read_table(spark, d, "events").withColumn("day", F.to_date("ts")), ["event_type", "day"], "user_id")
+    return merged_counts(by_day, ["event_type"]).select("event_type", "n")
 
 
 @register(
@@ -459,11 +521,14 @@ def context_window(spark, d):
 
 @register(
     "budget_page",
-    """WITH r AS (SELECT conv_id, turn, text, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations)
-SELECT conv_id, turn, CASE WHEN e <= 1000 THEN text ELSE left(text, CAST(1000 - (e - length(text)) AS BIGINT)) END AS text FROM r WHERE e - length(text) < 1000""",
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations),
+r AS (SELECT conv_id, turn, place, text, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS e, max(place) OVER (PARTITION BY conv_id) AS last FROM n WHERE place >= 1),
+s AS (SELECT *, e > 1000 AS truncated FROM r WHERE e - length(text) < 1000)
+SELECT conv_id, turn, CAST(place AS INTEGER) AS place, CASE WHEN truncated THEN left(text, CAST(1000 - (e - length(text)) AS BIGINT)) ELSE text END AS text, truncated,
+  CAST(CASE WHEN bool_or(truncated) OVER (PARTITION BY conv_id) OR max(place) OVER (PARTITION BY conv_id) < last THEN max(place) OVER (PARTITION BY conv_id) + 1 END AS INTEGER) AS next_offset FROM s""",
 )
 def budget_page(spark, d):
-    return C.budget_page(read_table(spark, d, "conversations"), "conv_id", "turn", "text", 1000).select("conv_id", "turn", "text")
+    return C.budget_page(read_table(spark, d, "conversations"), "conv_id", "turn", "text", 1000, 1).select("conv_id", "turn", "place", "text", "truncated", "next_offset")
 
 
 @register(
@@ -707,6 +772,58 @@ def merge_decision(spark, d):
     return B.merge_decision(rows).select("event_id", "outcome")
 
 
+CLAIM_SOURCES = ("manual", "ieee_api", "crossref", "pdf_embedded", "pdf_heuristic", "filename", "elsewhere")
+CLAIM_VALUES = {
+    "title": ("", "<b>Alpha</b>", "alpha", "Beta", "Gamma", "beta"),
+    "venue": ("", "Alpha", "alpha", "Beta", "Gamma", "beta"),
+    "abstract": ("", "We show alpha...", "We show alpha. It is more.", "https://a.b/c", "We give beta.", "We show  alpha. It is more."),
+}
+
+
+@register(
+    "claims_replayed",
+    """WITH RECURSIVE c0 AS (
+  SELECT event_id AS id, user_id % 50 AS paper_id, ['title', 'venue', 'abstract'][event_id % 3 + 1] AS field, row_number() OVER (PARTITION BY user_id % 50, event_id % 3 ORDER BY ts, event_id) AS n,
+    ['manual', 'ieee_api', 'crossref', 'pdf_embedded', 'pdf_heuristic', 'filename', 'elsewhere'][(event_id // 3) % 7 + 1] AS src,
+    CASE event_id % 3 WHEN 0 THEN ['', '<b>Alpha</b>', 'alpha', 'Beta', 'Gamma', 'beta'][(event_id // 7) % 6 + 1] WHEN 1 THEN ['', 'Alpha', 'alpha', 'Beta', 'Gamma', 'beta'][(event_id // 7) % 6 + 1]
+      ELSE ['', 'We show alpha...', 'We show alpha. It is more.', 'https://a.b/c', 'We give beta.', 'We show  alpha. It is more.'][(event_id // 7) % 6 + 1] END AS v, event_id % 29 = 0 AS decided, event_id % 11 = 0 AS dismissed FROM events),
+c AS (SELECT *, CASE field WHEN 'abstract' THEN replace(v, '  ', ' ') ELSE lower(replace(replace(v, '<b>', ''), '</b>', '')) END AS canon,
+  CASE src WHEN 'manual' THEN 3 WHEN 'ieee_api' THEN 2 WHEN 'crossref' THEN 2 WHEN 'pdf_embedded' THEN 1 WHEN 'pdf_heuristic' THEN (field = 'title')::INT WHEN 'filename' THEN 0 END AS rank,
+  src IN ('pdf_embedded', 'pdf_heuristic', 'filename') AS loc, src IN ('pdf_embedded', 'pdf_heuristic') AS pdf, field = 'title' AND v LIKE '<b>%' AS markup, starts_with(v, 'https') AND field = 'abstract' AS bad FROM c0),
+r AS (
+  SELECT paper_id, field, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::BIGINT AS cur, NULL::VARCHAR AS v, NULL::VARCHAR AS canon, NULL::INT AS rank, false AS loc, false AS pdf, false AS human, false AS markup, false AS bad, []::VARCHAR[] AS settled, NULL::VARCHAR AS outcome
+  FROM (SELECT DISTINCT paper_id, field FROM c)
+  UNION ALL
+  SELECT paper_id, field, n, id, CASE WHEN taken THEN id ELSE cur END, CASE WHEN taken THEN nv ELSE v END, CASE WHEN taken THEN ncanon ELSE canon END, CASE WHEN taken THEN nrank ELSE rank END, CASE WHEN taken THEN nloc ELSE loc END,
+    CASE WHEN taken THEN npdf ELSE pdf END, CASE WHEN taken THEN said OR (same AND human) ELSE human OR (same AND said AND nv <> '') END, CASE WHEN taken THEN nmarkup ELSE markup END, CASE WHEN taken THEN nbad ELSE bad END,
+    CASE WHEN taken AND human AND NOT same THEN list_append(settled, canon) WHEN NOT taken AND NOT same AND (decided OR dismissed) THEN list_append(settled, ncanon) ELSE settled END, outcome
+  FROM (SELECT *, outcome IN ('filled', 'overridden') AS taken, canon IS NOT DISTINCT FROM ncanon AS same, manual OR decided AS said FROM (
+    SELECT *, CASE WHEN nv = '' THEN 'unchanged'
+      WHEN NOT blank AND canon IS NOT DISTINCT FROM ncanon THEN CASE WHEN field = 'title' AND nrank >= 2 AND nrank >= rank AND free AND markup AND NOT nmarkup THEN 'overridden' ELSE 'unchanged' END
+      WHEN NOT free THEN 'archived'
+      WHEN field = 'abstract' AND npdf AND nbad THEN 'archived'
+      WHEN field = 'abstract' AND npdf AND (blank OR pdf) THEN CASE WHEN blank THEN 'filled' WHEN bad THEN 'overridden' ELSE 'archived' END
+      WHEN blank THEN 'filled' WHEN manual THEN 'overridden' WHEN loc AND nloc AND nrank <= rank THEN 'archived' WHEN nrank > rank THEN 'overridden' WHEN nrank < rank THEN 'archived'
+      WHEN rank IS NOT NULL AND nrank IS NOT NULL AND (field = 'title' OR nrank = 0) THEN 'conflict'
+      WHEN field = 'abstract' AND v = 'We show alpha...' AND starts_with(nv, 'We show alpha') AND length(nv) > length(v) THEN 'overridden' ELSE 'conflict' END AS outcome
+    FROM (SELECT r.*  EXCLUDE (n, id, outcome), c.n, c.id, c.v AS nv, c.canon AS ncanon, c.rank AS nrank, c.loc AS nloc, c.pdf AS npdf, c.markup AS nmarkup, c.bad AS nbad, c.src = 'manual' AS manual, c.decided, c.dismissed,
+        coalesce(r.canon, '') = '' AS blank, c.src = 'manual' OR (NOT r.human AND NOT list_contains(r.settled, c.canon)) AS free
+      FROM r JOIN c ON c.paper_id = r.paper_id AND c.field = r.field AND c.n = r.n + 1)))),
+f AS (SELECT paper_id, field, arg_max(cur, n) AS cur FROM r GROUP BY ALL)
+SELECT id, r.paper_id, r.field, outcome, id IS NOT DISTINCT FROM f.cur AS is_current FROM r JOIN f ON f.paper_id = r.paper_id AND f.field = r.field WHERE n > 0""",
+)
+def claims_replayed(spark, d):
+    e, n = F.col("event_id"), F.col("event_id") % 3
+    pick = lambda values, at: F.element_at(F.array(*(F.lit(v) for v in values)), (at % len(values) + 1).cast("int"))
+    seventh = F.expr("event_id div 7")
+    value = F.when(n == 0, pick(CLAIM_VALUES["title"], seventh)).when(n == 1, pick(CLAIM_VALUES["venue"], seventh)).otherwise(pick(CLAIM_VALUES["abstract"], seventh))
+    claims = read_table(spark, d, "events").select(
+        e.alias("id"), (F.col("user_id") % 50).alias("paper_id"), pick(("title", "venue", "abstract"), e).alias("field"), F.struct("ts", "event_id").alias("seq"),
+        pick(CLAIM_SOURCES, F.expr("event_id div 3")).alias("source_type"), value.alias("value"), (e % 29 == 0).alias("decided"), (e % 11 == 0).alias("dismissed"),
+    )
+    return L.replay_claims(claims)
+
+
 @register(
     "conflict_page",
     """WITH c AS (SELECT *, event_id % 2 AS src, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) = 1 AS cur FROM events),
@@ -856,6 +973,27 @@ def partial_update(spark, d):
     return delete_keys(update_columns(c, urgent, "c_custkey", ["c_mktsegment"]), c.where("c_nationkey = 3"), "c_custkey").select("c_custkey", "c_name", "c_mktsegment")
 
 
+@register(
+    "keyed_changes",
+    """SELECT c_custkey, c_name, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') THEN 'URGENT' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_nationkey <> 3
+UNION ALL SELECT 1000000 + s_suppkey, s_name, 'SUPPLIER' FROM supplier""",
+)
+def keyed_changes(spark, d):
+    from quire.sources.tables import KeyedTable
+
+    c = read_table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    root = _home(spark, d, "customer", "keyed")
+    if latest(spark, root) is None:
+        KeyedTable.create(c.drop("c_nationkey"), root, "c_custkey", 16)
+    urgent = read_table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("c_mktsegment", F.lit("URGENT"))
+    new = read_table(spark, d, "supplier").select((1_000_000 + F.col("s_suppkey")).alias("c_custkey"), F.col("s_name").alias("c_name"), F.lit("SUPPLIER").alias("c_mktsegment"))
+    table = KeyedTable.open(spark, root)
+    changes = (lambda t: t.update(urgent, ["c_mktsegment"]), lambda t: t.delete(c.where("c_nationkey = 3")), lambda t: t.upsert(new))
+    for change in changes[table.version - 1 :]:  # versions 2 to 4; a later call finds them made
+        table = change(table)
+    return KeyedTable.open(spark, root, 4).read()
+
+
 @register(
     "index_rows",
     """SELECT l_orderkey AS paper_id, l_linenumber AS chunk_index, l_partkey, o_orderstatus AS title,
@@ -934,14 +1072,21 @@ def reextraction_diff(spark, d):
 
 @register(
     "reconcile_shells",
-    """SELECT c_custkey AS shell_id, CASE WHEN c_custkey % 3 = 0 THEN 'merge' WHEN c_custkey % 3 = 1 THEN 'review' WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'keep' ELSE 'delete' END AS action,
- CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 1 END AS target FROM customer""",
+    """WITH s AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 4 <> 3),
+m AS (SELECT k, k + 1 AS t FROM s WHERE k % 3 < 2 UNION ALL SELECT k, k + 5 FROM s WHERE k % 3 = 1),
+g AS (SELECT k, count(DISTINCT t) AS n, min(t) AS t FROM m WHERE t NOT IN (SELECT k FROM s) GROUP BY k)
+SELECT s.k AS shell_id, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = s.k AND o_orderpriority = '1-URGENT') THEN 'skip' WHEN n = 1 THEN 'merge' ELSE 'delete' END AS action,
+ CASE WHEN action = 'merge' THEN g.t END AS target,
+ CASE action WHEN 'skip' THEN 'has dependents' WHEN 'merge' THEN 'one match' ELSE CASE WHEN n > 1 THEN 'several matches' ELSE 'no match' END END AS reason
+FROM s LEFT JOIN g USING (k)""",
 )
 def reconcile_shells(spark, d):
-    c = read_table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    n = F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, 2).otherwise(0)
-    matches = c.withColumn("k", F.explode(F.filter(F.array(F.lit(1), F.lit(2)), lambda x: x <= n))).select(F.col("id").alias("record_id"), F.lit("matched").alias("status"), (F.col("id") + F.col("k")).alias("paper_id"))
-    return K.reconcile_shells(c, matches, read_table(spark, d, "orders").select(F.col("o_custkey").alias("paper_id")))
+    c = read_table(spark, d, "customer").where("c_custkey % 4 <> 3").select(F.col("c_custkey").alias("id"))
+    n = F.col("id") % 3
+    steps = F.when(n == 0, F.array(F.lit(1))).when(n == 1, F.array(F.lit(1), F.lit(5))).otherwise(F.array().cast("array<int>"))
+    matches = c.withColumn("k", F.explode(steps)).select(F.col("id").alias("record_id"), F.lit("matched").alias("status"), (F.col("id") + F.col("k")).alias("paper_id"))
+    files = read_table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("paper_id"))
+    return K.reconcile_shells(c, matches, files)
 
 
 @register(
@@ -984,12 +1129,12 @@ def file_names(spark, d):
     return read_table(spark, d, "customer").select("c_custkey", I.filename_doi(name).alias("doi"), I.filename_arxiv(name).alias("arxiv"))
 
 
-@register("page_ranges", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN '5-' || l_suppkey WHEN 1 THEN CAST(l_suppkey AS VARCHAR) WHEN 2 THEN CAST(l_suppkey AS VARCHAR) END AS pages FROM lineitem WHERE l_suppkey <> 5")
+@register("page_ranges", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN CASE l_suppkey WHEN 5 THEN '5' ELSE '5-' || l_suppkey END WHEN 1 THEN CAST(l_suppkey AS VARCHAR) WHEN 2 THEN CAST(l_suppkey AS VARCHAR) END AS pages FROM lineitem")
 def page_ranges(spark, d):
     n, key = F.col("l_linenumber") % 4, F.col("l_suppkey").cast("string")
     start = F.when(n == 0, "5").when(n == 1, key).when(n == 2, " ").otherwise("")
     end = F.when(n == 0, F.concat(F.lit(" "), key)).when(n == 1, key).when(n == 2, key)
-    return read_table(spark, d, "lineitem").where("l_suppkey <> 5").select("l_orderkey", "l_linenumber", I.page_range(start, end).alias("pages"))
+    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", I.page_range(start, end).alias("pages"))
 
 
 @register("corroborated", "SELECT p_partkey, p_partkey % 3 <> 2 AS found FROM part")
@@ -1148,18 +1293,6 @@ def outbox_round(spark, d):
     return M.settle(new, known, True).select("paper_id", "revision")
 
 
-@register("crash_recovery", "SELECT event_id AS id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-15' - INTERVAL 15 MINUTE THEN CASE WHEN event_id % 5 >= 3 THEN 'FAILED' ELSE 'QUEUED' END WHEN event_type = 'view' THEN 'RUNNING' ELSE 'DONE' END AS status FROM events")
-def crash_recovery(spark, d):
-    jobs = read_table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "view", "RUNNING").otherwise("DONE").alias("status"), F.col("ts").alias("heartbeat_at"), (F.col("event_id") % 5).alias("attempts"))
-    return M.recover(jobs, F.lit("2024-01-15").cast("timestamp_ntz")).select("id", "status")
-
-
-@register("queue_admission", "SELECT k AS kind, n AS waiting, greatest(0, m - n) AS room, m > n AS admits FROM (SELECT k, m, (SELECT count(*) FROM events WHERE event_type = k) AS n FROM (VALUES ('view', 1000000), ('click', 10)) AS t(k, m))")
-def queue_admission(spark, d):
-    jobs = read_table(spark, d, "events").select(F.col("event_type").alias("kind"), F.lit("QUEUED").alias("status"))
-    return M.admission(jobs, {"view": 1_000_000, "click": 10})
-
-
 @register("staged_objects", "SELECT 'k' || o_orderkey AS key FROM orders WHERE o_orderkey % 4 IN (0, 3) OR (o_orderkey % 4 = 2 AND o_orderdate < TIMESTAMP '1996-01-01' - INTERVAL 72 HOUR)")
 def staged_objects(spark, d):
     o, n = read_table(spark, d, "orders"), F.col("o_orderkey") % 4
@@ -1187,14 +1320,41 @@ def markdown_text(spark, d):
 
 @register(
     "merged_shells",
-    """WITH s AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0)
-SELECT DISTINCT CASE WHEN o_custkey IN (FROM s) THEN o_custkey + 1 ELSE o_custkey END AS paper_id, o_orderpriority AS tag FROM orders""",
+    """WITH RECURSIVE p AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 10 BETWEEN 1 AND 6 THEN c_custkey + 1 WHEN c_custkey % 10 = 8 THEN c_custkey + 1 WHEN c_custkey % 10 = 9 THEN c_custkey - 1 END AS t FROM customer),
+w AS (SELECT k, k AS at, 0 AS n FROM p UNION ALL SELECT w.k, p.t, n + 1 FROM w JOIN p ON p.k = w.at WHERE p.t IS NOT NULL AND n < 10),
+e AS (SELECT k, CASE WHEN max(n) = 10 THEN k ELSE arg_max(at, n) END AS last FROM w GROUP BY k),
+z AS (SELECT k, CASE WHEN last IN (SELECT c_custkey FROM customer) THEN last ELSE k END AS last FROM e)
+SELECT DISTINCT coalesce(last, o_custkey) AS paper_id, o_orderpriority AS tag FROM orders LEFT JOIN z ON k = o_custkey""",
 )
 def merged_shells(spark, d):
-    c = read_table(spark, d, "customer").where("c_custkey % 3 = 0")
-    decisions = c.select(F.col("c_custkey").alias("shell_id"), F.lit("merge").alias("action"), (F.col("c_custkey") + 1).alias("target"))
+    k, n = F.col("c_custkey"), F.col("c_custkey") % 10
+    target = F.when(n.between(1, 6) | (n == 8), k + 1).when(n == 9, k - 1)  # chains of up to six, and cycles of two
+    customers = read_table(spark, d, "customer")
+    decisions = customers.select(k.alias("shell_id"), F.lit("merge").alias("action"), target.alias("target")).where("target is not null")
     tags = read_table(spark, d, "orders").select(F.col("o_custkey").alias("paper_id"), F.col("o_orderpriority").alias("tag"))
-    return K.merge_shells(decisions, tags, read_table(spark, d, "customer").withColumnRenamed("c_custkey", "id"), ["tag"])[0].select("paper_id", "tag")
+    return K.merge_shells(decisions, tags, customers.withColumnRenamed("c_custkey", "id"), ["tag"])[0].select("paper_id", "tag")
+
+
+@register(
+    "citations",
+    """WITH p AS (SELECT o_orderkey AS id, c_name AS name, o_orderpriority AS title, c_mktsegment AS venue, year(o_orderdate) AS y, CAST(o_orderdate AS DATE) AS day, o_orderkey % 3 AS k, o_custkey AS n FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT id, name || ', X and Y. ' || title || ' & 5_%. ' || venue || '. ' || y || '. ' || n || CASE WHEN k = 0 THEN '' ELSE '(7)' END || '. pp. ' || CASE WHEN k = 2 THEN 'e' || n ELSE n || ' – ' || (n + 9) END || '. doi:10.1/a_' || id || '.' AS citation,
+  '@' || ['article', 'inproceedings', 'misc'][k + 1] || '{paper' || id || ',' || chr(10) || '  title = {{' || title || ' \\& 5\\_\\%}},' || chr(10) || '  author = {' || replace(name, '#', '\\#') || ' and {X and Y}},' || chr(10)
+    || '  ' || ['journal', 'booktitle', 'howpublished'][k + 1] || ' = {' || venue || '},' || chr(10) || '  year = {' || y || '},' || chr(10) || '  volume = {' || n || '},' || chr(10) || CASE WHEN k = 0 THEN '' ELSE '  number = {7},' || chr(10) END
+    || '  pages = {' || CASE WHEN k = 2 THEN 'e' || n ELSE n || '--' || (n + 9) END || '},' || chr(10) || '  doi = {10.1/a_' || id || '}' || chr(10) || '}' || chr(10) AS bibtex,
+  'TY  - ' || ['JOUR', 'CONF', 'GEN'][k + 1] || chr(13) || chr(10) || 'ID  - ' || id || chr(13) || chr(10) || 'AU  - ' || name || chr(13) || chr(10) || 'AU  - X and Y' || chr(13) || chr(10) || 'TI  - ' || title || ' & 5_%' || chr(13) || chr(10)
+    || CASE WHEN k = 0 THEN 'JO' ELSE 'T2' END || '  - ' || venue || chr(13) || chr(10) || 'PY  - ' || y || chr(13) || chr(10) || 'DO  - 10.1/a_' || id || chr(13) || chr(10) || 'VL  - ' || n || chr(13) || chr(10) || CASE WHEN k = 0 THEN '' ELSE 'IS  - 7' || chr(13) || chr(10) END
+    || 'DA  - ' || day || chr(13) || chr(10) || CASE WHEN k = 2 THEN 'SP  - e' || n ELSE 'SP  - ' || n || chr(13) || chr(10) || 'EP  - ' || (n + 9) END || chr(13) || chr(10) || 'ER  - ' || chr(13) || chr(10) AS ris FROM p""",
+)
+def citations(spark, d):
+    rows = read_table(spark, d, "orders").join(read_table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    k, n = F.col("o_orderkey") % 3, F.col("o_custkey")
+    pages = F.when(k == 2, F.concat(F.lit("e"), n)).otherwise(F.concat(n, F.lit(" – "), n + 9))
+    papers = rows.select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("<b>"), F.col("o_orderpriority"), F.lit("</b>\n &amp; 5_%")).alias("title"), F.array(F.col("c_name"), F.lit(" "), F.lit("X  and Y")).alias("authors"), F.col("c_mktsegment").alias("venue"), F.year("o_orderdate").alias("year"),
+        n.alias("volume"), F.when(k != 0, 7).alias("issue"), pages.alias("pages"), F.concat(F.lit("10.1/a_"), F.col("o_orderkey")).alias("doi"), F.when(k == 0, "Journal").when(k == 1, "conference").alias("paper_type"), F.to_date("o_orderdate").alias("publication_date"),
+    )
+    return T.citations(papers).select("id", "citation", "bibtex", "ris")
 
 
 @register("abstracts_of_pages", "SELECT p_partkey AS doc_id, 'We show ' || p_name || ' at 65 nm CMOS with ' || p_size || ' parts.' AS abstract FROM part WHERE p_partkey % 3 <> 2")

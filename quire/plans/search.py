@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators import retrieval as R
+from quire.operators.reranking import Reranker, with_scores
+from quire.operators.text_index import TextIndex
 
 MODES = ("keyword", "semantic", "hybrid")
 
@@ -72,11 +75,17 @@ def filtered(chunks: DataFrame, request: SearchRequest) -> DataFrame:
     return base.where(R.build_filter({k: v for k, v in request.filters.items() if k != "include_references"}))
 
 
-def _legs(base: DataFrame, request: SearchRequest, vector: list[float] | None, keyword_size: int | None, semantic_size: int) -> list[tuple[str, DataFrame]]:
+def _legs(
+    base: DataFrame, request: SearchRequest, vector: list[float] | None, keyword_size: int | None, semantic_size: int, index: TextIndex | None
+) -> list[tuple[str, DataFrame]]:
     """(name, doc_id with score and, if cut to a size, rank) of the legs of the request's mode."""
     out = []
     if request.mode != "semantic":
-        scored = R.bm25_best_field(base, request.query, {"title": 2.0, "text": 1.0}, "chunk_id")
+        boosts = {"title": 2.0, "text": 1.0}
+        if index is None:
+            scored = R.bm25_best_field(base, request.query, boosts, "chunk_id")
+        else:
+            scored = index.scores(request.query, boosts, filtered(index.documents(), request))
         out.append(("keyword", scored if keyword_size is None else R.top(scored, keyword_size)))
     if request.mode != "keyword":
         if vector is None:
@@ -85,15 +94,17 @@ def _legs(base: DataFrame, request: SearchRequest, vector: list[float] | None, k
     return out
 
 
-def search_chunks(chunks: DataFrame, request: SearchRequest, vector: list[float] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+def search_chunks(chunks: DataFrame, request: SearchRequest, vector: list[float] | None = None, weights: dict[str, float] | None = None, index: TextIndex | None = None) -> DataFrame:
     """Chunks with score, position (from 0) and is_primary, filters applied before any scoring.
 
     chunks: chunk_id, paper_id, title, text, section, embedding and the filter fields. The native plan
     fuses legs of five chunks a paper wanted, keeps the best papers by their best chunk and lets up to three
     (four for reranking) more chunks of each follow with that chunk's score. Otherwise chunks are kept as they come.
+    With an index of the chunks (by chunk_id; fields title and text; the filter fields as attributes) the lexical leg
+    reads no text.
     """
     base = filtered(chunks, request)
-    legs = [(name, leg) for name, leg in _legs(base, request, vector, request.leg_size(), request.leg_size())]
+    legs = [(name, leg) for name, leg in _legs(base, request, vector, request.leg_size(), request.leg_size(), index)]
     if len(legs) == 1:
         fused = legs[0][1].select("doc_id", "score", (F.col("rank") - 1).alias("best_position"))
     else:
@@ -116,10 +127,18 @@ def search_chunks(chunks: DataFrame, request: SearchRequest, vector: list[float]
     return rows.drop("_at", "_lead", "_paper", "best_position")
 
 
-def search(chunks: DataFrame, request: SearchRequest, vector: list[float] | None = None, scorer: Column | None = None) -> DataFrame:
-    """Papers of a request: rank, paper_id, score, relevance, matched_chunks, evidence."""
-    hits = search_chunks(chunks, request, vector)
+def search(
+    chunks: DataFrame, request: SearchRequest, vector: list[float] | None = None, scorer: Column | None = None, index: TextIndex | None = None, reranker: Callable[[], Reranker] | None = None
+) -> DataFrame:
+    """Papers of a request: rank, paper_id, score, relevance, matched_chunks, evidence.
+
+    A request that asks for it is reranked by a column, by a service (a function that makes one, see operators.reranking), or by the
+    share of query terms.
+    """
+    hits = search_chunks(chunks, request, vector, index=index)
     if request.rerank:
+        if reranker is not None:
+            hits, scorer = with_scores(hits, request.query, reranker), F.col("service_score")
         hits = R.rerank(hits, scorer if scorer is not None else R.overlap_scorer(request.query), request.papers(), request.collapses)
         hits = hits.drop("position").withColumnRenamed("new_position", "position")
     else:
@@ -137,11 +156,11 @@ FACETS = ("venue", "paper_type", "ieee_terms", "author_terms", "dynamic_index_te
 COUNT_K = 1000
 
 
-def total(chunks: DataFrame, request: SearchRequest, vector: list[float] | None = None) -> DataFrame:
+def total(chunks: DataFrame, request: SearchRequest, vector: list[float] | None = None, index: TextIndex | None = None) -> DataFrame:
     """One row, total: distinct papers that the request's legs find; the vector leg is bounded by COUNT_K chunks."""
     base = filtered(chunks, request)
     ids = None
-    for _, leg in _legs(base, request, vector, None, COUNT_K):
+    for _, leg in _legs(base, request, vector, None, COUNT_K, index):
         ids = leg.select("doc_id") if ids is None else ids.union(leg.select("doc_id"))
     found = base.select("chunk_id", "paper_id").join(ids.withColumnRenamed("doc_id", "chunk_id"), "chunk_id", "left_semi")
     return R.total_papers(found)
@@ -167,8 +186,10 @@ class SearchOutcome:
     facets: DataFrame
 
 
-def search_outcome(chunks: DataFrame, request: SearchRequest, vector: list[float] | None = None, scorer: Column | None = None) -> SearchOutcome:
-    return SearchOutcome(search(chunks, request, vector, scorer), total(chunks, request, vector), facets(chunks, request))
+def search_outcome(
+    chunks: DataFrame, request: SearchRequest, vector: list[float] | None = None, scorer: Column | None = None, index: TextIndex | None = None
+) -> SearchOutcome:
+    return SearchOutcome(search(chunks, request, vector, scorer, index), total(chunks, request, vector, index), facets(chunks, request))
 
 
 class Rewriter(Protocol):

@@ -33,8 +33,10 @@ RECORD = (
     "title string, abstract string, doi string, article_number string, publication_title string, publication_year string, "
     "publication_date string, content_type string, volume string, issue string, start_page string, end_page string, html_url string, "
     "pdf_url string, abstract_url string, publication_number string, is_number string, type string, `container-title` string, page string, "
-    "authors string, author string, venue string, year string, url string, issn string, issued string, index_terms string"
+    "authors string, author string, venue string, year string, url string, issn string, issued string, index_terms string, citing_paper_count string"
 )
+#: The lists of index terms that an article has, each an object with `terms`.
+TERM_LISTS = ("ieee_terms", "author_terms", "dynamic_index_terms")
 #: Fields that mark a record of the publisher's article format; two of them decide.
 ARTICLE_MARKS = ("article_number", "publication_title", "publication_number", "is_number", "html_url", "pdf_url", "abstract_url", "content_type")
 
@@ -50,8 +52,8 @@ def detect_format(record: Column, csl_doi: Column) -> Column:
 def read_bibliography(spark: SparkSession, path: str) -> DataFrame:
     """Canonical records of a JSONL file in any of the three formats; bad lines give a row with `error`.
 
-    format, title, abstract, doi, authors array, venue, year, date, volume, issue, pages,
-    article_number, url, error.
+    format, title, abstract, doi, authors array (in the order that they are numbered in), venue, year, date, volume, issue, pages,
+    article_number, issue_number, issn, citing_count, ieee_terms, author_terms, dynamic_index_terms (arrays), url, error.
     """
     from quire.functions.identifiers import month_date, normalize_doi, page_range, year_in_text
 
@@ -61,7 +63,12 @@ def read_bibliography(spark: SparkSession, path: str) -> DataFrame:
     csl_doi = F.get_json_object("value", "$.DOI")
     kind = detect_format(r, csl_doi)
     people = F.coalesce(r["authors"], r["author"])
-    ieee_names = F.transform(F.from_json(F.coalesce(F.get_json_object(people, "$.authors"), people), "array<struct<full_name: string, name: string, family: string, given: string>>"), _name)
+    person = "array<struct<author_order: string, full_name: string, name: string, family: string, given: string>>"
+    listed = F.from_json(F.coalesce(F.get_json_object(people, "$.authors"), people), person)
+    # Numbered authors in that order, those without a number after them as they come.
+    numbered = F.transform(listed, lambda x, i: F.struct(F.coalesce(x["author_order"].try_cast("int"), F.lit(1 << 30)).alias("n"), i.alias("i"), _name(x).alias("name")))
+    ieee_names = F.filter(F.transform(F.array_sort(numbered), lambda x: x["name"]), lambda n: F.trim(n) != "")
+    terms = F.from_json(r["index_terms"], ", ".join(f"{t} struct<terms: array<string>>" for t in TERM_LISTS))
     plain = F.from_json(people, "array<string>")
     date_text = F.coalesce(r["publication_date"], r["issued"])
     return rows.select(
@@ -77,6 +84,10 @@ def read_bibliography(spark: SparkSession, path: str) -> DataFrame:
         r["issue"].alias("issue"),
         F.coalesce(page_range(r["start_page"], r["end_page"]), r["page"]).alias("pages"),
         r["article_number"].alias("article_number"),
+        r["is_number"].alias("issue_number"),
+        r["issn"].alias("issn"),
+        r["citing_paper_count"].try_cast("int").alias("citing_count"),
+        *(F.filter(F.transform(F.coalesce(terms[t]["terms"], F.array().cast("array<string>")), lambda w: F.trim(w)), lambda x: x != "").alias(t) for t in TERM_LISTS),
         F.coalesce(r["html_url"], r["abstract_url"], r["url"]).alias("url"),
         F.when(F.col("bad"), F.lit("invalid_json")).alias("error"),
     )
@@ -87,11 +98,13 @@ def _name(x: Column) -> Column:
 
 
 def read_checked_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSONL file of an evaluation set; the first bad line raises an error that names it."""
-    rows = read_json_lines(spark, path, T.StructType.fromDDL(schema), tolerant=True).select("*", F.col("_metadata.file_name").alias("_file"))
+    """Rows of a JSONL file of an evaluation set; a bad line raises an error that names file and line."""
+    rows = read_json_lines(spark, path, T.StructType.fromDDL(schema), tolerant=True).select("*", F.col("_metadata.file_path").alias("_file"))
     bad = rows.where("_bad is not null").limit(1).collect()  # whole rows: Spark can't read the bad text alone
     if bad:
-        raise ValueError(f"{bad[0]['_file']}: not a record: {bad[0]['_bad'][:200]!r}")
+        lines = spark.read.text(bad[0]["_file"], wholetext=True).select(F.posexplode(F.split("value", "\n")))
+        at = lines.where(F.trim("col") == bad[0]["_bad"].strip()).agg(F.min("pos")).first()[0]
+        raise ValueError(f"{bad[0]['_file'].rpartition('/')[2]}:{'?' if at is None else at + 1}: not a record: {bad[0]['_bad'][:200]!r}")
     return rows.drop("_bad", "_file")
 
 

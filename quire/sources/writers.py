@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.manifests import latest, publish
+
 
 def write_version(df: DataFrame, root: str, version: str, expected: int | None = None, partition_by: list[str] | None = None) -> int:
     """Write a new version of a table; its row count must be the expected one. Returns the count."""
@@ -31,8 +33,18 @@ def write_checked(df: DataFrame, root: str, version: str, required: list[str]) -
 
 
 def swap(spark: SparkSession, name: str, root: str, version: str) -> None:
-    """Point the view `name` at a version."""
-    spark.read.parquet(f"{root}/{version}").createOrReplaceTempView(name)
+    """Make a version the current one, for all sessions, and point this session's view `name` at it."""
+    found = latest(spark, root)
+    publish(spark, root, found[0] + 1 if found else 1, {"version": version})
+    current(spark, root).createOrReplaceTempView(name)
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The current version of a table, as the newest manifest names it."""
+    found = latest(spark, root)
+    if found is None:
+        raise ValueError(f"no version of {root} is current")
+    return spark.read.parquet(f"{root}/{found[1]['version']}")
 
 
 def update_columns(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -56,5 +68,5 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def export_citations(papers: DataFrame, path: str, kind: str = "bibtex") -> None:
-    """Text files of citations (columns of operators.metadata.citations)."""
+    """Text files of citations (columns of operators.citations)."""
     papers.select(F.col(kind).alias("value")).write.mode("overwrite").text(path)

@@ -54,25 +54,27 @@ def test_clean_title(spark, value, want):
     ("value", "want"),
     [
         ("Smith, John; Doe, Jane", ["Smith, John", "Doe, Jane"]), ("Alice Smith and Bob Jones", ["Alice Smith", "Bob Jones"]), ("Alice Smith, Bob Jones and Dr. Carl Doe*1", ["Alice Smith", "Bob Jones", "Carl Doe"]),
-        ("A. Smith, B. Jones", ["A. Smith", "B. Jones"]), ("Tasripan; 王小明; Ludwig van Beethoven", ["Tasripan", "王小明", "Ludwig van Beethoven"]), ("Mar&iacute;a Moure", ["María Moure"]),
-        ("Tasripan1, 王小明2 and Alice Smith3, Student Member, IEEE", ["Tasripan, 王小明", "Alice Smith"]), ("", []), (None, []),
+        ("A. Smith, B. Jones", ["A. Smith", "B. Jones"]), ("Orvessa; 王小明; Joost van Hellen", ["Orvessa", "王小明", "Joost van Hellen"]), ("Luc&iacute;a Terra", ["Lucía Terra"]),
+        ("Orvessa1, 王小明2 and Alice Smith3, Student Member, IEEE", ["Orvessa, 王小明", "Alice Smith"]), ("", []), (None, []),
+        ("Ann Lee, Senior Member, IEEE, and Bo Roe, Fellow IEEE", ["Ann Lee", "Bo Roe"]), ("Cy De, Graduate Student Member, IEEE; Life Fellow, Di Eff", ["Cy De", "Di Eff"]), ("A.Smith, B.C.Jones", ["A.Smith", "B.C.Jones"]),
+        ("Jose \u0301 Ruiz & Zoe\u0308 Kant", ["Jos\u00e9 Ruiz", "Zo\u00eb Kant"]), ("Prof. Ann Lee\nDr.Bo Roe\u2020", ["Ann Lee", "Bo Roe"]), ("Smith,John", ["Smith, John"]),
     ],
 )
 def test_parse_authors(spark, value, want):
     assert one(spark, V.parse_authors(F.col("t")), t=value) == want
 
 
-PAPER = "A Picosecond Resolution Time Digitizer"
+PAPER = "A Compact Nanopore Current Sequencer"
 
 
 @pytest.mark.parametrize(
     ("name", "want"),
     [
-        ("RANGE SENSORS", "author_title_or_prose"), ("INTERNATIONAL TEST", "author_title_or_prose"), ("Politecnico di Milano", "author_affiliation_or_role"), ("CNRS/Univ. Montpellier", "author_affiliation_or_role"),
-        ("ST Microelectronics", "author_affiliation_or_role"), ("via Ferrata", "author_front_matter"), ("/glyph /glyph", "damaged_author"), ("Received August", "author_front_matter"),
-        ("Emails: {alice", "author_front_matter"), ("Mehdi Bandali Ph.D", "author_front_matter"), ("A PicosecondResolutionTimeDigitizer", "author_title_fragment"), ("Picosecond Time", "author_title_fragment"),
+        ("RANGE SENSORS", "author_title_or_prose"), ("INTERNATIONAL TEST", "author_title_or_prose"), ("Politecnico di Ravola", "author_affiliation_or_role"), ("CNRS/Univ. Brevane", "author_affiliation_or_role"),
+        ("QX Microelectronics", "author_affiliation_or_role"), ("via Lunga", "author_front_matter"), ("/glyph /glyph", "damaged_author"), ("Received August", "author_front_matter"),
+        ("Emails: {alice", "author_front_matter"), ("Navid Sorouri Ph.D", "author_front_matter"), ("A CompactNanoporeCurrentSequencer", "author_title_fragment"), ("Nanopore Current", "author_title_fragment"),
         ("IEEE", "author_affiliation_or_role"), ("user123", "unverified_account_name"), ("alice@example.org", "author_contact"), ("", "empty_author"), ("12", "empty_author"),
-        ("Alice Smith", None), ("G. Avolio", None), ("王小明", None), ("Tasripan", None), ("MAY LI", None), ("Rosemary O'Keeffe", None), ("Rue Smith", None),
+        ("Alice Smith", None), ("B. Corvani", None), ("王小明", None), ("Orvessa", None), ("RUO LI", None), ("Aisling O'Dorran", None), ("Rue Smith", None),
     ],
 )
 def test_author_problem(spark, name, want):
@@ -89,7 +91,7 @@ def test_authors_problem(spark):
     [
         ("IEEE Journal;2024;1;2;10.1234/example", "publication_stamp"), ("Instructions for Paper Preparation", "template_or_subject"), ("2024 International Conference on Circuits", "publication_heading"), (" ", "empty_abstract"), (None, "empty_abstract"),
         ("\ufffd" * 20, "damaged_text"), ("https://a.b/c", "template_or_subject"), ("We propose a TDC; its precision improves.", None), ("This paper extends 10.1234/example.", None), ("本文提出一种时间数字转换器。", None), ("A compact TDC.", None),
-        ("Workshop notes: we propose a thing", None),
+        ("Workshop notes: we propose a thing", None), ("NSS-MIC 2019 Manuscript 12", "template_or_subject"), ("Sessions: analog", "template_or_subject"), ("Sessional work shows it.", None), ("IEEE Symposium on X", "publication_heading"), ("www.a.b and more text.", None),
     ],
 )
 def test_abstract_problem(spark, value, want):
@@ -105,8 +107,8 @@ def test_corroborates(spark):
     ("field", "left", "right", "want"),
     [
         ("title", "A<sup>2</sup> – <i>b</i>", "a2 - B", True), ("title", "1-2 GHz", "12 GHz", False), ("abstract", "A+B", "AB", False), ("abstract", "Ab", "ab", False), ("venue", "“X”", '"x"', True),
-        ("authors", "J. R. Smith Jr.", "J.R. Smith Jr", True), ("authors", "Changqing. Feng", "Changqing Feng", True), ("authors", "Gabor. C. Temes", "Gabor C. Temes", True), ("authors", "A. Smith", "A Smith", False),
-        ("authors", "Changqing.Feng", "Changqing Feng", False), ("authors", "Changqing.. Feng", "Changqing Feng", False), ("authors", "Händel", "Handel", False), ("authors", "Ann-Marie Smith", "Ann Marie Smith", False), ("publication_date", "2020-01-01", "D:20200101000000", False),
+        ("authors", "J. R. Smith Jr.", "J.R. Smith Jr", True), ("authors", "Weilun. Qiao", "Weilun Qiao", True), ("authors", "Istok. D. Varel", "Istok D. Varel", True), ("authors", "A. Smith", "A Smith", False),
+        ("authors", "Weilun.Qiao", "Weilun Qiao", False), ("authors", "Weilun.. Qiao", "Weilun Qiao", False), ("authors", "Händel", "Handel", False), ("authors", "Ann-Marie Smith", "Ann Marie Smith", False), ("publication_date", "2020-01-01", "D:20200101000000", False),
     ],
 )
 def test_equivalence(spark, field, left, right, want):
@@ -116,12 +118,12 @@ def test_equivalence(spark, field, left, right, want):
 def test_equivalent_lists_and_bylines(spark):
     rows = [
         ("authors", ["Alice", "Bob"], ["Bob", "Alice"], False, False), ("authors", ["Alice", "Alice"], ["Alice"], False, False), ("authors", ["Alice Smith."], ["Alice Smith"], True, False),
-        ("tag:author_terms", ["TDC", "ADC"], ["adc", "tdc", "TDC"], True, None), ("authors", ["G. Avolio"], ["Giuseppe Avolio"], False, True), ("authors", ["P.M. Levine", "G.W. Roberts"], ["Peter M. Levine", "Gordon W. Roberts"], False, True),
-        ("authors", ["J.-P. Jansson"], ["Jussi-Pekka Jansson"], False, True), ("authors", ["J. L. Cura"], ["José L. Cura"], False, True), ("authors", ["Giovanni Avolio"], ["Giuseppe Avolio"], False, False),
-        ("authors", ["G. Avolio"], ["Giuseppe Avorio"], False, False), ("authors", ["G. Avolio"], ["Giuseppe A. Avolio"], False, False), ("authors", ["G. Avolio", "P. Smith"], ["Peter Smith", "Giuseppe Avolio"], False, False),
-        ("authors", ["G. Avolio", "G. Avolio"], ["Giuseppe Avolio"], False, False), ("authors", ["G. Avolio", "G. Avolio"], ["Giuseppe Avolio", "Giovanni Avolio"], False, False),
-        ("authors", ["G. Avolio", "Ann-Marie Smith"], ["Giuseppe Avolio", "Ann Marie Smith"], False, False), ("authors", ["G. Avolio", "Peter Smith'"], ["Giuseppe Avolio", "Peter Smith"], False, False),
-        ("authors", ["A. Ann-Smith"], ["Alice Ann Smith"], False, False), ("authors", ["J. Peter-Paul Smith"], ["John Peter Paul Smith"], False, False), ("authors", ["P. Palojarvi"], ["Pasi Palojärvi"], False, False), ("authors", ["A"], ["Alice"], False, False),
+        ("tag:author_terms", ["TDC", "ADC"], ["adc", "tdc", "TDC"], True, None), ("authors", ["B. Corvani"], ["Benedetto Corvani"], False, True), ("authors", ["T.K. Morwen", "D.F. Castell"], ["Thomas K. Morwen", "Dorian F. Castell"], False, True),
+        ("authors", ["L.-M. Hedrin"], ["Lasse-Mikael Hedrin"], False, True), ("authors", ["R. S. Vela"], ["René S. Vela"], False, True), ("authors", ["Bernardo Corvani"], ["Benedetto Corvani"], False, False),
+        ("authors", ["B. Corvani"], ["Benedetto Corvari"], False, False), ("authors", ["B. Corvani"], ["Benedetto A. Corvani"], False, False), ("authors", ["B. Corvani", "P. Smith"], ["Peter Smith", "Benedetto Corvani"], False, False),
+        ("authors", ["B. Corvani", "B. Corvani"], ["Benedetto Corvani"], False, False), ("authors", ["B. Corvani", "B. Corvani"], ["Benedetto Corvani", "Bernardo Corvani"], False, False),
+        ("authors", ["B. Corvani", "Ann-Marie Smith"], ["Benedetto Corvani", "Ann Marie Smith"], False, False), ("authors", ["B. Corvani", "Peter Smith'"], ["Benedetto Corvani", "Peter Smith"], False, False),
+        ("authors", ["A. Ann-Smith"], ["Alice Ann Smith"], False, False), ("authors", ["J. Peter-Paul Smith"], ["John Peter Paul Smith"], False, False), ("authors", ["O. Makitorma"], ["Olli Mäkitörmä"], False, False), ("authors", ["A"], ["Alice"], False, False),
         ("authors", [], [], True, False), ("authors", ["J. Smith", "Ann Lee"], ["John Smith", "Ann Lee"], False, True),
     ]
     df = spark.createDataFrame([(k, *r[:3]) for k, r in enumerate(rows)], "k int, f string, a array<string>, b array<string>")

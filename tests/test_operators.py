@@ -3,6 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from quire.operators import catalog as C
 from quire.operators import documents as D
 from quire.operators import evaluation as E
 from quire.operators import maintenance as M
@@ -298,13 +299,25 @@ def test_scans_are_bounded(spark):
         M.bounded(spark.range(6), 5)
 
 
+def test_shells_with_dependents_are_skipped(spark):
+    shells = spark.createDataFrame([(k,) for k in ("held", "one", "two", "none", "only_shell", "same")], "id string")
+    matches = [("held", "matched", "p1"), ("one", "matched", "p1"), ("one", "ambiguous", "p2"), ("two", "matched", "p1"), ("two", "matched", "p2"), ("only_shell", "matched", "one"), ("same", "matched", "p1"), ("same", "matched", "p1")]
+    matches = spark.createDataFrame(matches, "record_id string, status string, paper_id string")
+    got = {r.shell_id: (r.action, r.target, r.reason) for r in K.reconcile_shells(shells, matches, spark.createDataFrame([("held",), ("p1",)], "paper_id string")).collect()}
+    assert got == {
+        "held": ("skip", None, "has dependents"), "one": ("merge", "p1", "one match"), "two": ("delete", None, "several matches"), "none": ("delete", None, "no match"),
+        "only_shell": ("delete", None, "no match"), "same": ("merge", "p1", "one match"),
+    }
+
+
 def test_shells_are_merged(spark):
-    decisions = spark.createDataFrame([("s", "merge", "t"), ("d", "delete", None), ("k", "keep", None)], "shell_id string, action string, target string")
-    tags = spark.createDataFrame([("s", "x"), ("t", "x"), ("s", "y"), ("k", "z")], "paper_id string, tag string")
-    papers = spark.createDataFrame([("s",), ("t",), ("d",), ("k",)], "id string")
+    decisions = [("s", "merge", "t"), ("r", "merge", "s"), ("d", "delete", None), ("k", "keep", None), ("x", "merge", "y"), ("y", "merge", "x"), ("e", "merge", "d"), ("m", "merge", "missing")]
+    decisions = spark.createDataFrame(decisions, "shell_id string, action string, target string")
+    tags = spark.createDataFrame([("s", "x"), ("t", "x"), ("s", "y"), ("k", "z"), ("r", "w"), ("r", "x"), ("x", "1"), ("e", "2"), ("m", "3")], "paper_id string, tag string")
+    papers = spark.createDataFrame([(p,) for p in "stdkrxyem"], "id string")
     rows, left = K.merge_shells(decisions, tags, papers, ["tag"])
-    assert sorted((r.paper_id, r.tag) for r in rows.collect()) == [("k", "z"), ("t", "x"), ("t", "y")]
-    assert sorted(r.id for r in left.collect()) == ["k", "t"]
+    assert sorted((r.paper_id, r.tag) for r in rows.collect()) == [("e", "2"), ("k", "z"), ("m", "3"), ("t", "w"), ("t", "x"), ("t", "y"), ("x", "1")]
+    assert sorted(r.id for r in left.collect()) == ["e", "k", "m", "t", "x", "y"]
 
 
 def test_reextraction_is_taken_over(spark):
@@ -357,11 +370,34 @@ def test_sources(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"id": "1", "query": "x"}\n\n{"id": "2", "query": "y", "note": "n"}\n')
     assert [r.id for r in readers.read_eval_queries(spark, str(tmp_path / "q.jsonl")).collect()] == ["1", "2"]
     (tmp_path / "l.jsonl").write_text('{"query_id": "1", "paper_id": "p", "grade": 1}\n{"query_id": oops\n')
-    with pytest.raises(ValueError, match="oops"):
+    with pytest.raises(ValueError, match="l.jsonl:2: .*oops"):
         readers.read_graded_labels(spark, str(tmp_path / "l.jsonl"))
     assert [r.key for r in readers.object_listing(spark, str(folder), "sub/").collect()] == ["sub/One.ZIP"]
 
 
+def test_article_fields(spark, tmp_path):
+    import json
+
+    record = {
+        "title": "A", "article_number": 7, "publication_title": "V", "is_number": 88, "issn": "1234-5678", "citing_paper_count": "12",
+        "authors": [{"full_name": "Third", "author_order": 3}, {"full_name": "First", "author_order": 1}, {"full_name": "Second", "author_order": "2"}, {"full_name": "Unnumbered"}],
+        "index_terms": {"ieee_terms": {"terms": ["X", " y "]}, "author_terms": {"terms": []}},
+    }
+    (tmp_path / "r.jsonl").write_text(json.dumps(record) + "\n" + json.dumps({"title": "B"}) + "\n")
+    got = {r.title: r for r in readers.read_bibliography(spark, str(tmp_path / "r.jsonl")).collect()}
+    a, b = got["A"], got["B"]
+    assert (a.authors, a.issue_number, a.issn, a.citing_count) == (["First", "Second", "Third", "Unnumbered"], "88", "1234-5678", 12)
+    assert (a.ieee_terms, a.author_terms, a.dynamic_index_terms, b.ieee_terms, b.citing_count) == (["X", "y"], [], [], [], None)
+
+
+def test_budget_pages(spark):
+    rows = spark.createDataFrame([("g", k, t) for k, t in enumerate(["aaaa", "bbb", None, "cccc", "dd"])] + [("h", 0, "xx")], "g string, k int, t string")
+    page = lambda budget, start=0: [(r.g, r.place, r.t, r.truncated, r.next_offset) for r in C.budget_page(rows, "g", "k", "t", budget, start).orderBy("g", "k").collect()]
+    assert page(9) == [("g", 0, "aaaa", False, 4), ("g", 1, "bbb", False, 4), ("g", 2, None, False, 4), ("g", 3, "cc", True, 4), ("h", 0, "xx", False, None)]
+    assert page(9, 4) == [("g", 4, "dd", False, None)]
+    assert page(7)[:2] == [("g", 0, "aaaa", False, 2), ("g", 1, "bbb", False, 2)] and page(100)[-2][-1] is None
+
+
 def test_writers(spark, tmp_path):
     df = spark.range(10)
     assert writers.write_version(df, str(tmp_path), "v1", 10) == 10
@@ -396,6 +432,42 @@ def test_streams(spark, sf, tmp_path):
     assert spark.table("days").count() > 0
 
 
+def test_a_revision_that_comes_during_a_flush_stays_open(spark, tmp_path):
+    from quire.streaming.outbox import flush_in_batches, pending_updates
+
+    (tmp_path / "in").mkdir()
+    schema = "paper_id long, revision long, kind string"
+    add = lambda df: df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    add(spark.createDataFrame([(p, 1, "update") for p in range(45)] + [(7, 0, "update"), (None, 1, "update"), (9, 1, "done")], schema))
+    changes = pending_updates(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    seen: dict = {}
+
+    def keep(df, epoch):
+        seen.update({r.paper_id: (r.revision, r.attempts, r.open) for r in df.collect()})
+
+    q = changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    assert seen == {p: (1, 0, p != 9) for p in range(45)}
+    batches: list = []
+
+    def write(batch):
+        batches.append(batch)
+        if len(batches) == 1:  # while the first batch is written, paper 3 changes again
+            add(spark.createDataFrame([(3, 2, "update")], schema))
+            q.processAllAvailable()
+        if len(batches) == 2:
+            raise OSError("unreachable")
+        return True
+
+    flush_in_batches(spark.createDataFrame([(p, *s) for p, s in seen.items()], "paper_id long, revision long, attempts int, open boolean"), write, add)
+    q.processAllAvailable()
+    q.stop()
+    assert [len(b) for b in batches] == [20, 20, 4]
+    assert seen[3] == (2, 0, True) and seen[0] == (1, 0, False) and seen[44] == (1, 0, False)
+    second = {p for p, _ in batches[1]}
+    assert all(seen[p] == (1, 1, True) for p in second) and all(not seen[p][2] for p in range(45) if p not in second and p != 3)
+
+
 @pytest.mark.parametrize(("text", "want"), [("2015", 2015), ("July 2015", 2015), ("999", None), ("a-1999-b", 1999), ("12345", None), ("", None), (None, None)])
 def test_parse_year(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
