@@ -1074,11 +1074,11 @@ def reextraction_diff(spark, d):
     "reconcile_shells",
     """WITH s AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 4 <> 3),
 m AS (SELECT k, k + 1 AS t FROM s WHERE k % 3 < 2 UNION ALL SELECT k, k + 5 FROM s WHERE k % 3 = 1),
-g AS (SELECT k, count(DISTINCT t) AS n, min(t) AS t FROM m WHERE t NOT IN (SELECT k FROM s) GROUP BY k)
-SELECT s.k AS shell_id, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = s.k AND o_orderpriority = '1-URGENT') THEN 'skip' WHEN n = 1 THEN 'merge' ELSE 'delete' END AS action,
- CASE WHEN action = 'merge' THEN g.t END AS target,
- CASE action WHEN 'skip' THEN 'has dependents' WHEN 'merge' THEN 'one match' ELSE CASE WHEN n > 1 THEN 'several matches' ELSE 'no match' END END AS reason
-FROM s LEFT JOIN g USING (k)""",
+g AS (SELECT k, count(DISTINCT t) AS n, min(t) AS t FROM m WHERE t NOT IN (SELECT k FROM s) GROUP BY k),
+h AS (SELECT DISTINCT o_custkey AS k, true AS held FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT s.k AS shell_id, CASE WHEN held THEN 'skip' WHEN n = 1 THEN 'merge' ELSE 'delete' END AS action, CASE WHEN held IS NULL AND n = 1 THEN g.t END AS target,
+ CASE WHEN held THEN 'has dependents' WHEN n = 1 THEN 'one match' WHEN n > 1 THEN 'several matches' ELSE 'no match' END AS reason
+FROM s LEFT JOIN g USING (k) LEFT JOIN h USING (k)""",
 )
 def reconcile_shells(spark, d):
     c = read_table(spark, d, "customer").where("c_custkey % 4 <> 3").select(F.col("c_custkey").alias("id"))
@@ -1321,8 +1321,8 @@ def markdown_text(spark, d):
 @register(
     "merged_shells",
     """WITH RECURSIVE p AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 10 BETWEEN 1 AND 6 THEN c_custkey + 1 WHEN c_custkey % 10 = 8 THEN c_custkey + 1 WHEN c_custkey % 10 = 9 THEN c_custkey - 1 END AS t FROM customer),
-w AS (SELECT k, k AS at, 0 AS n FROM p UNION ALL SELECT w.k, p.t, n + 1 FROM w JOIN p ON p.k = w.at WHERE p.t IS NOT NULL AND n < 10),
-e AS (SELECT k, CASE WHEN max(n) = 10 THEN k ELSE arg_max(at, n) END AS last FROM w GROUP BY k),
+w AS (SELECT k, k AS here, 0 AS n FROM p UNION ALL SELECT w.k, p.t, n + 1 FROM w JOIN p ON p.k = w.here WHERE p.t IS NOT NULL AND n < 10),
+e AS (SELECT k, CASE WHEN max(n) = 10 THEN k ELSE arg_max(here, n) END AS last FROM w GROUP BY k),
 z AS (SELECT k, CASE WHEN last IN (SELECT c_custkey FROM customer) THEN last ELSE k END AS last FROM e)
 SELECT DISTINCT coalesce(last, o_custkey) AS paper_id, o_orderpriority AS tag FROM orders LEFT JOIN z ON k = o_custkey""",
 )
