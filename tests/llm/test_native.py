@@ -276,3 +276,12 @@ def test_expectation_maximisation_tells_rules_apart():
     model = fit(counts, 4)
     assert abs(model.prior - 0.8) < 0.05
     assert model.bad[0][0] > 0.85 and 0.3 < model.bad[3][0] < 0.7
+
+
+def test_very_long_texts(spark):
+    rows = [(k, "a" if k % 2 else "b", "x" * (2_000_000 if k == 3 else 50)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = histogram_shards(docs, F.octet_length("text") + 1, ["text"], ["doc_id"], shards=4).collect()
+    assert sorted(r.doc_id for r in out) == list(range(40)) and all(len(r.text) == (2_000_000 if r.doc_id == 3 else 50) for r in out)
+    mixed = pfair_mix(docs).collect()
+    assert sorted(r.doc_id for r in mixed) == list(range(40)) and sum(len(r.text) for r in mixed) == 2_000_000 + 39 * 50

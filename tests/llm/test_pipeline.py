@@ -94,3 +94,10 @@ def test_registry():
     for n in range(1, 11):
         assert sum(bool(re.match(rf"op{n}_", x)) for x in names) == 1
     assert "pipeline" in names
+
+
+def test_pipeline_on_an_empty_table(spark, sf, tmp_path):
+    for name in ("documents", "labels"):
+        table = spark.read.parquet(f"{sf}/{name}.parquet")
+        (table.limit(0) if name == "documents" else table).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert P.run(spark, str(tmp_path)).count() == 0

@@ -631,3 +631,10 @@ def test_long_hosts(tmp_path):
     host = "w." * 500_000 + "b.com"
     got = rules.judge([(host, "/en/1"), (host, "/x"), ("a.b.com", "/en/"), ("c.a.b.com", "/e"), ("", "/x"), ("x" * 10**6, "/en/")])
     assert got == [("com/en/", "block"), (None, None), ("a.b.com/e", "allow"), ("a.b.com/e", "allow"), ("/x", "block"), (None, None)]
+
+
+def test_topk_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(k, [float(k % 7), 1.0]) for k in range(100)], "vec_id long, embedding array<float>")
+    named = rows.select("*", *(F.lit(5).alias(c) for c in ("query_id", "rank", "score", "block", "ids")))
+    key = lambda df: sorted(tuple(r) for r in T.top_k(df, modulus=20).collect())
+    assert key(named) == key(rows) and len(key(rows)) == 25
