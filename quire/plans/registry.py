@@ -1215,32 +1215,32 @@ def capped_problems(spark, d):
 
 
 def _ledger(spark, d):
-    """Claims of two sources on each user's event types; the later one is current."""
+    """All claims on each user's event types, n by age; the latest is current."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    rows = read_table(spark, d, "events").withColumn("n", F.row_number().over(w)).where("n <= 2")
+    rows = read_table(spark, d, "events").withColumn("n", F.row_number().over(w))
     return rows.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("paper_id"), F.col("event_type").alias("field"), F.col("value").cast("string").alias("value"), (F.col("n") == 1).alias("is_current"),
-        F.lit("auto").alias("decided_by"), F.lit(None).cast("timestamp").alias("decision_at"),
+        F.lit("auto").alias("decided_by"), F.lit(None).cast("timestamp").alias("decision_at"), "n", "ts",
     )
 
 
-LEDGER_CTE = "l AS (SELECT event_id AS id, user_id AS paper_id, event_type AS field, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events QUALIFY n <= 2)"
+LEDGER_CTE = "l AS (SELECT event_id AS id, user_id AS paper_id, event_type AS field, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events)"
 
 
 @register(
     "rollback_claims",
-    f"""WITH {LEDGER_CTE}, r AS (SELECT paper_id, field FROM l WHERE n = 2 AND id % 2 = 0)
-SELECT id, (n = 2) = (paper_id, field) IN (FROM r) AS is_current, CASE WHEN n = 1 AND (paper_id, field) IN (FROM r) THEN 'dismissed' ELSE 'auto' END AS decided_by, (paper_id, field) IN (FROM r) AS settled FROM l""",
+    f"""WITH {LEDGER_CTE}, r AS (SELECT paper_id, field, true AS back FROM l WHERE n = 2 AND id % 2 = 0)
+SELECT id, n = CASE WHEN back THEN 2 ELSE 1 END AS is_current, CASE WHEN n = 1 AND back THEN 'dismissed' ELSE 'auto' END AS decided_by, n <= 2 AND coalesce(back, false) AS settled FROM l LEFT JOIN r USING (paper_id, field)""",
 )
 def rollback_claims(spark, d):
     ledger = _ledger(spark, d)
-    out = B.rollback(ledger, ledger.where("not is_current and id % 2 = 0"), F.lit("2024-05-01").cast("timestamp"))
+    out = B.rollback(ledger, ledger.where("n = 2 and id % 2 = 0"), F.lit("2024-05-01").cast("timestamp"))
     return out.select("id", "is_current", "decided_by", F.col("decision_at").isNotNull().alias("settled"))
 
 
-@register("dismiss_claims", f"WITH {LEDGER_CTE} SELECT id, CASE WHEN n = 2 AND id % 3 = 0 THEN 'dismissed' ELSE 'auto' END AS decided_by FROM l")
+@register("dismiss_claims", f"WITH {LEDGER_CTE} SELECT id, CASE WHEN n > 1 AND id % 3 = 0 THEN 'dismissed' ELSE 'auto' END AS decided_by FROM l")
 def dismiss_claims(spark, d):
     ledger = _ledger(spark, d)
     return B.dismiss(ledger, ledger.where("id % 3 = 0"), F.lit("2024-05-01").cast("timestamp")).select("id", "decided_by")
@@ -1248,13 +1248,16 @@ def dismiss_claims(spark, d):
 
 @register(
     "claims_that_are_new",
-    f"""WITH {LEDGER_CTE}, c AS (SELECT user_id AS paper_id, event_type AS field, CAST(value AS VARCHAR) AS value, event_id % 2 AS s, event_id FROM events),
-x AS (SELECT l.*, e.value AS v, e.event_id % 2 AS s FROM l JOIN events e ON e.event_id = l.id)
-SELECT event_id FROM c WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.paper_id = c.paper_id AND x.field = c.field AND n = 1 AND CAST(v AS VARCHAR) = c.value)
- AND NOT EXISTS (SELECT 1 FROM x WHERE x.paper_id = c.paper_id AND x.field = c.field AND x.s = c.s AND CAST(v AS VARCHAR) = c.value)""",
+    """WITH l AS (SELECT user_id AS p, event_type AS f, value AS v, event_id % 2 AS s, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts < TIMESTAMP '2024-01-16')
+SELECT event_id FROM events WHERE NOT EXISTS (SELECT 1 FROM l WHERE p = user_id AND f = event_type AND v = value AND (n = 1 OR s = event_id % 2))""",
 )
 def claims_that_are_new(spark, d):
-    ledger = _ledger(spark, d).withColumn("source_id", F.col("id") % 2)
+    """What all events say beyond the claims that had been made by a certain day."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("paper_id", "field").orderBy(F.desc("ts"), F.desc("id"))
+    day = F.lit("2024-01-16").cast("timestamp_ntz")
+    ledger = _ledger(spark, d).where(F.col("ts") < day).withColumns({"source_id": F.col("id") % 2, "is_current": F.row_number().over(w) == 1})
     claims = read_table(spark, d, "events").select(F.col("user_id").alias("paper_id"), F.col("event_type").alias("field"), F.col("value").cast("string").alias("value"), (F.col("event_id") % 2).alias("source_id"), "event_id")
     return B.record_claims(ledger, claims).select("event_id")
 
@@ -1312,10 +1315,12 @@ def record_digests(spark, d):
     return read_table(spark, d, "events").select("event_id", X.record_digest(record).alias("digest"))
 
 
-@register("markdown_text", "SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, ' {2,}', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM conversations WHERE text NOT LIKE '%&%' AND regexp_full_match(text, '[\\x20-\\x7E\\n]*')")
+@register("markdown_text", "SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(replace(text, 'on', 'ön'), chr(10)), lambda x: trim(regexp_replace(x, ' {2,}', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM conversations")
 def markdown_text(spark, d):
-    rows = read_table(spark, d, "conversations").where("text not like '%&%' and text rlike '^[\\\\x20-\\\\x7E\\n]*$'")
-    return rows.select("conv_id", "turn", F.regexp_replace(X.normalize_markdown(F.col("text")), "\n+", "\n").alias("text"))
+    """All turns, with entities, wide and narrow spaces, controls and signs without width put into them."""
+    spaced = F.replace("text", F.lit("an "), F.lit("an\u00a0\u2009"))
+    text = F.concat(F.lit("\ufeff"), F.replace(spaced, F.lit("on"), F.lit("&ouml;n\x01")), F.lit("\u200b\r\n"))
+    return read_table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(X.normalize_markdown(text), "\n+", "\n").alias("text"))
 
 
 @register(
@@ -1374,6 +1379,54 @@ def stored_parses(spark, d):
     return K.cached_parses(files, cache).select("o_orderkey", F.col("l_shipdate").alias("created_at"), "parse")
 
 
+@register(
+    "filters_in_stored_form",
+    """SELECT c_custkey AS id FROM customer WHERE (c_custkey % 4 = 1) AND c_custkey % 3 = 0 AND lower(c_mktsegment) IN ('building', 'machinery', 'furniture') AND c_nationkey BETWEEN 3 AND 20
+UNION ALL SELECT 10000000 + c_custkey FROM customer WHERE c_custkey % 9 = 7 OR c_custkey % 9 = 2""",
+)
+def filters_in_stored_form(spark, d):
+    k = F.col("c_custkey")
+    rows = read_table(spark, d, "customer").select(
+        k.alias("id"), F.when(k % 4 == 1, "journal of things").otherwise("other").alias("venue"), F.lower("c_mktsegment").alias("paper_type"), F.col("c_nationkey").alias("year"),
+        F.array(F.when(k % 3 == 0, "deep nets").otherwise("cooking")).alias("tags"), F.concat(F.lit("10.1/a"), k % 9).alias("doi"), F.array(F.concat(F.lit("doi:10.1/a"), k % 9)).alias("identifiers"),
+    )
+    first = rows.where(R.build_filter({"venue": " Journal-of THINGS!", "paper_type": ["Building", "MACHINERY", "furniture", ""], "tag": "Deep, Nets", "tags": ["cooking"], "year_from": "3", "year_to": 20.0, "unknown": "x"}))
+    second = rows.where(R.build_filter({"identifiers": ["DOI: https://doi.org/10.1/A7", "doi:10.1/a2"], "doi": "", "year_from": True}))
+    return first.select("id").unionByName(second.select((F.col("id") + 10_000_000).alias("id")))
+
+
+@register(
+    "papers_of_a_venue",
+    "SELECT o_orderkey AS id FROM orders WHERE o_custkey % 5 IN (1, 2) AND o_orderkey % 7 <> 0 AND CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) ELSE 1995 END = 1995",
+)
+def papers_of_a_venue(spark, d):
+    o = read_table(spark, d, "orders")
+    venues = o.select((F.col("o_custkey") % 5).alias("id")).distinct().withColumn("normalized_name", F.when(F.col("id") == 1, "annals of x").when(F.col("id") == 2, "学报").otherwise("else"))
+    n = F.col("o_orderkey")
+    papers = o.select(n.alias("id"), (F.col("o_custkey") % 5).alias("venue_id"), F.lit(1995).alias("year"), F.when(n % 2 == 0, F.year("o_orderdate")).alias("venue_year"), F.when(n % 7 == 0, F.col("o_orderdate")).alias("deleted_at"))
+    return K.papers_of_venue(papers, venues, ["Annals of X.", " 学报"], 1995).select("id")
+
+
+@register(
+    "identifiers_in_texts",
+    "SELECT p_partkey, '10.1109/x.' || p_partkey AS doi, CASE WHEN p_partkey % 2 = 0 THEN '2101.' || lpad(CAST(p_partkey % 100000 AS VARCHAR), 5, '0') END AS arxiv, CASE WHEN p_partkey % 3 = 0 THEN '1234-' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || 'X' END AS issn FROM part",
+)
+def identifiers_in_texts(spark, d):
+    k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    arxiv = F.when(k % 2 == 0, F.concat(F.lit(" and arXiv: 2101."), F.lpad((k % 100_000).cast("string"), 5, "0"), F.lit("v3"))).otherwise("")
+    issn = F.when(k % 3 == 0, F.concat(F.lit(", ISSN 1234-"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("x"))).otherwise("")
+    text = F.concat(F.lit("See "), "p_name", F.lit(" (https://doi.org/10.1109/X."), key, F.lit(")"), arxiv, issn, F.lit(". And 10.2/later."))
+    found = read_table(spark, d, "part").select("p_partkey", I.identifiers_in_text(text).alias("i"))
+    return found.select("p_partkey", "i.doi", "i.arxiv", "i.issn")
+
+
+@register("secrets_masked", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'call token=*** ok ' || event_type ELSE 'Authorization: Bearer *** for ' || event_type || ', password: ***' END AS text FROM events")
+def secrets_masked(spark, d):
+    key = F.col("event_id").cast("string")
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("call token="), key, F.lit("abc ok "), "event_type")).otherwise(F.concat(F.lit("Authorization: Bearer x."), key, F.lit(" for "), "event_type", F.lit(", password: p"), key))
+    return read_table(spark, d, "events").select("event_id", X.redact_secrets(text).alias("text"))
+
+
 # ---- documents (chunks and sentences are sequential: checked by tests, not by SQL)
 
 
