@@ -47,11 +47,13 @@ def manifest(spark: SparkSession, root: str, number: int) -> dict | None:
     where, fs = _path(spark, f"{root}/manifest-{number:08d}.json")
     if not fs.exists(where):
         return None
-    lines = spark.read.text(where.toString(), wholetext=True).first()
+    stream = fs.open(where)
     try:
-        return json.loads(lines[0]) if lines else None
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     except ValueError:
         return None
+    finally:
+        stream.close()
 
 
 def latest(spark: SparkSession, root: str) -> tuple[int, dict] | None:
