@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -65,9 +66,15 @@ def latest(spark: SparkSession, root: str) -> tuple[int, dict] | None:
     return None
 
 
+#: A manifest that is still not complete after so many seconds was left by a writer that is gone.
+ABANDONED_AFTER = 60
+
+
 def publish(spark: SparkSession, root: str, number: int, content: dict) -> None:
-    """Make a version current; Conflict if its number is taken."""
+    """Make a version current; Conflict if its number is taken. What a writer left half done makes room after a while."""
     where, fs = _path(spark, f"{root}/manifest-{number:08d}.json")
+    if fs.exists(where) and manifest(spark, root, number) is None and time.time() - fs.getFileStatus(where).getModificationTime() / 1000 > ABANDONED_AFTER:
+        fs.delete(where, False)
     try:
         out = fs.create(where, False)
     except Py4JJavaError as fault:

@@ -109,6 +109,11 @@ def test_a_second_writer_of_a_version_is_refused(spark, tmp_path):
         publish(spark, root, 1, {"a": 2})
     (tmp_path / "manifest-00000002.json").write_text('{"a": ')  # not complete
     assert latest(spark, root) == (1, {"a": 1})
+    with pytest.raises(Conflict):
+        publish(spark, root, 2, {"a": 2})
+    os.utime(tmp_path / "manifest-00000002.json", (1, 1))  # its writer is gone
+    publish(spark, root, 2, {"a": 2})
+    assert latest(spark, root) == (2, {"a": 2})
     before = fingerprint(spark, root)
     (tmp_path / "x").write_text("x")
     assert fingerprint(spark, root) != before
