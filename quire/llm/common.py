@@ -112,6 +112,12 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], rows: int, limit
     return big.join(F.broadcast(small) if rows <= limit else small, on, how)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """df for a join that must not broadcast it: Spark judges it by its files, but rows copied to groups, or packed in
+    files, are many times that size in the driver's memory."""
+    return df.hint("merge")
+
+
 #: More bounds than this are searched in an array; a tree of comparisons would outgrow compiled code.
 TREE_BOUNDS = 256
 

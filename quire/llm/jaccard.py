@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import clear_written, kept_row, materialize, written
+from quire.llm.common import by_shuffle, clear_written, kept_row, materialize, written
 from quire.llm.components import components
 from quire.llm.shingles import overlap, shingle_sets
 
@@ -284,15 +284,15 @@ def _spread_join(many: DataFrame, few: DataFrame, key: str, part: str) -> DataFr
     """Join on a key that many rows share: they are dealt over groups by `part`, and each of the few rows is in every group."""
     left = many.withColumn("salt", F.pmod(F.xxhash64(part), F.lit(SPREAD)).cast("int"))
     right = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return left.join(right, [key, "salt"]).drop("salt")
+    return left.join(by_shuffle(right), [key, "salt"]).drop("salt")
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (cls, comp) after joining the components that links (a, b) of classes connect."""
     to = lambda c: labels.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_comp"))
-    edges = links.join(to("a"), "a").join(to("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    edges = links.join(by_shuffle(to("a")), "a").join(by_shuffle(to("b")), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
     roots = components(edges).select(F.col("node").alias("comp"), "root")
-    joined = labels.join(roots, "comp", "left").select("cls", F.coalesce("root", "comp").alias("comp"))
+    joined = labels.join(by_shuffle(roots), "comp", "left").select("cls", F.coalesce("root", "comp").alias("comp"))
     return materialize(joined, "labels")
 
 
@@ -303,13 +303,13 @@ def _star_round(crowded: DataFrame, labels: DataFrame, members: DataFrame, limit
     likely central to its group. Which of these it is changes from step to step.
     """
     chance = F.pmod(F.xxhash64("cls", F.lit(step)), F.lit(1000))
-    shapes = crowded.groupBy("cls", "n", "need").agg((F.count("*") * (2000 + chance)).alias("weight")).join(labels, "cls")
-    held = crowded.select("token", "cls").join(shapes.select("cls", "weight"), "cls")
+    shapes = crowded.groupBy("cls", "n", "need").agg((F.count("*") * (2000 + chance)).alias("weight")).join(by_shuffle(labels), "cls")
+    held = crowded.select("token", "cls").join(by_shuffle(shapes.select("cls", "weight")), "cls")
     pivots = held.groupBy("token").agg(F.max_by("cls", F.struct("weight", "cls")).alias("a"))
     about = lambda side: shapes.select(*(F.col(c).alias(d) for c, d in zip(("cls", "n", "need", "comp"), (side, f"{side}_n", f"{side}_need", f"{side}_comp"))))
     stars = _spread_join(crowded.select("token", F.col("cls").alias("b")), pivots, "token", "b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     chosen = about("a").join(pivots.select("a").distinct(), "a", "left_semi")
-    pairs = _spread_join(stars.where("a <> b").join(about("b"), "b"), chosen, "a", "b")
+    pairs = _spread_join(stars.where("a <> b").join(by_shuffle(about("b")), "b"), chosen, "a", "b")
     fit = limit.den * F.least("a_n", "b_n") >= limit.num * F.greatest("a_n", "b_n")
     pairs = pairs.where((F.col("a_comp") != F.col("b_comp")) & fit & (F.col("shared") >= F.least("a_need", "b_need")))
     return _relabel(labels, materialize(_verified(pairs, members, limit, stars=True), "links"))
@@ -330,7 +330,7 @@ def link_classes(
     labels = materialize(crowded.select("cls", F.col("cls").alias("comp")).distinct(), "labels")
     members, before = None, 0
     for step in range(rounds + 1):
-        by_comp = crowded.select("token", "cls", "idx").join(labels, "cls").groupBy("token", "comp").agg(F.count("*").alias("k"), F.count_if("idx").alias("ki"))
+        by_comp = crowded.select("token", "cls", "idx").join(by_shuffle(labels), "cls").groupBy("token", "comp").agg(F.count("*").alias("k"), F.count_if("idx").alias("ki"))
         largest = F.max(F.struct("k", "comp", "ki")).alias("m")
         main = by_comp.groupBy("token").agg(largest, F.sum("k").alias("k"), F.sum("ki").alias("ki"))
         main = materialize(main.select("token", F.col("m.comp").alias("main"), "k", F.expr("(ki - m.ki) * k + m.ki * (k - m.k)").alias("left")), "main")
@@ -344,7 +344,7 @@ def link_classes(
         labels = _star_round(crowded, labels, members, limit, step)
     # All pairs left: in a crowded shingle those with a class outside of its main component.
     none = F.lit(None).cast("long")
-    known = _spread_join(crowded.join(labels, "cls"), main.where(F.col("left") > 0).select("token", "main", "k"), "token", "cls")
+    known = _spread_join(crowded.join(by_shuffle(labels), "cls"), main.where(F.col("left") > 0).select("token", "main", "k"), "token", "cls")
     plain = entries.where("not crowded").drop("crowded").withColumns({"comp": F.col("cls"), "main": none, "k": F.lit(1).cast("long")})
     rows = known.select(*plain.columns).unionByName(plain)
     outside = F.col("main").isNull() | (F.col("comp") != F.col("main"))
@@ -361,8 +361,8 @@ def link_classes(
 
     on = ["token", "salt", "size_class"]
     meets = F.expr(_meets(limit))
-    met = side(rows.where(outside & F.col("idx")), "a", copies).join(side(rows, "b", once), on).where(meets)
-    inner = side(known.where(~outside & F.col("idx")), "a", once).join(side(known.where(outside), "b", copies), on).where(meets)
+    met = side(rows.where(outside & F.col("idx")), "a", copies).join(by_shuffle(side(rows, "b", once)), on).where(meets)
+    inner = side(known.where(~outside & F.col("idx")), "a", once).join(by_shuffle(side(known.where(outside), "b", copies)), on).where(meets)
     found = met.unionByName(inner).groupBy("a_cls", "b_cls", "a_n", "b_n", "a_need", "b_need").agg(
         F.count("*").alias("shared"), F.min("a_pos").alias("a_pos"), F.min("b_pos").alias("b_pos")
     )
@@ -406,7 +406,7 @@ def _grouped(docs: DataFrame, size: int, limit: Threshold) -> DataFrame:
     # A class may hold a third of all rows: its name is copied to several groups.
     named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     salt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SPREAD)).cast("int")
-    joined = found.withColumn("salt", salt).join(named, ["cls", "salt"], "left")
+    joined = found.withColumn("salt", salt).join(by_shuffle(named), ["cls", "salt"], "left")
     none = F.lit(None).cast("long")
     of = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(none).alias(c)
     return joined.select("doc_id", "text_key", "n", of("class_size"), of("comp"), of("component"))

@@ -638,3 +638,11 @@ def test_topk_with_clashing_columns(spark):
     named = rows.select("*", *(F.lit(5).alias(c) for c in ("query_id", "rank", "score", "block", "ids")))
     key = lambda df: sorted(tuple(r) for r in T.top_k(df, modulus=20).collect())
     assert key(named) == key(rows) and len(key(rows)) == 25
+
+
+def test_rows_copied_to_groups_are_not_broadcast(spark, tmp_path):
+    """Spark judges a table by its files, so a small file whose rows are copied to groups would be built whole by the driver."""
+    spark.range(100).select(F.col("id").alias("key"), F.col("id").alias("b")).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    joined = jaccard._spread_join(table, table.select("key", F.col("b").alias("a")), "key", "b")
+    assert joined.count() == 100 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
