@@ -11,10 +11,13 @@ import hashlib
 import json
 import re
 import time
+from collections.abc import Callable
+from typing import TypeVar
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+T = TypeVar("T")
 _NAME = re.compile(r"manifest-(\d{8})\.json$")
 
 
@@ -83,3 +86,17 @@ def publish(spark: SparkSession, root: str, number: int, content: dict) -> None:
         raise
     out.write(json.dumps(content).encode())
     out.close()
+
+
+def opened_or_built(spark: SparkSession, root: str, open_: Callable[[], T], build: Callable[[], T]) -> T:
+    """What the folder root holds, built if there is no complete version. A build that another writer overtook gives way to that one's."""
+    if latest(spark, root) is not None:
+        return open_()
+    try:
+        return build()
+    except Conflict:
+        for _ in range(2 * ABANDONED_AFTER):  # the other writer's manifest may not be complete yet
+            if latest(spark, root) is not None:
+                return open_()
+            time.sleep(1)
+        raise

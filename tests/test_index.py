@@ -308,3 +308,27 @@ def test_bylines_of_pages(spark):
     assert replay(spark, [n("pdf_embedded", ["A. Lee", "Bo Roe"]), n("pdf_heuristic", ["Ann Lee", "Bo Roe"], **whole)])[0] == ["filled", "archived"]  # an abbreviation
     assert replay(spark, [n("pdf_embedded", ["Ann Lee", "Bo Roe", "Cy De"]), n("pdf_heuristic", ["Ann Lee", "Bo Roe"], **whole)])[0] == ["filled", "archived"]  # may be cut
     assert replay(spark, [n("pdf_embedded", ["user1"]), n("pdf_embedded", ["Ann Lee"])])[0] == ["archived", "filled"]
+
+
+# ---- builds at one time, and equal scores
+
+
+def test_a_build_that_was_overtaken_takes_the_other_one(spark, corpus, tmp_path, monkeypatch):
+    root, build = str(tmp_path / "i"), TextIndex.build.__func__
+
+    def overtaken(cls, docs, root, *args, **how):
+        build(cls, corpus.where("id < 1000"), root, "id", ["text"])  # another session is faster
+        return build(cls, docs, root, *args, **how)
+
+    monkeypatch.setattr(TextIndex, "build", classmethod(overtaken))
+    index = TextIndex.open_or_build(spark, root, corpus, "id", ["text"])
+    assert index.docs == 1000 and by_id(index.scores("common w3")) == pytest.approx(by_id(R.bm25(corpus.where("id < 1000"), "common w3", "id")))
+    assert index.documents().count() == 1000
+
+
+def test_equal_documents_have_equal_scores(spark, tmp_path):
+    rows = spark.range(3000).select("id", F.expr("concat(if(id % 2 = 0, 'a b c d e f g h', 'h g f e d c b a'), if(id % 3 = 0, ' x a a c', ' y'))").alias("text"))
+    index = TextIndex.build(rows.repartition(7), str(tmp_path / "i"), "id", ["text"], segment=300)
+    for scored in (index.scores("a b c d e f g h"), index.top("a b c d e f g h", 3000)):
+        assert scored.select("score").distinct().count() == 2
+    assert [r.doc_id for r in index.top("a b c d e f g h", 20).orderBy("rank").collect()] in ([3 * k for k in range(20)], [k for k in range(40) if k % 3][:20])
