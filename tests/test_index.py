@@ -332,3 +332,11 @@ def test_equal_documents_have_equal_scores(spark, tmp_path):
     for scored in (index.scores("a b c d e f g h"), index.top("a b c d e f g h", 3000)):
         assert scored.select("score").distinct().count() == 2
     assert [r.doc_id for r in index.top("a b c d e f g h", 20).orderBy("rank").collect()] in ([3 * k for k in range(20)], [k for k in range(40) if k % 3][:20])
+
+
+def test_distinct_counts_without_a_limit_are_exact(spark):
+    rows = spark.range(60_000).select((F.col("id") % 7).alias("k"), (F.col("id") % 20_011).alias("v"))
+    kept = distinct_sketches(rows, ["k"], "v", exact=None)
+    assert kept.select(F.max(F.size("members"))).first()[0] < 1000
+    total = merged_counts(kept.withColumn("all", F.lit(1)), ["all"], exact=None).first()
+    assert total.is_exact and total.n == 20_011
