@@ -340,3 +340,16 @@ def test_distinct_counts_without_a_limit_are_exact(spark):
     assert kept.select(F.max(F.size("members"))).first()[0] < 1000
     total = merged_counts(kept.withColumn("all", F.lit(1)), ["all"], exact=None).first()
     assert total.is_exact and total.n == 20_011
+
+
+def test_many_claims_of_one_field(spark):
+    # 60,000 claims of one field: the log of all before was copied at each, so this took minutes.
+    import time
+
+    rows = spark.range(60_000).selectExpr("id", "'p' AS paper_id", "'title' AS field", "id AS seq", "'crossref' AS source_type", "concat('Title ', id % 3) AS value", "id = 1 AS decided")
+    rows = rows.unionByName(spark.range(2).selectExpr("60000 + id AS id", "'q' AS paper_id", "'venue' AS field", "id AS seq", "'crossref' AS source_type", "'A' AS value", "false AS decided"))
+    start = time.time()
+    out = {r.id: (r.paper_id, r.outcome, r.is_current) for r in replay_claims(rows).collect()}
+    assert time.time() - start < 60
+    assert len(out) == 60_002 and out[0] == ("p", "filled", True) and out[1] == ("p", "conflict", False) and out[4] == ("p", "archived", False) and out[59_999] == ("p", "conflict", False)
+    assert out[60_000] == ("q", "filled", True) and out[60_001] == ("q", "unchanged", False)
