@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.fields import once
 from quire.functions.text import index_terms, query_terms
 from quire.operators.retrieval import K1, B
 from quire.sources.manifests import latest, opened_or_built, publish
@@ -27,6 +28,18 @@ BLOCK = 128
 BUCKETS = 32
 #: Documents of a segment.
 SEGMENT = 1_000_000
+#: Words whose postings one task sorts and writes, about.
+SLICE = 1_000_000
+
+
+def _counts(words: Column) -> Column:
+    """Each distinct word with its occurrences, as structs (term, tf): the runs of the sorted words."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        return F.when(F.size(s) > 0, once(starts, lambda at: F.transform(at, lambda p, j: F.struct(F.get(s, p - 1).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s) + 1) - p).alias("tf")))))
+
+    return once(F.sort_array(words), runs)
 
 
 @dataclass(frozen=True)
@@ -67,17 +80,22 @@ class TextIndex:
         about.write.mode("overwrite").parquet(f"{root}/documents")
         n, *sizes = spark.read.parquet(f"{root}/documents").agg(F.count("*"), *(F.coalesce(F.sum(f"_len{i}"), F.lit(0)) for i in range(len(fields)))).first()
 
+        # A text's terms are counted in its row, so postings are exchanged once; numbers that follow from others are worked out after.
         each = F.explode(F.array(*(F.struct(F.lit(i).alias("field"), F.col(f"_w{i}").alias("words")) for i in range(len(fields)))))
-        words = rows.select("doc_id", each.alias("f")).select("doc_id", "f.field", F.size("f.words").alias("length"), F.explode("f.words").alias("term"))
-        counted = words.groupBy("doc_id", "field", "length", "term").agg(F.count("*").cast("int").alias("tf"))
+        entries = rows.select("doc_id", each.alias("f")).select("doc_id", "f.field", F.size("f.words").alias("length"), F.explode(_counts(F.col("f.words"))).alias("e"))
         mean = F.create_map(*(F.lit(x) for i, s in enumerate(sizes) for x in (i, s / n if n and s else 1.0)))
         impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean[F.col("field")]))
-        segments = max(1, -(-n // segment))
-        dealt = counted.withColumns({"bucket": bucket_of(F.col("term"), buckets), "segment": F.pmod(F.xxhash64("doc_id"), F.lit(segments)), "impact": impact})
+        segments, words = max(1, -(-n // segment)), sum(map(int, sizes))
+        # A bucket's terms are dealt to slices, as many as keep what one task sorts at the same size however large the index.
+        slices = max(1, -(-words // (buckets * segments * SLICE)))
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(segments)) * slices + F.pmod(F.xxhash64("term", F.lit(1)), F.lit(slices))
+        dealt = entries.select("doc_id", "field", "length", "e.*").withColumns({"bucket": bucket_of(F.col("term"), buckets), "segment": part.cast("int")})
         # One exchange by (bucket, segment); ranking, blocks and files all follow that partitioning.
         group = ["bucket", "segment", "field", "term"]
+        tasks = min(buckets * segments * slices, max(1, 4 * words // SLICE))
+        dealt = dealt.repartition(tasks, "bucket", "segment").withColumn("impact", impact)
         place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("impact"), "doc_id")) - 1
-        placed = dealt.repartition("bucket", "segment").withColumn("block", F.floor(place / BLOCK).cast("int"))
+        placed = dealt.withColumn("block", F.floor(place / BLOCK).cast("int"))
         blocks = placed.groupBy(*group, "block").agg(
             F.collect_list(F.struct("doc_id", "tf", "length")).alias("postings"), F.max("impact").alias("best"), F.count("*").cast("int").alias("n")
         )

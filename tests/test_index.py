@@ -353,3 +353,24 @@ def test_many_claims_of_one_field(spark):
     assert time.time() - start < 60
     assert len(out) == 60_002 and out[0] == ("p", "filled", True) and out[1] == ("p", "conflict", False) and out[4] == ("p", "archived", False) and out[59_999] == ("p", "conflict", False)
     assert out[60_000] == ("q", "filled", True) and out[60_001] == ("q", "unchanged", False)
+
+
+def test_build_exchanges_postings_once(spark, tmp_path):
+    # They went by document first and then by bucket; a bucket's part was one task's, however large.
+    from quire.operators import text_index as I
+
+    docs = spark.range(300).selectExpr("id", "concat('a b a c', id % 7, ' ', repeat('d ', cast(id % 5 as int))) AS text").unionByName(spark.createDataFrame([(300, ""), (301, None)], "id long, text string"))
+    counts = spark.createDataFrame([(["b", "a", "b"],), ([],), (None,)], "w array<string>").select(I._counts(F.col("w")).alias("c"))
+    assert [r.c and [tuple(x) for x in r.c] for r in counts.collect()] == [[("a", 1), ("b", 2)], None, None]
+    whole = I.TextIndex.build(docs, str(tmp_path / "one"), "id", ["text"])
+    before, I.SLICE = I.SLICE, 10
+    try:
+        cut = I.TextIndex.build(docs, str(tmp_path / "many"), "id", ["text"])
+    finally:
+        I.SLICE = before
+    parts = lambda index: index.spark.read.parquet(f"{index.root}/postings").select("bucket", "segment").distinct().count()
+    assert parts(cut) > parts(whole)
+    for query in ("a d", "c3 d zz"):
+        found = [sorted(map(tuple, index.scores(query).collect())) for index in (whole, cut)]
+        assert found[0] == found[1] and len(found[0]) > 0
+        assert whole.top(query, 5).collect() == cut.top(query, 5).collect()
