@@ -343,7 +343,7 @@ def test_distinct_counts_without_a_limit_are_exact(spark):
 
 
 def test_many_claims_of_one_field(spark):
-    # 60,000 claims of one field: the log of all before was copied at each, so this took minutes.
+    # 60,000 claims of one field: the log of all before was copied at each, so this took more than a minute.
     import time
 
     rows = spark.range(60_000).selectExpr("id", "'p' AS paper_id", "'title' AS field", "id AS seq", "'crossref' AS source_type", "concat('Title ', id % 3) AS value", "id = 1 AS decided")
