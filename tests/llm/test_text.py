@@ -646,3 +646,24 @@ def test_rows_copied_to_groups_are_not_broadcast(spark, tmp_path):
     table = spark.read.parquet(str(tmp_path / "t"))
     joined = jaccard._spread_join(table, table.select("key", F.col("b").alias("a")), "key", "b")
     assert joined.count() == 100 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    context, group = spark.sparkContext, "components of few edges"
+    chain = list(range(40))
+    random.Random(3).shuffle(chain)
+    edges = spark.createDataFrame([*zip(chain, chain[1:]), (100, 101), (7, 7)], "a long, b long").coalesce(1)
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(saved, ("50", "false")):
+            spark.conf.set(k, v)
+        context.setJobGroup(group, group)
+        got = {r.node: r.root for r in components(edges).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert got == {**dict.fromkeys(chain, 0), 100: 100, 101: 100}
+    status = context.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds}
+    assert sum(i.numTasks for i in map(status.getStageInfo, stages) if i and i.numCompletedTasks) < 1000
