@@ -254,9 +254,37 @@ def _members(docs: DataFrame, size: int, classes: DataFrame, bits: int = 22) ->
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "items"])
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "cls long, items binary")
-    # A class of many copies comes from every task: its rows become few before they meet.
-    few = found.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SPREAD))).dropDuplicates(["cls", "salt"]).drop("salt")
-    return few.join(classes, "cls", "left_semi").dropDuplicates(["cls"])
+    # A class comes once from a task at most, however many copies it has; whole sets are exchanged once, for both steps.
+    return found.dropDuplicates(["cls"]).join(by_shuffle(classes), "cls", "left_semi")
+
+
+def _sifted(pairs: DataFrame, members: DataFrame, limit: Threshold) -> DataFrame:
+    """The pairs (a, b) of classes that 16 bits of each shingle don't rule out: a quarter of what their sets would move.
+
+    Shared shingles have equal bits, so at least as many shingles of a as they share have bits that are in b: no link is lost.
+    """
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [np.frombuffer(s.as_buffer(), np.uint64).astype(np.uint16).tobytes() for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], names=["cls", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.zeros(1 << 16, bool)
+        for batch in batches:
+            keep = []
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                a, b = (np.frombuffer(s.as_buffer(), np.uint16) for s in (x, y))
+                there[b] = True
+                if limit.linked(int(there[a].sum()), len(a), len(b)):
+                    keep.append(k)
+                there[b] = False
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    marks = members.select("cls", "items").mapInArrow(bits, "cls long, bits binary")
+    side = lambda c: marks.select(F.col("cls").alias(c), F.col("bits").alias(f"{c}_bits"))
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return joined.select("a", "b", "a_bits", "b_bits").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, members: DataFrame, limit: Threshold, stars: bool = False) -> DataFrame:
@@ -372,7 +400,8 @@ def link_classes(
     met_classes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     labels = materialize(labels.where("cls <> comp").join(met_classes.withColumn("m", F.lit(1)), "cls", "full_outer").select("cls", F.coalesce("comp", "cls").alias("comp")).union(labels.where("cls <> comp").select("comp", "comp")).distinct(), "labels")
     members = materialize(_members(docs, size, met_classes), "members")
-    labels = _relabel(labels, materialize(_verified(pairs, members, limit), "links"))
+    # Most pairs are no links: those go before whole sets are moved.
+    labels = _relabel(labels, materialize(_verified(_sifted(pairs, members, limit), members, limit), "links"))
     *done, _ = (f for f in written() if f not in others)  # the labels were written last; nothing needs the rest any more
     clear_written(spark, done)
     return labels

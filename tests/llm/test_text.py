@@ -19,7 +19,7 @@ from quire.llm import topk as T
 from quire.llm import url_rules as U
 from quire.llm.chat_template import FILTERS, Const, Output, TemplateError, compile_template, fold, parse
 from quire.llm.components import components
-from quire.llm.jaccard import Threshold, deduplicate_stage, link_classes, near_duplicates, op3_jaccard, _signatures
+from quire.llm.jaccard import Threshold, _members, _sifted, deduplicate_stage, link_classes, near_duplicates, op3_jaccard, _signatures
 from quire.llm.shingles import overlap, shingle_sets
 from tests.llm import brute
 from tests.oracle import connect, same
@@ -667,3 +667,20 @@ def test_components_of_few_edges_take_few_tasks(spark):
     status = context.statusTracker()
     stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds}
     assert sum(i.numTasks for i in map(status.getStageInfo, stages) if i and i.numCompletedTasks) < 1000
+
+
+def test_sifted_pairs_lose_no_link(spark, corpus):
+    sets = [s for s in shingle_sets(pa.array(corpus)) if len(s)]
+    members = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "cls long, items binary")
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2)]
+    left = {tuple(r) for r in _sifted(spark.createDataFrame(pairs, "a long, b long"), members, Threshold()).collect()}
+    linked = {(i, j) for i, j in pairs if Threshold().linked(overlap(sets[i], sets[j]), len(sets[i]), len(sets[j]))}
+    assert linked and linked <= left and len(left - linked) < len(pairs) // 50
+
+
+def test_whole_sets_are_exchanged_once(spark, corpus):
+    df = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string")
+    classes = spark.createDataFrame([(1,)], "cls long")
+    plan = _members(df, 5, classes)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("MapInArrow")].splitlines()
+    assert sum("Exchange" in line for line in above) == 1
